@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import secrets, sharding, simhash_dedup
+from lexispark.llm import bpe, secrets, sharding, simhash_dedup
 from lexispark.llm.common import shared_folder
 
 
@@ -22,6 +22,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24, store=store)
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_groups(table(spark, sf_dir, "documents"), width=4, distance=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -33,6 +40,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op4_byte_bpe": op4_byte_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
