@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import bpe, secrets, sharding, simhash_dedup
-from lexispark.llm.common import shared_folder
+from lexispark.llm import bpe, quality, secrets, sharding, simhash_dedup, toxicity
+from lexispark.llm.common import in_training, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +38,29 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op5_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _predicted(toxicity.with_toxicity(docs, model), 0.7)
+
+
+def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = quality.train(docs, table(spark, sf_dir, "labels"))
+    return _predicted(quality.with_quality(docs, chain), 0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_toxicity_fm": op5_toxicity_fm,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_line_crf_quality": op10_line_crf_quality,
 }
 
 
