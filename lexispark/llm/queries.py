@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import bpe, quality, secrets, sharding, simhash_dedup, toxicity
+from lexispark.llm import bpe, line_dedup, quality, secrets, sharding, simhash_dedup, toxicity
 from lexispark.llm.common import in_training, shared_folder
 
 
@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -55,6 +60,7 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fuzzy_line_dedup": op1_fuzzy_line_dedup,
     "op2_sharding": op2_sharding,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity_fm": op5_toxicity_fm,

@@ -30,7 +30,7 @@ SEED = 42
 #: Children of a node of the in-group index.
 FANOUT = 16
 #: Groups up to this size are compared by shifts over the sorted stream.
-SMALL = 24
+SMALL = 96
 
 _LANES = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -71,15 +71,20 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
 
 class Layout:
-    """The segments of a fingerprint and the permutations that bring two of them to the front."""
+    """The segments of a fingerprint and the permutations that bring some of them to the front.
 
-    def __init__(self, distance: int) -> None:
-        n = distance + 2
+    Of distance + agree segments, two fingerprints within `distance` bits agree on `agree` at
+    least. More agreement means longer keys and smaller groups, for more tables.
+    """
+
+    def __init__(self, distance: int, agree: int = 2) -> None:
+        n = distance + agree
         widths = [64 // n + (i < 64 % n) for i in range(n)]
         low = [64 - sum(widths[: i + 1]) for i in range(n)]
         self.parts = list(zip(low, widths, strict=True))
-        self.orders = [[a, b, *(i for i in range(n) if i not in (a, b))] for a, b in combinations(range(n), 2)]
-        self.key_bits = [widths[a] + widths[b] for a, b in combinations(range(n), 2)]
+        fronts = list(combinations(range(n), agree))
+        self.orders = [[*front, *(i for i in range(n) if i not in front)] for front in fronts]
+        self.key_bits = [sum(widths[i] for i in front) for front in fronts]
 
     def permute(self, codes: np.ndarray, table: int) -> np.ndarray:
         out = np.zeros_like(codes)
@@ -186,8 +191,7 @@ def _walk(codes: np.ndarray, free: np.ndarray, todo: list[int], distance: int) -
         todo = [first]
 
 
-def _to_ranks(distance: int):
-    layout = Layout(distance)
+def _to_ranks(layout: Layout):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,8 +205,7 @@ def _to_ranks(distance: int):
     return run
 
 
-def _links(distance: int):
-    layout = Layout(distance)
+def _links(layout: Layout, distance: int):
 
     def solve(t: np.ndarray, key: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links among complete groups, sorted by table, key and rank."""
@@ -250,11 +253,12 @@ def _links(distance: int):
     return run
 
 
-def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
+def near_links(fps: DataFrame, distance: int = 4, agree: int = 2) -> DataFrame:
     """(src, dst) links that connect all distinct fingerprints `fp` within `distance` bits."""
-    ranks = fps.select("fp").mapInArrow(_to_ranks(distance), "t byte, key int, low long")
+    layout = Layout(distance, agree)
+    ranks = fps.select("fp").mapInArrow(_to_ranks(layout), "t byte, key int, low long")
     ordered = ranks.repartition("t", "key").sortWithinPartitions("t", "key", "low")
-    return ordered.mapInArrow(_links(distance), "src long, dst long")
+    return ordered.mapInArrow(_links(layout, distance), "src long, dst long")
 
 
 def near_groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
