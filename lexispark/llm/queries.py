@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import bpe, line_dedup, quality, secrets, sharding, simhash_dedup, toxicity
+from lexispark.llm import bpe, line_dedup, mixing, quality, secrets, sharding, simhash_dedup, toxicity
 from lexispark.llm.common import in_training, shared_folder
 
 
@@ -27,6 +27,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24, store=store)
 
 
+def op3_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    mixed = mixing.mix(docs)
+    cell = [F.col(f"cell_{d}").alias(d) for d in mixing.DIMENSIONS]
+    rounded = [F.round(c, 6).alias(c) for c in ("p", "weight")]
+    return mixed.select("doc_id", *cell, mixing.token_count(F.col("text")).alias("n_tokens"), *rounded, "kept")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +70,7 @@ def op10_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fuzzy_line_dedup": op1_fuzzy_line_dedup,
     "op2_sharding": op2_sharding,
+    "op3_raked_mixing": op3_raked_mixing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity_fm": op5_toxicity_fm,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
@@ -71,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op9_secret_scan": secrets.oracle()}
+    return {"op3_raked_mixing": mixing.oracle(), "op9_secret_scan": secrets.oracle()}
