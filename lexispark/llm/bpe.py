@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding through a global shuffle of distinct words.
 
 Texts are split into pre-tokens. Inside a chunk of texts (bounded bytes and words) each distinct
-pre-token gets a rank, and every text becomes its ranks in order: the positions. Only a chunk's
-distinct words are shuffled, dealt by word over buckets, where each distinct word of the whole
+pre-token gets a rank, and every text becomes its ranks in order: the positions. A chunk's words are
+counted in one reading of the input and its positions written in another. Only a chunk's
+distinct words are shuffled by word, dealt by word over buckets, where each distinct word of the whole
 corpus is encoded once; the ids go back to the chunks and are put in the place of the ranks.
 Decoding looks every id up in the token-byte table, whose size is the vocabulary's.
 
@@ -15,24 +16,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of a chunk, for the memory of a task: bytes of text and distinct words.
-CHUNK_BYTES = 24 << 20
+#: Bounds of a chunk, for the memory of a task: characters of text and distinct words.
+CHUNK_CHARS = 16 << 20
 CHUNK_WORDS = 400_000
 
-_SPLIT = "chunk binary, bucket int, doc_id long, body binary, words binary"
-
-
 @cache
 def vocabulary(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -73,54 +74,89 @@ def unpack(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), first)
 
 
-def _splitter(pattern: str, buckets: int):
+def _named(raw: list[bytes], rank: np.ndarray) -> bytes:
+    """A digest of the words in the order of their ranks: equal names mean equal ranks."""
+    words = [raw[i] for i in np.argsort(rank).tolist()]
+    return hashlib.blake2b(b"".join(len(w).to_bytes(4, "little") + w for w in words), digest_size=16).digest()
+
+
+def _raw(words) -> list[bytes]:
+    return [w.encode("utf-8", "surrogatepass") for w in words]
+
+
+def _words(pattern: str, buckets: int):
+    """An Arrow function: every chunk's distinct pre-tokens with their ranks, a row for each bucket of words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, squeeze = regex.compile(pattern).findall, zstandard.ZstdCompressor(3)
-        rank: dict[str, int] = {}
+        seen: Counter[str] = Counter()
+        size = rows = 0
+
+        def close() -> pa.RecordBatch:
+            raw = _raw(seen)
+            rank = _by_frequency(np.fromiter(seen.values(), np.int64, len(seen)))
+            dealt: dict[int, list[int]] = {}
+            for i, w in enumerate(raw):
+                dealt.setdefault(xxhash.xxh32_intdigest(w) % buckets, []).append(i)
+            places, words = [], []
+            for at in dealt.values():
+                head = np.array([len(at), *(len(raw[i]) for i in at)], np.uint32).tobytes()
+                places.append(squeeze.compress(rank[at].astype(np.uint32).tobytes()))
+                words.append(squeeze.compress(head + b"".join(raw[i] for i in at)))
+            columns = [pa.array(list(dealt), pa.int32()), pa.array([_named(raw, rank)] * len(dealt), pa.binary()), pa.array(places, pa.binary()), pa.array(words, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "places", "words"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                seen.update(find(text))
+                rows, size = rows + 1, size + len(text)
+                if size >= CHUNK_CHARS or len(seen) >= CHUNK_WORDS:
+                    yield close()
+                    seen, size, rows = Counter(), 0, 0
+        if rows:
+            yield close()
+
+    return run
+
+
+def _by_frequency(counts: np.ndarray) -> np.ndarray:
+    """Each word's rank, frequent ones first, so that most positions take one or two bytes."""
+    rank = np.empty(len(counts), np.int32)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    return rank
+
+
+def _positions(pattern: str):
+    """An Arrow function: every text as the ranks of its pre-tokens in their order, of the same chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        place: defaultdict[str, int] = defaultdict(count().__next__)
         ids: list = []
         bodies: list[np.ndarray] = []
         size = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            words = list(rank)
-            raw = [w.encode("utf-8", "surrogatepass") for w in words]
-            name = hashlib.blake2b(b"".join(len(w).to_bytes(4, "little") + w for w in raw), digest_size=16).digest()
-            # Frequent words get the low ranks, so that most positions take one or two bytes.
-            all_ = np.concatenate(bodies) if bodies else np.empty(0, np.int64)
-            order = np.argsort(-np.bincount(all_, minlength=len(words)), kind="stable")
-            new = np.empty(len(words), np.int64)
-            new[order] = np.arange(len(words))
-            data, n = pack(new[all_])
-            ends = np.cumsum(np.concatenate(([0], n)))[np.cumsum([0, *map(len, bodies)])].tolist()
-            blob = data.tobytes()
-            for a in range(0, len(ids), 2000):
-                part = range(a, min(a + 2000, len(ids)))
-                k = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * k, pa.binary()), pa.nulls(k, pa.int32()), pa.array([ids[i] for i in part], pa.int64()), pa.array([blob[ends[i] : ends[i + 1]] for i in part], pa.binary()), pa.nulls(k, pa.binary())],
-                    names=["chunk", "bucket", "doc_id", "body", "words"],
-                )
-            dealt: dict[int, list[int]] = {}
-            for i, w in enumerate(raw):
-                dealt.setdefault(int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % buckets, []).append(i)
-            rows = []
-            for bucket, at in dealt.items():
-                body = b"".join(raw[i] for i in at)
-                head = np.array([len(at), *(len(raw[i]) for i in at)], np.uint32).tobytes()
-                places = new[at].astype(np.uint32).tobytes()
-                rows.append((name, bucket, None, squeeze.compress(places), squeeze.compress(head + body)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "doc_id", "body", "words"])
+            seen = np.zeros(len(place), np.int64)
+            for body in bodies:
+                seen += np.bincount(body, minlength=len(place))
+            rank = _by_frequency(seen)
+            name = _named(_raw(place), rank)
+            for a in range(0, len(ids), 1000):
+                part = [pack(rank[body])[0].tobytes() for body in bodies[a : a + 1000]]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.binary()), pa.array(ids[a : a + 1000], pa.int64()), pa.array(part, pa.binary())], names=["chunk", "doc_id", "body"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = find(text or "")
-                bodies.append(np.array([rank.setdefault(w, len(rank)) for w in found], np.int64))
-                ids.append(doc_id)
-                size += len(text or "")
-                if size >= CHUNK_BYTES or len(rank) >= CHUNK_WORDS:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                text = text.as_py() or ""
+                found = find(text)
+                bodies.append(np.fromiter(map(place.__getitem__, found), np.int32, len(found)))
+                ids.append(doc_id.as_py())
+                size += len(text)
+                if size >= CHUNK_CHARS or len(place) >= CHUNK_WORDS:
                     yield from close()
-                    rank, ids, bodies, size = {}, [], [], 0
+                    place, ids, bodies, size = defaultdict(count().__next__), [], [], 0
         if ids:
             yield from close()
 
@@ -146,7 +182,7 @@ def _encoder(path: str, pattern: str):
                     start = end
                 flat = np.array([x for i in ids for x in i], np.uint32)
                 out.append(squeeze.compress(np.array([count, *map(len, ids)], np.uint32).tobytes() + flat.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("body"), pa.array(out, pa.binary())], names=["chunk", "places", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("places"), pa.array(out, pa.binary())], names=["chunk", "places", "ids"])
 
     return run
 
@@ -190,10 +226,10 @@ def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None)
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 8 * parts
-    split = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_splitter(pattern, buckets), _SPLIT)
-    words = split.where("bucket is not null").select("bucket", "chunk", "body", "words")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")  # the same columns for both readings: the same partitions
+    words = rows.mapInArrow(_words(pattern, buckets), "bucket int, chunk binary, places binary, words binary")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(path, pattern), "chunk binary, places binary, ids binary")
-    texts = split.where("bucket is null").select("chunk", "doc_id", "body")
+    texts = rows.mapInArrow(_positions(pattern), "chunk binary, doc_id long, body binary")
     return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda k, a, b: _assemble(k, a, b), "doc_id long, ids array<int>")
 
 
