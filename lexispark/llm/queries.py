@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import bpe, lattice_dedup, line_dedup, mixing, quality, secrets, sharding, simhash_dedup, toxicity
+from lexispark.llm import bpe, fingerprints, lattice_dedup, line_dedup, mixing, quality, secrets, sharding, simhash_dedup, toxicity
 from lexispark.llm.common import in_training, shared_folder
 
 
@@ -42,6 +42,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
 
 
+def op6_lcp_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.near_groups(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_raked_mixing": op3_raked_mixing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity_fm": op5_toxicity_fm,
+    "op6_lcp_fingerprints": op6_lcp_fingerprints,
     "op7_lattice_near_dedup": op7_lattice_near_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_secret_scan": op9_secret_scan,
