@@ -249,8 +249,11 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     return coded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*coded.dtypes, ("decoded", "binary")]))
 
 
-def digest(coded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows; decodes the ids as `decode` does."""
+def digest(coded: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows, and their ids if asked for.
+
+    The decoded bytes come from `decode`'s join with the token-byte table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
@@ -265,6 +268,9 @@ def digest(coded: DataFrame, path: str) -> DataFrame:
                 n.append(len(ids))
                 a.append(sha(b",".join(map(written, ids))).hexdigest())
                 b.append(sha(b"".join(map(known, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.RecordBatch.from_arrays([*columns, lists] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return coded.select("doc_id", "ids").mapInArrow(run, schema)
