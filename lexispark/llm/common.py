@@ -92,6 +92,39 @@ def per_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "tex
     return run
 
 
+#: Bits of a bitmap of keys: its table has a row for each 64 of them at most, whatever the corpus.
+BITMAP = 1 << 24
+
+
+def _bit(key: Column) -> tuple[Column, Column]:
+    place = F.pmod(F.xxhash64(key), F.lit(BITMAP))
+    return F.shiftright(place, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+
+
+def _bitmap(keys: DataFrame, key: Column) -> DataFrame:
+    word, bit = _bit(key)
+    return keys.select(word.alias("word_"), bit.alias("bit_")).groupBy("word_").agg(F.bit_or("bit_").alias("bits_"))
+
+
+def probably_in(df: DataFrame, key: Column, keys: DataFrame, other: Column) -> DataFrame:
+    """The rows of `df` whose key may be among `keys`: all that are, few others.
+
+    A filter before an exact join, to keep wide rows out of its shuffle. The broadcast bitmap
+    has BITMAP / 64 rows at most; when keys fill it, the filter passes more rows, never fewer.
+    """
+    bits = _bitmap(keys, other)
+    word, bit = _bit(key)
+    return df.join(F.broadcast(bits), word == bits["word_"]).where(F.col("bits_").bitwiseAND(bit) != 0).select(*df.columns)
+
+
+def surely_out(df: DataFrame, key: Column, keys: DataFrame, other: Column) -> DataFrame:
+    """The rows of `df` that `probably_in` leaves: none of them has a key among `keys`."""
+    bits = _bitmap(keys, other)
+    word, bit = _bit(key)
+    out = df.join(F.broadcast(bits), word == bits["word_"], "left")
+    return out.where(F.col("bits_").isNull() | (F.col("bits_").bitwiseAND(bit) == 0)).select(*df.columns)
+
+
 class Forest:
     """Union-find over hashable keys; `join` says whether it linked two separate trees."""
 

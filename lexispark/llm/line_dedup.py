@@ -11,6 +11,7 @@ occurrence with the smallest (doc_id, text hash, line number) stays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Forest, components, slices, stored
+from lexispark.llm.common import Forest, components, probably_in, slices, stored, surely_out
 from lexispark.llm.simhash_dedup import near_links
 
 DISTANCE = 3
 SIMILARITY = 0.8
-#: Lines of one connected group that a task verifies; larger groups are verified in pairs of parts.
-PART = 4000
+#: Groups of candidates are verified in pairs of parts: of SOME lines each up to MANY parts, else of PART at most.
+SOME, MANY, PART = 200, 32, 4000
 #: Distinct lines up to which 16-bit blocks give small groups; 25- and 32-bit keys beyond.
 ONE_BLOCK, TWO_BLOCKS = 4_000_000, 2_000_000_000
 
@@ -38,21 +39,24 @@ def normalised(line: bytes) -> bytes:
 
 
 def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """The 64-bit SimHash of each list of words; 0 for none."""
-    place: dict[bytes, int] = {}
-    at = np.array([place.setdefault(w, len(place)) for words in lines for w in words], np.int64)
+    """The 64-bit SimHash of the distinct words of each line; 0 for none.
+
+    A word counts once however often it stands in the line: else the few most frequent words
+    of a language decide, and unrelated lines come near each other.
+    """
+    sets = [dict.fromkeys(words) for words in lines]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(sets)), np.uint64, int(size.sum()))
     out = np.zeros(len(lines), np.uint64)
-    if not len(at):
+    if not len(hashes):
         return out
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in place), np.uint64, len(place))
     lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)]
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
     full = np.flatnonzero(size)
     start = (np.cumsum(size) - size)[full]
     blocks = -(-size[full] // 255)  # a lane counts to 255
     first = np.cumsum(blocks) - blocks
     cuts = np.repeat(start, blocks) + 255 * (np.arange(int(blocks.sum())) - np.repeat(first, blocks))
-    sums = np.add.reduceat(lanes[at], cuts, axis=0).view(np.uint8).reshape(len(cuts), 64)
+    sums = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), 64)
     bits = np.add.reduceat(sums.astype(np.int32), first, axis=0)
     out[full] = np.packbits(bits * 2 > size[full, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
@@ -174,21 +178,32 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_lines(False), "k1 long, k2 long, fp long, doc_id long, mark long, line_no int")
 
 
+def _parts(n: Column) -> Column:
+    """Parts of a group of n lines: of SOME lines, up to MANY parts, then as few as PART lines allow."""
+    return F.greatest(F.least(F.ceil(n / SOME), F.lit(MANY)), F.ceil(n / PART)).cast("int")
+
+
 def similar_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(node, component) of distinct lines (k1, k2, fp, node) that similar lines connect."""
+    """(node, component) of distinct lines (k1, k2, fp, holder) that similar lines connect.
+
+    A line's node is 64 bits of its 128-bit key; `holder` is the id of a document that has it.
+    """
     fps = distinct.groupBy("fp").agg(F.count("*").alias("n"))
     many = distinct.count()
     agree = 1 if many <= ONE_BLOCK else 2 if many <= TWO_BLOCKS else 3
     linked = components(near_links(fps, DISTANCE, agree)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     # Lines of equal SimHash but different words are candidates too.
     same = fps.where("n > 1").select("fp").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"))
-    nodes = stored(distinct.join(linked.unionByName(same), "fp").select("k1", "k2", "fp", "node", "root"), "line-candidates")
-    parts = nodes.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_lines(True), "k1 long, k2 long, line string")
+    nodes = stored(distinct.join(linked.unionByName(same), "fp").select("k1", "k2", "fp", "root", "holder"), "line-candidates")
+    parts = nodes.groupBy("root").agg(_parts(F.count("*")).alias("parts"))
+    # The lines' texts come from one document each: only those are split again.
+    holders = probably_in(docs.select(F.col("doc_id").cast("long"), "text"), F.col("doc_id"), nodes, F.col("holder"))
+    texts = holders.mapInArrow(_lines(True), "k1 long, k2 long, line string")
+    texts = probably_in(texts, F.col("k1"), nodes, F.col("k1"))
     texts = texts.join(nodes.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    own = F.pmod("node", F.col("parts")).cast("int")
+    own = F.pmod("k2", F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = nodes.join(texts, ["k1", "k2"]).join(parts, "root").select("root", "node", "fp", "line", "parts", own.alias("own"), other.alias("other"))
+    dealt = nodes.join(texts, ["k1", "k2"]).join(parts, "root").select("root", F.col("k1").alias("node"), "fp", "line", "parts", own.alias("own"), other.alias("other"))
     # A group of several parts meets in pairs of parts; for one part that is the group itself.
     part = (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part")
     dealt = dealt.select("root", part, "node", "fp", "line").repartition("root", "part").sortWithinPartitions("root", "part", "node")
@@ -196,19 +211,27 @@ def similar_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, drop): numbers of the lines that go, for each text that has any."""
+    """(doc_id, mark, drop, again) of each text that is not whole and single.
+
+    drop holds the numbers of the lines that go; again says that rows repeat the id with its text.
+    """
     rows = stored(occurrences(docs), "lines")
-    place = F.struct("doc_id", "mark", "line_no")
-    distinct = rows.groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.min(place).alias("first"), F.count("*").alias("n"))
-    # A line's node is 64 bits of its 128-bit key; a clash could only join two groups' ids.
-    distinct = stored(distinct.withColumn("node", F.col("k1")), "distinct-lines")
+    distinct = rows.groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("holder"), F.count("*").alias("n"))
+    distinct = stored(distinct, "distinct-lines")
     found = similar_groups(docs, distinct)
-    grouped = distinct.join(found, "node")
-    best = grouped.groupBy("component").agg(F.min("first").alias("best"))
-    fuzzy = grouped.join(best, "component").select("k1", "k2", "best")
-    exact = distinct.where("n > 1").join(found.select("node"), "node", "left_anti").select("k1", "k2", F.col("first").alias("best"))
-    gone = rows.join(fuzzy.unionByName(exact), ["k1", "k2"]).where(~place.eqNullSafe(F.col("best")))
-    return gone.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
+    fuzzy = distinct.join(found, distinct["k1"] == found["node"]).select("k1", "k2", F.col("component").alias("line_group"))
+    exact = distinct.where("n > 1").join(found, distinct["k1"] == found["node"], "left_anti").select("k1", "k2", F.col("k1").alias("line_group"))
+    groups = stored(fuzzy.unionByName(exact), "line-groups")
+    some = probably_in(rows.drop("fp"), F.col("k1"), groups, F.col("k1"))
+    members = stored(some.join(groups, ["k1", "k2"]).select("line_group", "doc_id", "mark", "line_no"), "line-members")
+    place = F.struct("doc_id", "mark", "line_no")
+    # Stored, so that the join below deals both sides anew and can split a line with very many occurrences.
+    best = stored(members.groupBy("line_group").agg(F.min(place).alias("best")), "line-firsts")
+    gone = members.join(best, "line_group").groupBy("doc_id", "mark").agg(
+        F.array_sort(F.collect_set(F.when(~place.eqNullSafe(F.col("best")), F.col("line_no")))).alias("drop"),
+        (F.count("*") > F.size(F.collect_set("line_no"))).alias("again"),
+    )
+    return stored(gone.where("again or size(drop) > 0"), "line-drops")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -219,21 +242,31 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first is the document and the others lose every line that has words. Other columns stay;
     an empty table gives no rows.
     """
-    gone = repeats(docs).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "drop")
+    gone = repeats(docs).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "drop", "again")
     keyed = docs.withColumn("mark_", F.xxhash64("text"))
-    joined = keyed.join(gone, keyed["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (keyed["mark_"] == gone["gone_mark"]), "left")
+    # Texts that keep all their lines pass by the shuffle.
+    whole = surely_out(keyed, F.col("mark_"), gone, F.col("gone_mark"))
+    whole = whole.withColumns({"n_lines": _n_lines(F.col("text")), "n_dropped": F.lit(0).cast("long")}).select(*docs.columns, "n_lines", "n_dropped")
+    some = probably_in(keyed, F.col("mark_"), gone, F.col("gone_mark"))
+    joined = some.join(gone, some["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (some["mark_"] == gone["gone_mark"]), "left")
     w = Window.partitionBy("doc_id", "mark_").orderBy("doc_id", "mark_")
     lines = F.split("text", "\n", -1)
     has_words = F.filter(F.sequence(F.lit(0), F.size("lines_") - 1), lambda i: _wordy(F.get("lines_", i)))
-    drop = F.when((F.col("copy_") > 1) & F.col("text").isNotNull(), has_words).otherwise(F.coalesce("drop", F.array().cast("array<int>")))
+    drop = F.when(F.col("again") & (F.col("copy_") > 1), has_words).otherwise(F.coalesce("drop", F.array().cast("array<int>")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), "drop_")
     text = F.when(F.size("drop_") > 0, F.array_join(F.transform(kept, lambda i: F.get("lines_", i)), "\n")).otherwise(F.col("text"))
-    out = joined.withColumn("copy_", F.row_number().over(w)).withColumn("lines_", lines).withColumn("drop_", drop)
-    return out.select(
+    changed = joined.withColumn("copy_", F.row_number().over(w)).withColumn("lines_", lines).withColumn("drop_", drop)
+    changed = changed.select(
         *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.coalesce(F.size("lines_"), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("lines_").isNull(), 0).otherwise(F.size("lines_")).cast("long").alias("n_lines"),
         F.size("drop_").cast("long").alias("n_dropped"),
     )
+    return whole.unionByName(changed)
+
+
+def _n_lines(text: Column) -> Column:
+    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.coalesce(feeds + 1, F.lit(0)).cast("long")
 
 
 def _wordy(line: Column) -> Column:
@@ -241,6 +274,11 @@ def _wordy(line: Column) -> Column:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """`docs` with its texts less the repeated lines; rows of which no words are left go."""
+    """`docs` with its texts less the repeated lines; rows of which no words are left go.
+
+    A column n_chars, if there is one, counts the code points that are left in a changed text.
+    """
     out = dedup_lines(docs)
-    return out.where((F.col("n_dropped") == 0) | _wordy(F.col("text"))).select(*docs.columns)
+    changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars") if "n_chars" in docs.columns else None
+    kept = out.where((F.col("n_dropped") == 0) | _wordy(F.col("text")))
+    return kept.select(*(changed if c == "n_chars" else F.col(c) for c in docs.columns))

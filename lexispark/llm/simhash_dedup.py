@@ -30,7 +30,9 @@ SEED = 42
 #: Children of a node of the in-group index.
 FANOUT = 16
 #: Groups up to this size are compared by shifts over the sorted stream.
-SMALL = 96
+SMALL = 128
+#: Codes that a walk compares outright; beyond, it goes through the in-group index.
+DIRECT = 8192
 
 _LANES = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -146,51 +148,38 @@ class GrayIndex:
 def group_links(codes: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links of a spanning forest of one group's codes (distinct, in Gray order), by place.
 
-    A walk from each code over codes not reached yet: dense clusters are reached from a few
-    codes, so they cost far less than all pairs.
+    A walk that looks from each code at the codes not reached yet, so that dense clusters cost
+    far less than all pairs. Up to DIRECT codes left are compared outright, more through the
+    index, which is built anew when three in four have been reached.
     """
-    index, free, out = GrayIndex(codes), np.ones(len(codes), bool), []
-    for first in range(len(codes)):
-        if not free[first]:
-            continue
-        free[first] = False
-        todo = [first]
-        while todo:
-            i = todo.pop()
-            near = index.within(codes[i], distance)
+    left = np.arange(len(codes))  # not reached yet, in Gray order
+    index = GrayIndex(codes) if len(codes) > DIRECT else None
+    indexed, free = left, np.ones(len(codes), bool)
+    todo: list[int] = []
+    out: list[tuple[int, int]] = []
+    while len(left) or todo:
+        if not todo:
+            todo.append(int(left[0]))
+            left = left[1:]
+            free[todo[0]] = False
+        i = todo.pop()
+        if index is None:
+            hit = np.bitwise_count(codes[left] ^ codes[i]) <= distance
+            near, left = left[hit], left[~hit]
+        else:
+            near = indexed[index.within(codes[i], distance)]
             near = near[free[near]]
             free[near] = False
-            todo.extend(near.tolist())
-            out.extend((i, j) for j in near.tolist())
-            if len(free) > 4096 and (left := int(free.sum())) * 4 < len(free):  # build anew over what is left
-                keep = np.flatnonzero(free)
-                rest = sorted({*keep.tolist(), *todo})
-                place = {p: k for k, p in enumerate(rest)}
-                sub = _walk(codes[rest], np.isin(np.array(rest), keep), [place[p] for p in todo], distance)
-                out.extend((rest[a], rest[b]) for a, b in sub)
-                return out
+            if len(near) or not todo:
+                left = left[free[left]]
+            if 4 * len(left) < len(indexed):
+                index = GrayIndex(codes[left]) if len(left) > DIRECT else None
+                indexed = left
+        todo.extend(near.tolist())
+        out.extend((i, j) for j in near.tolist())
     return out
 
 
-def _walk(codes: np.ndarray, free: np.ndarray, todo: list[int], distance: int) -> list[tuple[int, int]]:
-    """The rest of a walk over fewer codes: first from `todo`, then from codes still free."""
-    index, out = GrayIndex(codes), []
-    seeds = iter(range(len(codes)))
-    while True:
-        while todo:
-            i = todo.pop()
-            near = index.within(codes[i], distance)
-            near = near[free[near]]
-            free[near] = False
-            todo.extend(near.tolist())
-            out.extend((i, j) for j in near.tolist())
-        first = next((s for s in seeds if free[s]), None)
-        if first is None:
-            return out
-        free[first] = False
-        todo = [first]
-
-
 def _to_ranks(layout: Layout):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
