@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.sources.shared import shared_folder
+
 #: Bytes of text that one step of an Arrow function holds as Python objects at a time.
 SLICE_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: the cluster's spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a temporary one is set.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexispark-"))
-        named = sc.getCheckpointDir()
-    return named
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -41,6 +29,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(df: DataFrame, *parts: str) -> DataFrame:
+    """The columns `parts`, and all others in a struct `row_`: names inside it clash with no operator's own."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in parts]
+    return df.select(*parts, (F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("row_"))
+
+
+def unpacked(columns: list[str], **parts: Column) -> list[Column]:
+    """The columns of the table that `packed` took, in their order; `parts` are those kept outside the struct."""
+    return [parts[c].alias(c) if c in parts else F.col("row_")[c].alias(c) for c in columns]
+
+
 def unit_hash(key: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of a key's MD5; plain SQL can repeat it."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

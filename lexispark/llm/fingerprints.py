@@ -92,6 +92,7 @@ def _level(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     # A phrase begins at each text's start and where a label is under its neighbours' in the text.
     begin = np.zeros(len(labels), bool)
     begin[1:-1] = (labels[1:-1] < labels[:-2]) & (labels[1:-1] <= labels[2:])
+    begin[first[1:] - 1] = False  # what follows a text's last symbol is another text
     begin[first] = True
     heads = np.flatnonzero(begin)
     size = np.diff(np.concatenate((heads, [len(labels)])))

@@ -23,7 +23,8 @@ from lexispark.llm.common import components, stored
 TABLES = 6
 BLOCKS = 2
 PROBES = 8
-SCALE = 3.0
+#: Cells to a projected unit vector, for each root of a dimension: projections shrink with it.
+SCALE = 0.375
 SEED = 20
 #: Vectors of one cell that a task compares at once; fuller cells are dealt out in parts.
 PART = 4096
@@ -76,7 +77,7 @@ def cells(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
     out = np.empty((len(unit), TABLES, 1 + PROBES), np.uint64)
     mix = np.random.default_rng(SEED).integers(1, 1 << 63, size=(TABLES, 8 * BLOCKS), dtype=np.uint64) | np.uint64(1)
     for t, matrix in enumerate(projections(unit.shape[1])):
-        y = unit @ matrix * SCALE
+        y = unit @ matrix * (SCALE * unit.shape[1] ** 0.5)
         parts = [decode(y[:, 8 * b : 8 * b + 8]) for b in range(BLOCKS)]
         own = (np.hstack(parts) * 2).astype(np.int64).astype(np.uint64)
         gain = np.hstack([(y[:, 8 * b : 8 * b + 8] - parts[b]) @ NEIGHBOURS.T for b in range(BLOCKS)])

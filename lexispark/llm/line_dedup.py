@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Forest, components, probably_in, slices, stored, surely_out
+from lexispark.llm.common import Forest, components, packed, probably_in, slices, stored, surely_out, unpacked
 from lexispark.llm.simhash_dedup import near_links
 
 DISTANCE = 3
@@ -238,17 +238,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` with its text less the repeated lines, and n_lines, n_dropped (long) beside it.
 
     Lines are parted by line feeds. Lines without words are no repeats and stay. Null and empty
-    texts stay as they are (no lines, one line). Of rows that repeat an id with its text, the
+    texts stay as they are (no lines, one line). Columns called n_lines or n_dropped are replaced. Of rows that repeat an id with its text, the
     first is the document and the others lose every line that has words. Other columns stay;
     an empty table gives no rows.
     """
     gone = repeats(docs).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "drop", "again")
-    keyed = docs.withColumn("mark_", F.xxhash64("text"))
+    keyed = packed(docs, "doc_id", "text").withColumn("mark_", F.xxhash64("text"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     # Texts that keep all their lines pass by the shuffle.
     whole = surely_out(keyed, F.col("mark_"), gone, F.col("gone_mark"))
-    whole = whole.withColumns({"n_lines": _n_lines(F.col("text")), "n_dropped": F.lit(0).cast("long")}).select(*docs.columns, "n_lines", "n_dropped")
+    whole = whole.select(*unpacked(columns, doc_id=F.col("doc_id"), text=F.col("text")), _n_lines(F.col("text")).alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     some = probably_in(keyed, F.col("mark_"), gone, F.col("gone_mark"))
-    joined = some.join(gone, some["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (some["mark_"] == gone["gone_mark"]), "left")
+    joined = some.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("mark_") == F.col("gone_mark")), "left")
     w = Window.partitionBy("doc_id", "mark_").orderBy("doc_id", "mark_")
     lines = F.split("text", "\n", -1)
     has_words = F.filter(F.sequence(F.lit(0), F.size("lines_") - 1), lambda i: _wordy(F.get("lines_", i)))
@@ -256,11 +257,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), "drop_")
     text = F.when(F.size("drop_") > 0, F.array_join(F.transform(kept, lambda i: F.get("lines_", i)), "\n")).otherwise(F.col("text"))
     changed = joined.withColumn("copy_", F.row_number().over(w)).withColumn("lines_", lines).withColumn("drop_", drop)
-    changed = changed.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.when(F.col("lines_").isNull(), 0).otherwise(F.size("lines_")).cast("long").alias("n_lines"),
-        F.size("drop_").cast("long").alias("n_dropped"),
-    )
+    changed = changed.select(*unpacked(columns, doc_id=F.col("doc_id"), text=text), _n_lines(F.col("text")).alias("n_lines"), F.size("drop_").cast("long").alias("n_dropped"))
     return whole.unionByName(changed)
 
 
@@ -278,7 +275,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     A column n_chars, if there is one, counts the code points that are left in a changed text.
     """
-    out = dedup_lines(docs)
-    changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars") if "n_chars" in docs.columns else None
+    out = dedup_lines(packed(docs, "doc_id", "text", *(["n_chars"] if "n_chars" in docs.columns else [])))
+    changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None
     kept = out.where((F.col("n_dropped") == 0) | _wordy(F.col("text")))
-    return kept.select(*(changed if c == "n_chars" else F.col(c) for c in docs.columns))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")} | ({} if changed is None else {"n_chars": changed})
+    return kept.select(*unpacked(docs.columns, **own))

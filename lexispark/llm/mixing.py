@@ -16,7 +16,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import cut, unit_hash
+from lexispark.llm.common import cut, fresh, packed, unit_hash, unpacked
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells up to which the rounds run in one partition without shuffles; more are dealt out.
@@ -113,7 +113,7 @@ def _target(cells: DataFrame, dim: str, targets: Targets) -> DataFrame:
 def rake(docs: DataFrame, targets: Targets = Targets(), rounds: int = 10) -> DataFrame:
     """(cell_source, cell_lang, cell_topic, tokens, w): natural tokens and raked share of every cell."""
     keys = [f"cell_{d}" for d in DIMENSIONS]
-    cells = cut(celled(docs).withColumn("tokens_", token_count(F.col("text"))).groupBy(*keys).agg(F.sum("tokens_").alias("tokens")))
+    cells = cut(celled(docs).select(*keys, token_count(F.col("text")).alias("tokens")).groupBy(*keys).agg(F.sum("tokens").alias("tokens")))
     if cells.count() <= FEW_CELLS:
         cells = cells.coalesce(1)
     wide = cells
@@ -140,17 +140,21 @@ def mix(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rounds
 
     p is the least of 1 and the cell's rate, weight the rate where that is above 1, and a row
     is kept if a hash of its id (of its text for want of an id) falls below p; rows of equal ids
-    fare alike. An empty table gives no rows. Other columns stay.
+    fare alike. An empty table gives no rows. Other columns stay, but for those of the new names.
     """
     found = rates(rake(docs, targets, rounds), keep)
     draw = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
-    joined = celled(docs).join(found, [f"cell_{d}" for d in DIMENSIONS])
-    return joined.withColumns({"p": F.least(F.lit(1.0), F.col("rate")), "weight": F.greatest(F.lit(1.0), F.col("rate")), "kept": draw < F.col("rate")}).drop("rate")
+    name = fresh(docs, "rate")
+    rate = F.col(name)
+    joined = celled(docs).join(found.withColumnRenamed("rate", name), [f"cell_{d}" for d in DIMENSIONS])
+    return joined.withColumns({"p": F.least(F.lit(1.0), rate), "weight": F.greatest(F.lit(1.0), rate), "kept": draw < rate}).drop(name)
 
 
 def sample(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rounds: int = 10) -> DataFrame:
     """The rows of `docs` that `mix` keeps, with the columns of `docs`."""
-    return mix(docs, targets, keep, rounds).where("kept").select(*docs.columns)
+    used = ("doc_id", "text", "source", "lang")
+    mixed = mix(packed(docs, *used), targets, keep, rounds).where("kept")
+    return mixed.select(*unpacked(docs.columns, **{c: F.col(c) for c in used}))
 
 
 def oracle(targets: Targets = Targets(), keep: float = 0.5, rounds: int = 10) -> str:

@@ -15,8 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lexispark.llm.common import labelled_sample, slices
+from lexispark.llm.common import fresh, labelled_sample, slices
 
 #: Training documents of each class, and lines of each that the fit sees: bounds of the sample.
 PER_CLASS = 1500
@@ -211,5 +212,6 @@ def with_quality(docs: DataFrame, chain: Chain, name: str = "score") -> DataFram
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of `docs` whose quality reaches the threshold, with the columns of `docs`."""
-    scored = with_quality(docs, train(docs, labels, per_class), "quality_score_")
-    return scored.where(scored["quality_score_"] >= threshold).select(*docs.columns)
+    name = fresh(docs, "quality_score")
+    scored = with_quality(docs, train(docs, labels, per_class), name)
+    return scored.where(F.col(name) >= threshold).select(*docs.columns)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import bpe, fingerprints, lattice_dedup, line_dedup, mixing, quality, secrets, sharding, simhash_dedup, toxicity
-from lexispark.llm.common import in_training, shared_folder
+from lexispark.llm.common import in_training
+from lexispark.sources.shared import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

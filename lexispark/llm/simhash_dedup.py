@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Forest, components, per_slice, stored
+from lexispark.llm.common import Forest, components, packed, per_slice, stored, unpacked
 
 SEED = 42
 #: Children of a node of the in-group index.
@@ -271,8 +271,8 @@ def keep_one(docs: DataFrame, width: int = 5, distance: int = 4) -> DataFrame:
     Of repeated rows of that id one stays; rows without an id can't be told apart and all stay.
     """
     kept = near_groups(docs, width, distance).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    with_id = docs.join(kept, docs["doc_id"] == kept["kept_id"])
+    with_id = packed(docs, "doc_id").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"))
     # The join has dealt and sorted the rows by this key, so that the window adds no shuffle.
     w = Window.partitionBy("kept_id").orderBy("kept_id")
-    single = with_id.withColumn("copy_", F.row_number().over(w)).where("copy_ = 1").select(*docs.columns)
+    single = with_id.withColumn("copy_", F.row_number().over(w)).where("copy_ = 1").select(*unpacked(docs.columns, doc_id=F.col("doc_id")))
     return single.unionByName(docs.where(F.col("doc_id").isNull()))
