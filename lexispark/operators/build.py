@@ -14,13 +14,18 @@ from lexispark.plans.spec import IndexSpec
 @dataclass(frozen=True)
 class IndexTables:
     """docs(part, doc_key, len, norm), postings(part, term, doc_key, tf, norm),
-    terms(part, term, df, max_tf, min_norm), stats(part, n_docs, total_len)."""
+    terms(part, term, df, max_tf, min_norm), stats(part, n_docs, total_len).
+
+    vectors(part, doc_key, len, norm, entries) is the forward form that a build begins with; a
+    store writes it first, so that no text is split twice.
+    """
 
     spec: IndexSpec
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    vectors: DataFrame | None = None
 
 
 def frequencies(words: Column) -> Column:
@@ -38,10 +43,15 @@ def frequencies(words: Column) -> Column:
     return F.flatten(F.transform(F.array(ordered), runs))
 
 
-def postings_of(documents: DataFrame) -> DataFrame:
-    """(part, term, doc_key, tf, norm): no shuffle, as a document's words are in its row."""
-    rows = documents.select("part", "doc_key", fieldnorm(F.size("tokens")).alias("norm"), F.inline(frequencies(F.col("tokens"))))
-    return rows.select("part", "term", "doc_key", "tf", "norm")
+def vectors_of(documents: DataFrame) -> DataFrame:
+    """(part, doc_key, len, norm, entries): no shuffle, as a document's words are in its row."""
+    n = F.size("tokens")
+    return documents.select("part", "doc_key", n.alias("len"), fieldnorm(n).alias("norm"), frequencies(F.col("tokens")).alias("entries"))
+
+
+def postings_of(vectors: DataFrame) -> DataFrame:
+    """(part, term, doc_key, tf, norm)"""
+    return vectors.select("part", "doc_key", "norm", F.inline("entries")).select("part", "term", "doc_key", "tf", "norm")
 
 
 def terms_of(postings: DataFrame) -> DataFrame:
@@ -52,13 +62,14 @@ def stats_of(docs: DataFrame) -> DataFrame:
     return docs.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("len").cast("long").alias("total_len"))
 
 
+def from_vectors(spec: IndexSpec, vectors: DataFrame) -> IndexTables:
+    docs, postings = vectors.drop("entries"), postings_of(vectors)
+    return IndexTables(spec, docs, postings, terms_of(postings), stats_of(docs), vectors)
+
+
 def build(df: DataFrame, spec: IndexSpec) -> IndexTables:
     """The tables of an index over `df`, as plans; a store writes them."""
-    documents = spec.documents(df)
-    n = F.size("tokens")
-    docs = documents.select("part", "doc_key", n.alias("len"), fieldnorm(n).alias("norm"))
-    postings = postings_of(documents)
-    return IndexTables(spec, docs, postings, terms_of(postings), stats_of(docs))
+    return from_vectors(spec, vectors_of(spec.documents(df)))
 
 
 def without(tables: IndexTables, dead: DataFrame) -> IndexTables:

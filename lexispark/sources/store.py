@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lexispark.operators.build import IndexTables, build, stats_of, terms_of, union, without
+from lexispark.operators.build import IndexTables, build, from_vectors, stats_of, terms_of, union, without
 from lexispark.plans.spec import IndexSpec
 
 _MANIFEST = "version long, spec string, segments array<string>, tombstones array<string>"
@@ -62,6 +62,9 @@ class IndexStore:
         name = f"segments/{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if tables.vectors is not None:  # texts are split here, once; all else reads what was written
+            tables.vectors.write.parquet(f"{at}/vectors")
+            tables = from_vectors(tables.spec, self.spark.read.schema(tables.vectors.schema).parquet(f"{at}/vectors"))
         # By term, then document: a term of very many documents is split over files.
         ordered = tables.postings.repartitionByRange(parts, "part", "term", "doc_key").sortWithinPartitions("part", "term", "doc_key")
         ordered.write.parquet(f"{at}/postings")
