@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from lexispark.sources.shared import shared_folder
 
 #: Bytes of text that one step of an Arrow function holds as Python objects at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -76,6 +79,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return text.join(F.broadcast(picked), "doc_id")
 
 
+def gathered(sample: DataFrame, values: str) -> tuple[list[np.ndarray], list[int]]:
+    """(arrays, labels) of a bounded sample (doc_id string, label int, an array column), by doc_id.
+
+    Values stay in Arrow's buffers all the way: as Python objects they'd take ten times as much.
+    """
+    table = sample.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks()
+    lists = table.column(values).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
+    if not len(table):
+        return [], []
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], table.column("label").to_pylist()
+
+
 def slices(column: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a text column of about `limit` bytes each, one row at least."""
     start = held = 0
@@ -88,6 +105,23 @@ def slices(column: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES) -> Iter
         yield start, len(column)
 
 
+def give_back() -> None:
+    """Return a task's freed memory to the machine: workers are used again and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """An Arrow function that gives memory back when its partition is done."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def per_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text") -> Callable:
     """An Arrow function that applies `work` to slices of every batch, bounded by text bytes."""
 
@@ -96,7 +130,7 @@ def per_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "tex
             for a, b in slices(batch.column(text)):
                 yield work(batch.slice(a, b - a))
 
-    return run
+    return tidy(run)
 
 
 #: Bits of a bitmap of keys: its table has a row for each 64 of them at most, whatever the corpus.
@@ -132,6 +166,22 @@ def surely_out(df: DataFrame, key: Column, keys: DataFrame, other: Column) -> Da
     return out.where(F.col("bits_").isNull() | (F.col("bits_").bitwiseAND(bit) == 0)).select(*df.columns)
 
 
+def parts_of(n: Column, some: int, many: int, most: int) -> Column:
+    """Parts of a group of n rows: of `some` rows up to `many` parts, then as few as `most` rows allow."""
+    return F.greatest(F.least(F.ceil(n / some), F.lit(many)), F.ceil(n / most)).cast("int")
+
+
+def dealt_parts(key: Column) -> list[Column]:
+    """A row for each pair of parts that a row of a group with `parts` parts takes part in."""
+    own = F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("own")
+    return ["parts", own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")]
+
+
+def pair_of_parts() -> Column:
+    """One number for a pair of parts; for a group of one part that is the group itself."""
+    return (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part")
+
+
 class Forest:
     """Union-find over hashable keys; `join` says whether it linked two separate trees."""
 

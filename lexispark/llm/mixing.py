@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import cut, fresh, packed, unit_hash, unpacked
@@ -114,18 +114,32 @@ def rake(docs: DataFrame, targets: Targets = Targets(), rounds: int = 10) -> Dat
     """(cell_source, cell_lang, cell_topic, tokens, w): natural tokens and raked share of every cell."""
     keys = [f"cell_{d}" for d in DIMENSIONS]
     cells = cut(celled(docs).select(*keys, token_count(F.col("text")).alias("tokens")).groupBy(*keys).agg(F.sum("tokens").alias("tokens")))
-    if cells.count() <= FEW_CELLS:
-        cells = cells.coalesce(1)
     wide = cells
     for dim in DIMENSIONS:
         wide = wide.join(_target(cells, dim, targets).withColumnRenamed("t", f"t_{dim}"), f"cell_{dim}")
     now = cut(wide.withColumn("w", F.col("tokens").cast("double")))
+    scaled = _scaled_here if cells.count() <= FEW_CELLS else _scaled_apart
+    return scaled(now, rounds).select(*keys, "tokens", "w")
+
+
+def _scaled_here(now: DataFrame, rounds: int) -> DataFrame:
+    """All rounds in one partition: windows over it need no shuffle."""
+    now = now.coalesce(1)
+    for _ in range(rounds):
+        for dim in DIMENSIONS:
+            whole = F.sum("w").over(Window.partitionBy(f"cell_{dim}"))
+            now = now.withColumn("w", F.col("w") * F.col(f"t_{dim}") / whole)
+    return cut(now)
+
+
+def _scaled_apart(now: DataFrame, rounds: int) -> DataFrame:
+    """The same for very many cells: sums are shuffled, so that no task holds all cells of a language."""
     for _ in range(rounds):
         for dim in DIMENSIONS:
             sums = now.groupBy(f"cell_{dim}").agg(F.sum("w").alias("sum_w"))
             now = now.join(sums, f"cell_{dim}").withColumn("w", F.col("w") * F.col(f"t_{dim}") / F.col("sum_w")).drop("sum_w")
         now = cut(now)
-    return now.select(*keys, "tokens", "w")
+    return now
 
 
 def rates(cells: DataFrame, keep: float) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import fresh, labelled_sample, slices
+from lexispark.llm.common import fresh, gathered, labelled_sample, slices, tidy
 
 #: Training documents of each class, and lines of each that the fit sees: bounds of the sample.
 PER_CLASS = 1500
@@ -138,7 +138,7 @@ def fit(feats: list[np.ndarray], labels: list[int]) -> Chain:
         lean = 4.0 * (2 * labels[0] - 1) if labels else 0.0
         return Chain(np.zeros(width), np.ones(width), np.zeros(width), lean, np.zeros(4))
     size = np.array([len(f) for f in feats])
-    x = np.vstack(feats)
+    x = np.vstack(feats).astype(float)
     y = np.repeat(np.array(labels, float), size)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = np.clip((x - mean) / scale, -6, 6)
@@ -168,12 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Cha
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats = [line_features(t)[0][:FIT_LINES].ravel() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(feats, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+            feats = [line_features(t)[0][:FIT_LINES].ravel().astype(np.float32) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(feats, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
     sample = labelled_sample(docs, labels, "quality", per_class).select("doc_id", "label", "text")
-    rows = sorted(sample.mapInArrow(run, "doc_id string, label int, x array<double>").collect())
-    return fit([np.array(r.x).reshape(-1, 3 * BASE + 2) for r in rows], [r.label for r in rows])
+    feats, known = gathered(sample.mapInArrow(run, "doc_id string, label int, x array<float>"), "x")
+    return fit([x.reshape(-1, 3 * BASE + 2) for x in feats], known)
 
 
 def qualities(texts: list[str | None], chain: Chain) -> np.ndarray:
@@ -207,7 +207,7 @@ def with_quality(docs: DataFrame, chain: Chain, name: str = "score") -> DataFram
                 scores = np.clip(qualities(part.column("text").to_pylist(), chain), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, name])
 
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, (name, "double")]))
+    return rows.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, (name, "double")]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = PER_CLASS) -> DataFrame:

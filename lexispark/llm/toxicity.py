@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from lexispark.llm.common import labelled_sample, slices
+from lexispark.llm.common import gathered, labelled_sample, slices, tidy
 
 #: Bounds of the sample and the model.
 PER_CLASS = 3000
@@ -86,7 +86,7 @@ def _raw(at, owner, n, weight, factor, bias):
     return bias + _sums(weight[at], owner, n) + pairs, total
 
 
-def fit(terms: list[list[int]], labels: list[int]) -> Machine:
+def fit(terms: list[np.ndarray], labels: list[int]) -> Machine:
     """Choose terms by chi-square and fit by Adam with penalties; one class or no rows give a constant."""
     place = np.full(1 << HASH_BITS, -1, np.int32)
     y = np.array(labels, float)
@@ -95,7 +95,7 @@ def fit(terms: list[list[int]], labels: list[int]) -> Machine:
         return Machine(place, np.zeros(1), np.zeros((1, FACTORS)), lean)
     n1, n0 = y.sum(), len(y) - y.sum()
     size = np.fromiter(map(len, terms), np.int64, len(terms))
-    flat, owner = np.concatenate([np.array(t, np.int64) for t in terms]), np.repeat(np.arange(len(terms)), size)
+    flat, owner = np.concatenate(terms).astype(np.int64), np.repeat(np.arange(len(terms)), size)
     with1 = np.bincount(flat, weights=y[owner], minlength=len(place))
     with0 = np.bincount(flat, minlength=len(place)) - with1
     off = with1 * (n0 - with0) - with0 * (n1 - with1)
@@ -142,8 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mac
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "terms"])
 
     sample = labelled_sample(docs, labels, "toxic", per_class).select("doc_id", "label", "text")
-    rows = sorted(sample.mapInArrow(run, "doc_id string, label int, terms array<int>").collect())
-    return fit([r.terms for r in rows], [r.label for r in rows])
+    return fit(*gathered(sample.mapInArrow(run, "doc_id string, label int, terms array<int>"), "terms"))
 
 
 def with_toxicity(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
@@ -174,4 +173,4 @@ def with_toxicity(docs: DataFrame, model: Machine, name: str = "score") -> DataF
                     known.clear()
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, name])
 
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, (name, "double")]))
+    return rows.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, (name, "double")]))
