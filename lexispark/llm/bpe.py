@@ -17,7 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import count
 
@@ -30,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.common import give_back, tidy
+
 #: Bounds of a chunk, for the memory of a task: characters of text and distinct words.
 CHUNK_CHARS = 16 << 20
 CHUNK_WORDS = 400_000
@@ -60,8 +62,9 @@ def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = 1 + (ranks >= 1 << 7).astype(np.int64) + (ranks >= 1 << 14)
     at = np.cumsum(n) - n
     out = np.empty(int(n.sum()), np.uint8)
-    for k in range(3):
-        has = n > k
+    out[at] = (ranks & 127) | np.where(n > 1, 128, 0)
+    for k in (1, 2):
+        has = np.flatnonzero(n > k)
         out[at[has] + k] = ((ranks[has] >> (7 * k)) & 127) | np.where(n[has] > k + 1, 128, 0)
     return out, n
 
@@ -77,11 +80,12 @@ def unpack(data: np.ndarray) -> np.ndarray:
 def _named(raw: list[bytes], rank: np.ndarray) -> bytes:
     """A digest of the words in the order of their ranks: equal names mean equal ranks."""
     words = [raw[i] for i in np.argsort(rank).tolist()]
-    return hashlib.blake2b(b"".join(len(w).to_bytes(4, "little") + w for w in words), digest_size=16).digest()
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    return hashlib.blake2b(sizes.tobytes() + b"".join(words), digest_size=16).digest()
 
 
 def _raw(words) -> list[bytes]:
-    return [w.encode("utf-8", "surrogatepass") for w in words]
+    return [w.encode() for w in words]  # Spark's strings are valid UTF-8
 
 
 def _words(pattern: str, buckets: int):
@@ -95,15 +99,16 @@ def _words(pattern: str, buckets: int):
         def close() -> pa.RecordBatch:
             raw = _raw(seen)
             rank = _by_frequency(np.fromiter(seen.values(), np.int64, len(seen)))
-            dealt: dict[int, list[int]] = {}
-            for i, w in enumerate(raw):
-                dealt.setdefault(xxhash.xxh32_intdigest(w) % buckets, []).append(i)
+            bucket = np.fromiter(map(xxhash.xxh32_intdigest, raw), np.int64, len(raw)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            heads = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1]))) if len(raw) else order
             places, words = [], []
-            for at in dealt.values():
-                head = np.array([len(at), *(len(raw[i]) for i in at)], np.uint32).tobytes()
+            for at in np.split(order, heads[1:]) if len(raw) else ():
+                own = [raw[i] for i in at.tolist()]
+                head = np.array([len(own), *map(len, own)], np.uint32).tobytes()
                 places.append(squeeze.compress(rank[at].astype(np.uint32).tobytes()))
-                words.append(squeeze.compress(head + b"".join(raw[i] for i in at)))
-            columns = [pa.array(list(dealt), pa.int32()), pa.array([_named(raw, rank)] * len(dealt), pa.binary()), pa.array(places, pa.binary()), pa.array(words, pa.binary())]
+                words.append(squeeze.compress(head + b"".join(own)))
+            columns = [pa.array(bucket[order][heads].astype(np.int32)), pa.array([_named(raw, rank)] * len(words), pa.binary()), pa.array(places, pa.binary()), pa.array(words, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "places", "words"])
 
         for batch in batches:
@@ -138,13 +143,14 @@ def _positions(pattern: str):
         size = 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(len(place), np.int64)
-            for body in bodies:
-                seen += np.bincount(body, minlength=len(place))
-            rank = _by_frequency(seen)
+            rank = _by_frequency(np.bincount(np.concatenate(bodies), minlength=len(place)))
             name = _named(_raw(place), rank)
             for a in range(0, len(ids), 1000):
-                part = [pack(rank[body])[0].tobytes() for body in bodies[a : a + 1000]]
+                some = bodies[a : a + 1000]
+                data, n = pack(rank[np.concatenate(some)])
+                ends = np.cumsum(np.concatenate(([0], n)))[np.cumsum([0, *map(len, some)])].tolist()
+                blob = data.tobytes()
+                part = [blob[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.binary()), pa.array(ids[a : a + 1000], pa.int64()), pa.array(part, pa.binary())], names=["chunk", "doc_id", "body"])
 
         for batch in batches:
@@ -187,7 +193,7 @@ def _encoder(path: str, pattern: str):
     return run
 
 
-def _assemble(key, texts: pa.Table, dictionary: pa.Table) -> pa.Table:
+def _assemble(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
     """Ids of every text of one chunk, by position."""
     loose, parts = zstandard.ZstdDecompressor(), []
     for places, ids in zip(dictionary.column("places").to_pylist(), dictionary.column("ids").to_pylist(), strict=True):
@@ -217,20 +223,28 @@ def _assemble(key, texts: pa.Table, dictionary: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids_of, pa.int64()), "ids": lists})
 
 
-def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, finish: Callable[[pa.Table], pa.Table] | None = None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """(doc_id, ids array<int>) of every row's whole text, as tiktoken's encode_ordinary gives them.
 
     Null and empty texts have no ids; repeated rows and rows without an id are encoded like any
     other; other columns play no part; an empty table gives no rows. `path` names a rank file
-    that every machine has.
+    that every machine has. `finish` may turn a chunk's rows into others (of `schema`) where
+    they arise, so that ids needn't leave their task.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 8 * parts
     rows = docs.select(F.col("doc_id").cast("long"), "text")  # the same columns for both readings: the same partitions
-    words = rows.mapInArrow(_words(pattern, buckets), "bucket int, chunk binary, places binary, words binary")
-    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(path, pattern), "chunk binary, places binary, ids binary")
-    texts = rows.mapInArrow(_positions(pattern), "chunk binary, doc_id long, body binary")
-    return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(lambda k, a, b: _assemble(k, a, b), "doc_id long, ids array<int>")
+    words = rows.mapInArrow(tidy(_words(pattern, buckets)), "bucket int, chunk binary, places binary, words binary")
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_encoder(path, pattern)), "chunk binary, places binary, ids binary")
+    texts = rows.mapInArrow(tidy(_positions(pattern)), "chunk binary, doc_id long, body binary")
+
+    def assemble(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        out = _assemble(a, b)
+        out = finish(out) if finish else out
+        give_back()
+        return out
+
+    return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(assemble, schema)
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -249,28 +263,32 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     return coded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*coded.dtypes, ("decoded", "binary")]))
 
 
-def digest(coded: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows, and their ids if asked for.
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    The decoded bytes come from `decode`'s join with the token-byte table.
+
+def digests(path: str, with_ids: bool = False) -> Callable[[pa.Table], pa.Table]:
+    """A function from (doc_id, ids) to DIGEST rows, and the ids if asked for.
+
+    The decoded bytes come from the ids alone, by the same join with the token-byte table.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(coded: pa.Table) -> pa.Table:
         table = token_bytes(path)
-        written, known = [b"%d" % i for i in range(len(table))].__getitem__, table.__getitem__
-        sha = hashlib.sha256
-        for batch in batches:
-            n, a, b = [], [], []
-            lists = batch.column("ids")
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for i in range(batch.num_rows):
-                ids = flat[ends[i] : ends[i + 1]].tolist()
-                n.append(len(ids))
-                a.append(sha(b",".join(map(written, ids))).hexdigest())
-                b.append(sha(b"".join(map(known, ids))).hexdigest())
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([*columns, lists] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return coded.select("doc_id", "ids").mapInArrow(run, schema)
+        written, known = _written(path).__getitem__, table.__getitem__
+        sha, lists = hashlib.sha256, coded.column("ids").combine_chunks()
+        n, a, b = [], [], []
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for i in range(len(coded)):
+            ids = flat[ends[i] : ends[i + 1]].tolist()
+            n.append(len(ids))
+            a.append(sha(b",".join(map(written, ids))).hexdigest())
+            b.append(sha(b"".join(map(known, ids))).hexdigest())
+        out = {"doc_id": coded.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
+        return pa.table(out | ({"ids": lists} if with_ids else {}))
+
+    return run
+
+
+@cache
+def _written(path: str) -> list[bytes]:
+    return [b"%d" % i for i in range(len(token_bytes(path)))]

@@ -40,7 +40,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, finish=bpe.digests(path), schema=bpe.DIGEST)
 
 
 def op6_lcp_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
