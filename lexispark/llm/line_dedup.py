@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Forest, components, packed, probably_in, slices, stored, surely_out, unpacked
+from lexispark.llm.common import Forest, components, dealt_parts, packed, pair_of_parts, parts_of, probably_in, slices, stored, surely_out, tidy, unpacked
 from lexispark.llm.simhash_dedup import near_links
 
 DISTANCE = 3
@@ -175,12 +175,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def occurrences(docs: DataFrame) -> DataFrame:
     """(k1, k2, fp, doc_id, mark, line_no) of every line that has words."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_lines(False), "k1 long, k2 long, fp long, doc_id long, mark long, line_no int")
-
-
-def _parts(n: Column) -> Column:
-    """Parts of a group of n lines: of SOME lines, up to MANY parts, then as few as PART lines allow."""
-    return F.greatest(F.least(F.ceil(n / SOME), F.lit(MANY)), F.ceil(n / PART)).cast("int")
+    return rows.mapInArrow(tidy(_lines(False)), "k1 long, k2 long, fp long, doc_id long, mark long, line_no int")
 
 
 def similar_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -188,26 +183,24 @@ def similar_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     A line's node is 64 bits of its 128-bit key; `holder` is the id of a document that has it.
     """
-    fps = distinct.groupBy("fp").agg(F.count("*").alias("n"))
     many = distinct.count()
     agree = 1 if many <= ONE_BLOCK else 2 if many <= TWO_BLOCKS else 3
-    linked = components(near_links(fps, DISTANCE, agree)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    linked = components(near_links(distinct, DISTANCE, agree)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     # Lines of equal SimHash but different words are candidates too.
-    same = fps.where("n > 1").select("fp").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"))
-    nodes = stored(distinct.join(linked.unionByName(same), "fp").select("k1", "k2", "fp", "root", "holder"), "line-candidates")
-    parts = nodes.groupBy("root").agg(_parts(F.count("*")).alias("parts"))
+    same = distinct.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    same = same.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"))
+    near = stored(linked.unionByName(same), "line-roots")
+    nodes = probably_in(distinct, F.col("fp"), near, F.col("fp")).join(near, "fp")
+    nodes = stored(nodes.select("k1", "k2", "fp", "root", "holder"), "line-candidates")
+    parts = nodes.groupBy("root").agg(parts_of(F.count("*"), SOME, MANY, PART).alias("parts"))
     # The lines' texts come from one document each: only those are split again.
     holders = probably_in(docs.select(F.col("doc_id").cast("long"), "text"), F.col("doc_id"), nodes, F.col("holder"))
-    texts = holders.mapInArrow(_lines(True), "k1 long, k2 long, line string")
+    texts = holders.mapInArrow(tidy(_lines(True)), "k1 long, k2 long, line string")
     texts = probably_in(texts, F.col("k1"), nodes, F.col("k1"))
     texts = texts.join(nodes.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    own = F.pmod("k2", F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = nodes.join(texts, ["k1", "k2"]).join(parts, "root").select("root", F.col("k1").alias("node"), "fp", "line", "parts", own.alias("own"), other.alias("other"))
-    # A group of several parts meets in pairs of parts; for one part that is the group itself.
-    part = (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part")
-    dealt = dealt.select("root", part, "node", "fp", "line").repartition("root", "part").sortWithinPartitions("root", "part", "node")
-    return components(dealt.mapInArrow(_verify, "src long, dst long"))
+    dealt = nodes.join(texts, ["k1", "k2"]).join(parts, "root").select("root", F.col("k1").alias("node"), "fp", "line", *dealt_parts(F.col("k2")))
+    dealt = dealt.select("root", pair_of_parts(), "node", "fp", "line").repartition("root", "part").sortWithinPartitions("root", "part", "node")
+    return components(dealt.mapInArrow(tidy(_verify), "src long, dst long"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -219,8 +212,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     distinct = rows.groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("holder"), F.count("*").alias("n"))
     distinct = stored(distinct, "distinct-lines")
     found = similar_groups(docs, distinct)
-    fuzzy = distinct.join(found, distinct["k1"] == found["node"]).select("k1", "k2", F.col("component").alias("line_group"))
-    exact = distinct.where("n > 1").join(found, distinct["k1"] == found["node"], "left_anti").select("k1", "k2", F.col("k1").alias("line_group"))
+    found = stored(found, "similar-lines")
+    fuzzy = probably_in(distinct, F.col("k1"), found, F.col("node")).join(found, F.col("k1") == F.col("node")).select("k1", "k2", F.col("component").alias("line_group"))
+    exact = distinct.where("n > 1").join(found, F.col("k1") == F.col("node"), "left_anti").select("k1", "k2", F.col("k1").alias("line_group"))
     groups = stored(fuzzy.unionByName(exact), "line-groups")
     some = probably_in(rows.drop("fp"), F.col("k1"), groups, F.col("k1"))
     members = stored(some.join(groups, ["k1", "k2"]).select("line_group", "doc_id", "mark", "line_no"), "line-members")

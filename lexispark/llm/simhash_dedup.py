@@ -11,6 +11,9 @@ masked pattern. Inside a group, `GrayIndex` factors the bits that runs of Gray n
 share into further nodes, and a search drops a whole run as soon as the differences
 accumulated on the way down exceed `distance`. A task emits the links of a spanning forest of
 each group, never all pairs; exact copies are one row before any search.
+
+`near_groups` links by bits alone. `similar_groups` finds all pairs of a likeness: its tables
+lead with random masks over 128 bits, and shingle sets decide.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Forest, components, packed, per_slice, stored, unpacked
+from lexispark.llm.common import Forest, components, dealt_parts, packed, pair_of_parts, parts_of, per_slice, probably_in, stored, tidy, unpacked
 
 SEED = 42
 #: Children of a node of the in-group index.
@@ -224,26 +227,15 @@ def _links(layout: Layout, distance: int):
                 yield fps[ij[:, 0]].view(np.int64), fps[ij[:, 1]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "key", "low")]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) if len(now[0]) else np.empty(0, bool)
-            end = len(same) - int(same.sum())  # the last group may go on in the next batch
-            held = [x[end:] for x in now]
-            if end:
-                for src, dst in solve(*(x[:end] for x in now)):
-                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
-        if held is not None and len(held[0]):
-            for src, dst in solve(*held):
+        for columns in whole_groups(batches, ("t", "key"), ("t", "key", "low")):
+            for src, dst in solve(*columns):
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
-    return run
+    return tidy(run)
 
 
 def near_links(fps: DataFrame, distance: int = 4, agree: int = 2) -> DataFrame:
-    """(src, dst) links that connect all distinct fingerprints `fp` within `distance` bits."""
+    """(src, dst) links that connect all fingerprints `fp` within `distance` bits; best given once each."""
     layout = Layout(distance, agree)
     ranks = fps.select("fp").mapInArrow(_to_ranks(layout), "t byte, key int, low long")
     ordered = ranks.repartition("t", "key").sortWithinPartitions("t", "key", "low")
@@ -265,12 +257,217 @@ def near_groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame
     return rows.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of `docs` without near-duplicates: the smallest doc_id of each component stays.
+# Near-duplicates by similarity: 128 bits find candidates, shingle sets decide
+
+#: Bits that lead a table's permutation, tables over each half of the 128 bits, and candidates' distance.
+LEAD, MASKS, WIDE_DISTANCE = 14, 48, 32
+#: Documents of one group of candidates that a task verifies, as in line dedup: see `parts_of`.
+SOME, MANY, PART = 200, 32, 4000
+
+
+def _remixed(hashes: np.ndarray) -> np.ndarray:
+    """A second hash of each shingle, for 64 more bits that are independent of the first."""
+    x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _node(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a sequence of shingles: equal texts (in lower case, spaces aside) have one."""
+    name = xxhash.xxh3_64_intdigest(hashes.tobytes())
+    return name - ((name >> 63) << 64)
+
+
+def _wide(width: int):
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [shingle_hashes(t, width) for t in batch.column("text").to_pylist()]
+        columns = [
+            batch.column("doc_id"),
+            pa.array([_node(h) for h in hashes], pa.int64()),
+            pa.array(np.fromiter((majority(h) for h in hashes), np.uint64, len(hashes)).view(np.int64)),
+            pa.array(np.fromiter((majority(_remixed(h)) for h in hashes), np.uint64, len(hashes)).view(np.int64)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "fp2"])
+
+    return per_slice(work)
+
+
+def _leads() -> list[list[int]]:
+    """For each mask LEAD random bits, then the others: the order in which a table reads a code's bits."""
+    rng = np.random.default_rng(64)
+    return [rng.permutation(64).tolist() for _ in range(MASKS)]
+
+
+def _spread(order: list[int]) -> np.ndarray:
+    """Where each value of each byte of a code goes under a permutation of its bits."""
+    out = np.zeros((8, 256), np.uint64)
+    value = np.arange(256, dtype=np.uint64)
+    for place, bit in enumerate(order):
+        out[bit // 8] |= (value >> np.uint64(bit % 8) & np.uint64(1)) << np.uint64(63 - place)
+    return out
+
+
+def _to_wide_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spreads = [_spread(order) for order in _leads()]
+    for batch in batches:
+        halves = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "fp2")]
+        octets = [h.view(np.uint8).reshape(-1, 8) for h in halves]
+        for half in (0, 1):
+            for m, spread in enumerate(spreads):
+                code = np.zeros(batch.num_rows, np.uint64)
+                for k in range(8):
+                    code |= spread[k][octets[half][:, k]]
+                rank = gray_rank(code)
+                columns = [
+                    pa.array(np.full(batch.num_rows, 2 * m + half, np.int16)),
+                    pa.array((rank >> np.uint64(64 - LEAD)).astype(np.int32)),
+                    pa.array((rank & np.uint64((1 << (64 - LEAD)) - 1)).astype(np.int64)),
+                    pa.array(halves[1 - half]),
+                    batch.column("node"),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "key", "low", "other", "node"])
+
+
+def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of nodes within WIDE_DISTANCE of 128 bits, in groups that share a masked pattern."""
+
+    def solve(t, key, low, other, node) -> pa.RecordBatch | None:
+        rank = (key.astype(np.uint64) << np.uint64(64 - LEAD)) | low.astype(np.uint64)
+        codes, other = rank ^ (rank >> np.uint64(1)), other.view(np.uint64)
+        cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(t)]))
+        sizes = ends - starts
+        g = np.repeat(np.arange(len(starts)), sizes)
+        small, forest, out = sizes[g] <= SMALL, Forest(), []
+        for d in range(1, SMALL):
+            at = np.flatnonzero(small[:-d] & (g[d:] == g[:-d])) if d < len(g) else np.empty(0, np.int64)
+            if not len(at):
+                break
+            at = at[np.bitwise_count(codes[at] ^ codes[at + d]) + np.bitwise_count(other[at] ^ other[at + d]) <= WIDE_DISTANCE]
+            out.extend((i, i + d) for i in at.tolist() if forest.join(i, i + d))
+        for k in np.flatnonzero(sizes > SMALL):
+            left, todo = np.arange(starts[k], ends[k]), []
+            while len(left) or todo:
+                if not todo:
+                    todo.append(int(left[0]))
+                    left = left[1:]
+                i = todo.pop()
+                hit = np.bitwise_count(codes[left] ^ codes[i]) <= WIDE_DISTANCE  # what this half alone has against it
+                some = left[hit]
+                near = np.bitwise_count(codes[some] ^ codes[i]) + np.bitwise_count(other[some] ^ other[i]) <= WIDE_DISTANCE
+                hit[hit] = near
+                out.extend((i, j) for j in left[hit].tolist())
+                todo.extend(left[hit].tolist())
+                left = left[~hit]
+        if not out:
+            return None
+        ij = np.array(out)
+        return pa.RecordBatch.from_arrays([pa.array(node[ij[:, 0]]), pa.array(node[ij[:, 1]])], names=["src", "dst"])
+
+    for columns in whole_groups(batches, ("t", "key"), ("t", "key", "low", "other", "node")):
+        if (links := solve(*columns)) is not None:
+            yield links
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of a stream sorted by `keys` (the first of `names`), cut so that no group is parted."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        last = np.logical_and.reduce([x == x[-1] for x in now[: len(keys)]])
+        end = len(last) - int(last.sum())
+        held = [x[end:] for x in now]
+        if end:
+            yield [x[:end] for x in now]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _shingle_sets(width: int):
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [shingle_hashes(t, width) for t in batch.column("text").to_pylist()]
+        sets = pa.array([np.unique(h).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([_node(h) for h in hashes], pa.int64()), sets], names=["node", "shingles"])
+
+    return per_slice(work)
+
+
+def _verified(least: float):
+    """Spanning links of the documents of each part of a group whose shingle sets are `least` alike (Jaccard)."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        forest, out = Forest(), []
+        sets = [np.asarray(r[3], np.int64) for r in rows]
+        a, b = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in (1, 2))
+        size = np.array([len(x) for x in sets])
+        for i in range(1, len(rows)):
+            close = np.bitwise_count(a[:i] ^ a[i]) + np.bitwise_count(b[:i] ^ b[i]) <= WIDE_DISTANCE
+            close &= (np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i]) - 1e-9)
+            for j in np.flatnonzero(close).tolist():
+                if forest.find(i) == forest.find(j):
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= least * (size[i] + size[j] - both) - 1e-9:
+                    forest.join(i, j)
+                    out.append((rows[i][0], rows[j][0]))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            lists = batch.column("shingles")
+            for k, (root, part, node, fp, fp2) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "part", "node", "fp", "fp2")), strict=True)):
+                if (root, part) != now:
+                    if len(rows) > 1:
+                        yield solve(rows)
+                    now, rows = (root, part), []
+                rows.append((node, fp, fp2, lists[k].values.to_numpy()))
+        if len(rows) > 1:
+            yield solve(rows)
+
+    return tidy(run)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row of `docs`: groups of documents at least `least` alike.
+
+    Likeness is the Jaccard similarity of the sets of `width`-word shingles. Two 64-bit
+    SimHashes of each document stand in MASKS tables each, led by LEAD random bits and sorted by
+    Gray rank; documents that share a masked pattern and differ in WIDE_DISTANCE of the 128
+    bits at most are candidates, and candidates are linked only if their shingle sets are alike.
+    Equal word sequences are one node from the start. component_id is the smallest doc_id
+    that links reach, null only where no row of a group has an id.
+    """
+    rows = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_wide(width), "doc_id long, node long, fp long, fp2 long"), "wide-simhash")
+    nodes = stored(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.min("doc_id").alias("holder")), "simhash-nodes")
+    ranks = nodes.select("node", "fp", "fp2").mapInArrow(tidy(_to_wide_ranks), "t short, key int, low long, other long, node long")
+    ordered = ranks.repartition("t", "key").sortWithinPartitions("t", "key", "low")
+    roots = stored(components(ordered.mapInArrow(tidy(_wide_links), "src long, dst long")).select("node", F.col("component").alias("root")), "simhash-roots")
+    some = stored(probably_in(nodes, F.col("node"), roots, F.col("node")).join(roots, "node"), "simhash-candidates")
+    parts = some.groupBy("root").agg(parts_of(F.count("*"), SOME, MANY, PART).alias("parts"))
+    # Shingles come from one document of each node: only those are read again.
+    holders = probably_in(docs.select(F.col("doc_id").cast("long"), "text"), F.col("doc_id"), some, F.col("holder"))
+    sets = probably_in(holders.mapInArrow(_shingle_sets(width), "node long, shingles array<long>"), F.col("node"), some, F.col("node"))
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = some.join(sets, "node").join(parts, "root")
+    dealt = dealt.select("root", "node", "fp", "fp2", "shingles", *dealt_parts(F.col("node")))
+    dealt = dealt.select("root", pair_of_parts(), "node", "fp", "fp2", "shingles").repartition("root", "part").sortWithinPartitions("root", "part", "node")
+    found = components(dealt.mapInArrow(_verified(least), "src long, dst long"))
+    placed = nodes.select("node", "holder").join(found, "node", "left").select("node", "holder", F.coalesce("component", "node").alias("group_"))
+    ids = placed.groupBy("group_").agg(F.min("holder").alias("component_id"))
+    return rows.select("doc_id", "node").join(placed.join(ids, "group_").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of `docs` without near-duplicates: the smallest doc_id of each group stays (see `similar_groups`).
 
     Of repeated rows of that id one stays; rows without an id can't be told apart and all stay.
     """
-    kept = near_groups(docs, width, distance).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = similar_groups(docs, width, least).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     with_id = packed(docs, "doc_id").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"))
     # The join has dealt and sorted the rows by this key, so that the window adds no shuffle.
     w = Window.partitionBy("kept_id").orderBy("kept_id")

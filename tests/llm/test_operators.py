@@ -181,10 +181,10 @@ def test_rebalancing_evens_bytes_with_few_moves():
 # 3 Mixing
 
 
-def test_mixing(spark, docs, none):
+def test_mixing(spark, docs, none, monkeypatch):
     mixed = mixing.mix(docs, keep=0.6)
     assert mixed.count() == docs.count()
-    cells = mixing.rake(docs, rounds=60).collect()
+    cells = mixing.rake(docs, rounds=30).collect()
     total, mass = sum(r.w for r in cells), sum(r.tokens for r in cells)
     for dim in ("source", "topic"):
         power = mixing.Targets().powers[dim]
@@ -198,6 +198,9 @@ def test_mixing(spark, docs, none):
             assert all(raked[v] == pytest.approx(want[v] / sum(want.values()), rel=1e-6) for v in want)
     assert mixing.sample(docs).columns == docs.columns
     assert mixing.mix(none).count() == 0
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    apart = mixing.rake(docs, rounds=30).collect()
+    assert sorted((r[0], r[1], r[2], r.tokens, round(r.w, 6)) for r in apart) == sorted((r[0], r[1], r[2], r.tokens, round(r.w, 6)) for r in cells)
     expected = sum(r.p * r.weight * r.n for r in mixed.withColumn("n", mixing.token_count(F.col("text"))).collect())
     assert expected == pytest.approx(0.6 * mass, rel=1e-9)
 
@@ -214,7 +217,7 @@ def test_bpe_round_trip(spark, docs, rows, none):
     assert sorted(((r.doc_id, r.ids) for r in coded.collect()), key=key) == expected
     decoded = sorted(((r.doc_id, bytes(r.decoded).decode()) for r in bpe.decode(coded, path).collect()), key=key)
     assert decoded == sorted(((i, t or "") for i, t, *_ in rows), key=key)
-    digest = sorted((tuple(r) for r in bpe.digest(coded, path).collect()), key=key)
+    digest = sorted((tuple(r) for r in bpe.encode(docs, path, P.PATTERN, finish=bpe.digests(path), schema=bpe.DIGEST).collect()), key=key)
     assert digest == sorted(((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(whole.decode_bytes(ids)).hexdigest()) for i, ids in expected), key=key)
     assert bpe.encode(none, path, P.PATTERN).count() == 0
 
@@ -223,7 +226,7 @@ def test_bpe_small_chunks(spark, docs, monkeypatch):
     P = pytest.importorskip("public_tokenizers")
     path = P.path("byte_bpe_multi_50k.tiktoken")
     before = sorted((tuple(r) for r in bpe.encode(docs, path, P.PATTERN).collect()), key=key)
-    monkeypatch.setattr(bpe, "CHUNK_WORDS", 40)  # travels with the pickled functions only where modules are copied; the driver's split is local
+    monkeypatch.setattr(bpe, "CHUNK_WORDS", 40)
     batches = list(bpe._words(P.PATTERN, 3)(iter(docs.select("doc_id", "text").coalesce(1).toArrow().to_batches())))
     assert len({bytes(c.as_py()) for b in batches for c in b.column("chunk")}) > 5
     assert before == sorted((tuple(r) for r in bpe.encode(docs, path, P.PATTERN).collect()), key=key)
@@ -424,11 +427,50 @@ def test_simhash_equals_brute_force(spark, docs, rows, none):
     best = {k: min((x for x in v if x is not None), default=None) for k, v in least.items()}
     expected = sorted(((r[0], fps[k] - ((fps[k] >> 63) << 64), best[forest.find(k)]) for k, r in enumerate(rows)), key=key)
     assert sorted((tuple(r) for r in simhash_dedup.near_groups(docs).collect()), key=key) == expected
-    kept = simhash_dedup.keep_one(docs, width=4)
+    assert simhash_dedup.near_groups(none).count() == 0
+
+
+def plain_similar(rows, least=0.8, width=5):
+    """(doc_id, component_id) by Jaccard similarity of all pairs' shingle sets."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set())
+    forest = Forest()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or (a and sets[j] and len(a & sets[j]) >= least * len(a | sets[j])):
+                forest.join(i, j)
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best.setdefault(forest.find(k), []).append(i)
+    return sorted(((i, min((x for x in best[forest.find(k)] if x is not None), default=None)) for k, (i, _) in enumerate(rows)), key=key)
+
+
+@pytest.mark.parametrize("direct", [False, True])
+def test_similar_documents_equal_brute_force(spark, docs, rows, none, monkeypatch, direct):
+    if direct:  # every group through the walk and in pairs of parts
+        monkeypatch.setattr(simhash_dedup, "SMALL", 2)
+        monkeypatch.setattr(simhash_dedup, "SOME", 3)
+    rng = random.Random(8)
+    more = []
+    for i in range(12):
+        words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(150)]
+        for j in range(6):
+            changed = list(words)
+            for k in rng.sample(range(150), j):
+                changed[k] = "new"
+            more.append((1000 + 10 * i + j, " ".join(changed)))
+    every = [r[:2] for r in rows] + more
+    df = spark.createDataFrame(every, "doc_id long, text string")
+    expected = plain_similar(every)
+    assert sorted((tuple(r) for r in simhash_dedup.similar_groups(df).collect()), key=key) == expected
+    kept = simhash_dedup.keep_one(docs)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns
-    assert sorted(i for i in ids if i is not None) == sorted({b for b in best.values() if b is not None}) and ids.count(None) == 2
-    assert simhash_dedup.near_groups(none).count() == 0
+    best = {c for _, c in plain_similar([r[:2] for r in rows]) if c is not None}
+    assert sorted(i for i in ids if i is not None) == sorted(best) and ids.count(None) == 2
+    assert simhash_dedup.similar_groups(none).count() == 0 and simhash_dedup.keep_one(none).count() == 0
 
 
 @settings(max_examples=20, deadline=None)
