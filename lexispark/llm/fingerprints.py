@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import SLICE_BYTES
+from lexispark.llm.common import SLICE_BYTES, tidy
 
 BINS = 64
 LEVELS = (2, 3)
@@ -155,7 +155,7 @@ def with_fingerprint(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_of(s) for s in _sliced(texts)], pa.string())], names=[*batch.schema.names, name])
 
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, (name, "string")]))
+    return rows.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, (name, "string")]))
 
 
 def _sliced(texts: list[bytes]) -> np.ndarray:
@@ -244,5 +244,5 @@ def with_edits(docs: DataFrame) -> DataFrame:
     every = placed.select("bucket", F.lit(False).alias("extra"), "doc_id", mark, "text").unionByName(extra)
     ordered = every.repartition("bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("doc_id"), "mark")
     return ordered.select("doc_id", "text", "extra").mapInArrow(
-        _compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        tidy(_compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
