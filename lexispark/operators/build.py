@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,14 @@ class IndexTables:
     stats: DataFrame
     vectors: DataFrame | None = None
 
+    def cached(self) -> IndexTables:
+        """The same index with its tables kept by Spark's storage, which evicts what it has no room for."""
+        return replace(self, **{name: getattr(self, name).persist() for name in ("docs", "postings", "terms", "stats")})
+
+    def released(self) -> None:
+        for name in ("docs", "postings", "terms", "stats"):
+            getattr(self, name).unpersist()
+
 
 def frequencies(words: Column) -> Column:
     """(term, tf) of a document's lexemes: sorted once, runs counted, all inside its own row."""

@@ -159,3 +159,17 @@ class IndexStore:
         old = self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/manifests/*")
         named = old.select(F.explode(F.concat("segments", "tombstones")).alias("folder")).distinct()
         return named.where(~F.col("folder").isin([*m.segments, *m.tombstones]))
+
+    def vacuum(self) -> int:
+        """Delete the files of earlier versions; returns how many folders went. Readers of those versions must be done.
+
+        Deletion goes through Hadoop's file systems, so any path that Spark writes will do. The
+        number of folders follows the versions, not the data.
+        """
+        old = [r.folder for r in self.pending_files().collect()]
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        gone = 0
+        for folder in old:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+            gone += path.getFileSystem(conf).delete(path, True)
+        return gone

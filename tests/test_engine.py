@@ -181,6 +181,10 @@ def test_store_lifecycle(spark, rows, tmp_path):
     m = store.manifest()
     assert len(m.segments) == 1 and not m.tombstones and store.pending_files().count() > 3
     assert {r.item: r.value for r in store.summarize().collect()}["total_docs"] == str(len(state))
+    assert store.vacuum() > 3 and store.vacuum() == 0
+    kept = store.tables().cached()
+    assert search.search(kept, "omega", None).count() == 1 and kept.postings.is_cached
+    kept.released()
     with pytest.raises(ValueError, match="does not exist"):
         IndexStore(spark, str(tmp_path / "none")).tables()
 
