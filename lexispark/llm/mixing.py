@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import cut, fresh, packed, unit_hash, unpacked
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Cells up to which the rounds run in one partition without shuffles; more are dealt out.
+#: Cells up to which the rounds run in one partition and rates are broadcast; more are dealt out.
 FEW_CELLS = 200_000
 _TOKEN = r"[^\x20\x09\x0A\x0C\x0D]+"
 
@@ -156,7 +156,9 @@ def mix(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rounds
     is kept if a hash of its id (of its text for want of an id) falls below p; rows of equal ids
     fare alike. An empty table gives no rows. Other columns stay, but for those of the new names.
     """
-    found = rates(rake(docs, targets, rounds), keep)
+    found = cut(rates(rake(docs, targets, rounds), keep))
+    if found.count() <= FEW_CELLS:  # a checked size: texts need no shuffle, and a hot cell no task of its own
+        found = F.broadcast(found)
     draw = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     name = fresh(docs, "rate")
     rate = F.col(name)
