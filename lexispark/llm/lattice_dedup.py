@@ -222,3 +222,18 @@ def near_groups(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = placed.unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def oracle(least: float = 0.93) -> str:
+    """DuckDB SQL for `near_groups(embeddings)`: cosines of all pairs of a label, and what they reach."""
+    return f"""
+with recursive v as (select row_number() over () as rid, vec_id, label, embedding::double[] as e from embeddings),
+good as (select * from v where vec_id is not null and label is not null and len(e) > 0
+  and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as materialized (select a.rid as a, b.rid as b from good a join good b on a.label = b.label and a.rid <> b.rid and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= {least}),
+reach as (select rid, rid as to_rid from v union select rid, b from reach join links on a = to_rid),
+n as (select a as rid, count(*)::bigint as n from links group by a),
+c as (select reach.rid, min(v.vec_id) as component_id from reach join v on v.rid = to_rid group by reach.rid)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id is not distinct from component_id as kept
+from v join c using (rid) left join n using (rid)"""

@@ -91,4 +91,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_raked_mixing": mixing.oracle(), "op9_secret_scan": secrets.oracle()}
+    return {"op3_raked_mixing": mixing.oracle(), "op7_lattice_near_dedup": lattice_dedup.oracle(), "op9_secret_scan": secrets.oracle()}
