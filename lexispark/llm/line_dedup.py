@@ -44,7 +44,7 @@ def simhashes(lines: list[list[bytes]]) -> np.ndarray:
     A word counts once however often it stands in the line: else the few most frequent words
     of a language decide, and unrelated lines come near each other.
     """
-    sets = [dict.fromkeys(words) for words in lines]
+    sets = list(map(set, lines))
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(sets)), np.uint64, int(size.sum()))
     out = np.zeros(len(lines), np.uint64)
@@ -256,7 +256,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def _n_lines(text: Column) -> Column:
-    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     return F.coalesce(feeds + 1, F.lit(0)).cast("long")
 
 
