@@ -23,7 +23,7 @@ PER_CLASS = 3000
 HASH_BITS = 18
 TERMS = 2048
 FACTORS = 8
-ROUNDS = 400
+ROUNDS = 160
 #: Words whose terms a task remembers, before it forgets them all.
 REMEMBERED = 300_000
 
