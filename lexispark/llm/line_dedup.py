@@ -1,17 +1,19 @@
 """Fuzzy line dedup: one occurrence of each group of equal or nearly equal lines stays.
 
 Lines are normalised (lower case, words only) and hashed; equal ones are one row from then on.
-SimHashes of the distinct lines within DISTANCE bits agree on one of DISTANCE + 1 blocks
-(pigeonhole; on more of more blocks when there are many lines), so lines are grouped by
-blocks. Lines that such links connect come together with their texts, and pairs within
-DISTANCE bits whose edit similarity reaches SIMILARITY are linked. Of each connected group the
-occurrence with the smallest (doc_id, text hash, line number) stays.
+A distinct line's sketch has a byte for each of HASHES hashes: of the least of its GRAM-byte
+shingles under that hash. An edit changes few shingles, so similar lines agree on many bytes;
+lines are grouped by each of BANDS triples of bytes, and those of a group that agree on AGREE
+bytes at least, and whose lengths allow it, are candidates. Lines of up to SHORT characters are grouped by what deletions
+leave of them, which misses none. Lines that candidates' links connect come together with
+their texts, and pairs whose edit similarity reaches SIMILARITY are linked. Of each connected
+group the occurrence with the smallest (doc_id, text hash, line number) stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +22,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import Forest, components, dealt_parts, packed, pair_of_parts, parts_of, probably_in, slices, stored, surely_out, tidy, unpacked
-from lexispark.llm.simhash_dedup import near_links
+from lexispark.llm.simhash_dedup import whole_groups
 
-DISTANCE = 3
+#: Bits of 64 in which the word SimHashes of linked lines may differ: any; edit similarity alone decides.
+DISTANCE = 64
 SIMILARITY = 0.8
+#: Bytes of a shingle, hashes of a sketch (beside them a byte has the length), and on how many of these candidates agree.
+GRAM, HASHES, AGREE = 5, 23, 10
+#: Tables, each led by three bytes of the sketch.
+BANDS = 12
+#: Lines up to SHORT characters meet by deletions; from LONG characters on (some are both) by sketches.
+SHORT, LONG = 14, 12
+#: Groups up to this size are compared by shifts over the sorted stream.
+SMALL = 128
 #: Groups of candidates are verified in pairs of parts: of SOME lines each up to MANY parts, else of PART at most.
 SOME, MANY, PART = 200, 32, 4000
-#: Distinct lines up to which 16-bit blocks give small groups; 25- and 32-bit keys beyond.
-ONE_BLOCK, TWO_BLOCKS = 4_000_000, 2_000_000_000
 
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _LANES = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
@@ -62,6 +71,59 @@ def simhashes(lines: list[list[bytes]]) -> np.ndarray:
     return out
 
 
+def _triples() -> np.ndarray:
+    """BANDS triples of places in a sketch; no two have more than one place in common."""
+    rng, out = np.random.default_rng(24), []
+    while len(out) < BANDS:
+        new = set(rng.choice(HASHES, 3, replace=False).tolist())
+        if all(len(new & x) < 2 for x in out):
+            out.append(new)
+    return np.array([sorted(x) for x in out])
+
+
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_TRIPLES = _triples()
+
+
+def sketches(lines: list[bytes]) -> np.ndarray:
+    """A row for each line: HASHES bytes for its set of GRAM-byte shingles, one for its length; 0 for less than a shingle."""
+    out = np.zeros((len(lines), HASHES + 1), np.uint8)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    full = np.flatnonzero(size >= GRAM)
+    if not len(full):
+        return out
+    octets = np.frombuffer(b"".join(lines) + bytes(GRAM), np.uint8)
+    heads = np.concatenate(([0], np.cumsum(octets & 0xC0 != 0x80)))
+    octets = octets.astype(np.uint32)
+    n = len(octets) - GRAM + 1
+    h = octets[:n].copy()
+    for k in range(1, GRAM):
+        h *= np.uint32(0x01000193)
+        h += octets[k : k + n]
+    for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    h ^= h >> np.uint32(15)
+    start = (np.cumsum(size) - size)[full]
+    out[full, HASHES] = np.minimum(16 * np.log2(np.maximum(heads[start + size[full]] - heads[start], 1)), 255)  # in characters
+    cuts = np.column_stack([start, start + size[full] - GRAM + 1]).ravel()
+    mixed = np.empty_like(h)
+    for k, factor in enumerate(_FACTORS):
+        np.multiply(h, factor, out=mixed)
+        out[full, k] = np.minimum.reduceat(mixed, cuts)[::2] & np.uint32(255)
+    return out
+
+
+def remainders(line: str) -> set[str]:
+    """What is left of a short line when up to as many characters go as edits are allowed.
+
+    Lines within d edits have a remainder in common after d deletions at most from each; of the
+    shorter one so many fewer go as it is shorter, which its own length allows.
+    """
+    most = int((1 - SIMILARITY) * len(line) + 1e-9)
+    return {"".join(line[i] for i in range(len(line)) if i not in gone) for k in range(most + 1) for gone in combinations(range(len(line)), k)}
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, by bit vectors as long as the shorter text, common ends cut off."""
     if a == b:
@@ -132,9 +194,12 @@ def _lines(with_text: bool):
                 if with_text:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(joined, pa.binary()).cast(pa.string())], names=["k1", "k2", "line"])
                 else:
-                    fps = simhashes(words).view(np.int64)
-                    columns += [pa.array(fps), pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "fp", "doc_id", "mark", "line_no"])
+                    texts = [x.decode("utf-8", "surrogatepass") if len(x) <= 4 * SHORT else "" for x in joined]
+                    long_ = pa.array([not x or len(x) >= LONG for x in texts], pa.bool_())
+                    short = pa.array([x if 0 < len(x) <= SHORT else None for x in texts], pa.string())
+                    columns += [pa.array(np.ascontiguousarray(s)) for s in sketches(joined).view(np.int64).T]
+                    columns += [long_, short, pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", *SKETCH, "long_", "short", "doc_id", "mark", "line_no"])
 
     return run
 
@@ -143,18 +208,98 @@ def _lines(with_text: bool):
 _WORDS_KEEP = _WORDS[:10] + b"\n" + _WORDS[11:]
 
 
+#: Columns of a sketch, eight bytes each.
+SKETCH = tuple(f"s{i}" for i in range((HASHES + 1) // 8))
+_SKETCH = ", ".join(f"{c} long" for c in SKETCH)
+
+
 def _digest(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
+def _to_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row in each table for a line with its sketch."""
+    for batch in batches:
+        sketch = [batch.column(c) for c in SKETCH]
+        codes = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in sketch]).view(np.uint8)
+        for t, (a, b, c) in enumerate(_TRIPLES):
+            key = (t << 24) | (codes[:, a].astype(np.int32) << 16) | (codes[:, b].astype(np.int32) << 8) | codes[:, c]
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), batch.column("node"), *sketch], names=["key", "node", *SKETCH])
+
+
+def _to_remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each remainder of a short line; the remainder's hash stands for the sketch, so that only equal ones are alike."""
+    for batch in batches:
+        nodes, hashes = [], []
+        for node, line in zip(batch.column("node").to_pylist(), batch.column("short").to_pylist(), strict=True):
+            found = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in remainders(line)]
+            nodes += [node] * len(found)
+            hashes += found
+        name = np.array(hashes, np.uint64)
+        key = -1 - (name >> np.uint64(33)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes, pa.int64()), *[pa.array(name.view(np.int64))] * len(SKETCH)], names=["key", "node", *SKETCH])
+
+
+#: How far length bytes may be apart: 0.8 is 5.2 of their steps, and both are rounded down.
+_STEPS = int(np.ceil(-16 * np.log2(SIMILARITY)))
+
+
+def _alike(some: np.ndarray, other: np.ndarray) -> np.ndarray:
+    near = np.abs(some[..., HASHES].astype(np.int16) - other[..., HASHES]) <= _STEPS
+    near[near] = (some[near][..., :HASHES] == (other[near] if other.ndim > 1 else other)[..., :HASHES]).sum(axis=-1) >= AGREE
+    return near
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a spanning forest of the candidates in each group (sorted by key)."""
+    for key, node, *sketch in whole_groups(batches, ("key",), ("key", "node", *SKETCH)):
+        codes = np.column_stack(sketch).view(np.uint8)
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+        sizes = ends - starts
+        g = np.repeat(np.arange(len(starts)), sizes)
+        small, forest, out = sizes[g] <= SMALL, Forest(), []
+        for d in range(1, min(SMALL, len(g))):
+            at = np.flatnonzero(small[:-d] & (g[d:] == g[:-d]))
+            if not len(at):
+                break
+            at = at[_alike(codes[at], codes[at + d])]
+            out.extend((i, i + d) for i in at.tolist() if forest.join(i, i + d))
+        for k in np.flatnonzero(sizes > SMALL):
+            left, todo = np.arange(starts[k], ends[k]), []
+            while len(left) or todo:
+                if not todo:
+                    todo.append(int(left[0]))
+                    left = left[1:]
+                i = todo.pop()
+                hit = _alike(codes[left], codes[i])
+                near, left = left[hit].tolist(), left[~hit]
+                out.extend((i, j) for j in near)
+                todo.extend(near)
+        if out:
+            ij = np.array(out)
+            yield pa.RecordBatch.from_arrays([pa.array(node[ij[:, 0]]), pa.array(node[ij[:, 1]])], names=["src", "dst"])
+
+
+def candidate_links(lines: DataFrame, shorts: DataFrame) -> DataFrame:
+    """(src, dst) links that connect candidates among long lines (node, sketch) and short ones (node, short)."""
+    made = f"key int, node long, {_SKETCH}"
+    ranks = lines.mapInArrow(tidy(_to_bands), made).unionByName(shorts.mapInArrow(tidy(_to_remainders), made))
+    return ranks.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "src long, dst long")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a spanning forest of the similar lines in each part of a group (sorted by group and part)."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        fps = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+        codes = np.array([r[1] for r in rows], np.int64).view(np.uint8)
+        size = np.array([len(r[2]) for r in rows])
         forest, out = Forest(), []
         for i in range(1, len(rows)):
-            for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= DISTANCE).tolist():
+            close = _alike(codes[:i], codes[i])
+            if size[i] <= SHORT:
+                close |= size[:i] <= SHORT
+            for j in np.flatnonzero(close).tolist():
                 if forest.find(i) != forest.find(j) and similar(rows[i][2], rows[j][2]):
                     forest.join(i, j)
                     out.append((rows[i][0], rows[j][0]))
@@ -162,44 +307,40 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, rows = None, []
     for batch in batches:
-        for group, part, node, fp, line in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "node", "fp", "line")), strict=True):
+        for group, part, node, line, *sketch in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "node", "line", *SKETCH)), strict=True):
             if (group, part) != now:
                 if len(rows) > 1:
                     yield solve(rows)
                 now, rows = (group, part), []
-            rows.append((node, fp, line))
+            rows.append((node, sketch, line))
     if len(rows) > 1:
         yield solve(rows)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(k1, k2, fp, doc_id, mark, line_no) of every line that has words."""
+    """(k1, k2, sketch, long_, short, doc_id, mark, line_no) of every line that has words; short is its text if that is short."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(tidy(_lines(False)), "k1 long, k2 long, fp long, doc_id long, mark long, line_no int")
+    return rows.mapInArrow(tidy(_lines(False)), f"k1 long, k2 long, {_SKETCH}, long_ boolean, short string, doc_id long, mark long, line_no int")
 
 
-def similar_groups(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(node, component) of distinct lines (k1, k2, fp, holder) that similar lines connect.
+def similar_groups(docs: DataFrame, distinct: DataFrame, shorts: DataFrame) -> DataFrame:
+    """(node, component) of distinct lines (k1, k2, sketch, long_, holder) that similar lines connect.
 
     A line's node is 64 bits of its 128-bit key; `holder` is the id of a document that has it.
+    `shorts` has the short lines (node, short).
     """
-    many = distinct.count()
-    agree = 1 if many <= ONE_BLOCK else 2 if many <= TWO_BLOCKS else 3
-    linked = components(near_links(distinct, DISTANCE, agree)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    # Lines of equal SimHash but different words are candidates too.
-    same = distinct.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    same = same.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"))
-    near = stored(linked.unionByName(same), "line-roots")
-    nodes = probably_in(distinct, F.col("fp"), near, F.col("fp")).join(near, "fp")
-    nodes = stored(nodes.select("k1", "k2", "fp", "root", "holder"), "line-candidates")
+    links = candidate_links(distinct.where("long_").select(F.col("k1").alias("node"), *SKETCH), shorts)
+    near = stored(components(links).select("node", F.col("component").alias("root")), "line-roots")
+    nodes = probably_in(distinct, F.col("k1"), near, F.col("node")).join(near, F.col("k1") == F.col("node"))
+    nodes = stored(nodes.select("k1", "k2", *SKETCH, "root", "holder"), "line-candidates")
     parts = nodes.groupBy("root").agg(parts_of(F.count("*"), SOME, MANY, PART).alias("parts"))
     # The lines' texts come from one document each: only those are split again.
     holders = probably_in(docs.select(F.col("doc_id").cast("long"), "text"), F.col("doc_id"), nodes, F.col("holder"))
     texts = holders.mapInArrow(tidy(_lines(True)), "k1 long, k2 long, line string")
     texts = probably_in(texts, F.col("k1"), nodes, F.col("k1"))
     texts = texts.join(nodes.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    dealt = nodes.join(texts, ["k1", "k2"]).join(parts, "root").select("root", F.col("k1").alias("node"), "fp", "line", *dealt_parts(F.col("k2")))
-    dealt = dealt.select("root", pair_of_parts(), "node", "fp", "line").repartition("root", "part").sortWithinPartitions("root", "part", "node")
+    dealt = nodes.join(texts, ["k1", "k2"]).join(parts, "root").select("root", F.col("k1").alias("node"), *SKETCH, "line", *dealt_parts(F.col("k2")))
+    dealt = dealt.select("root", pair_of_parts(), "node", *SKETCH, "line").repartition("root", "part").sortWithinPartitions("root", "part", "node")
     return components(dealt.mapInArrow(tidy(_verify), "src long, dst long"))
 
 
@@ -209,14 +350,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     drop holds the numbers of the lines that go; again says that rows repeat the id with its text.
     """
     rows = stored(occurrences(docs), "lines")
-    distinct = rows.groupBy("k1", "k2").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("holder"), F.count("*").alias("n"))
+    same = [F.first(c).alias(c) for c in (*SKETCH, "long_")]  # equal in all rows of a key
+    distinct = rows.groupBy("k1", "k2").agg(*same, F.min("doc_id").alias("holder"), F.count("*").alias("n"))
     distinct = stored(distinct, "distinct-lines")
-    found = similar_groups(docs, distinct)
+    shorts = rows.where("short is not null").select(F.col("k1").alias("node"), "short").distinct()
+    found = similar_groups(docs, distinct, shorts)
     found = stored(found, "similar-lines")
     fuzzy = probably_in(distinct, F.col("k1"), found, F.col("node")).join(found, F.col("k1") == F.col("node")).select("k1", "k2", F.col("component").alias("line_group"))
     exact = distinct.where("n > 1").join(found, F.col("k1") == F.col("node"), "left_anti").select("k1", "k2", F.col("k1").alias("line_group"))
     groups = stored(fuzzy.unionByName(exact), "line-groups")
-    some = probably_in(rows.drop("fp"), F.col("k1"), groups, F.col("k1"))
+    some = probably_in(rows.select("k1", "k2", "doc_id", "mark", "line_no"), F.col("k1"), groups, F.col("k1"))
     members = stored(some.join(groups, ["k1", "k2"]).select("line_group", "doc_id", "mark", "line_no"), "line-members")
     place = F.struct("doc_id", "mark", "line_no")
     # Stored, so that the join below deals both sides anew and can split a line with very many occurrences.

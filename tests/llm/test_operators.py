@@ -136,6 +136,24 @@ def test_hot_groups_are_dealt_in_parts(spark, monkeypatch):
     assert got == dict(plain_lines(rows))
 
 
+def test_lines_link_by_edit_similarity_alone(spark):
+    rng = random.Random(12)
+    lines = []
+    for n in [1, 2, 3] * 10 + [10, 20, 40] * 6:
+        words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+        lines += [" ".join(words), " ".join([*words[:-1], words[-1][:4] + "z"])]
+        if n > 3:  # one word of ten is another
+            lines.append(" ".join("".join(rng.choices("klmnop", k=5)) if i % 10 == 4 else w for i, w in enumerate(words)))
+    rows = list(enumerate(lines))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    forest = Forest()
+    for i in range(len(lines)):
+        for j in range(i):
+            if line_dedup.similar(lines[i], lines[j]):
+                forest.join(i, j)
+    assert {i for i, t in got.items() if t} == {forest.find(i) for i in range(len(lines))}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=30), st.text("abc", max_size=30))
 def test_edit_distance(a, b):
