@@ -156,7 +156,12 @@ def mix(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rounds
     is kept if a hash of its id (of its text for want of an id) falls below p; rows of equal ids
     fare alike. An empty table gives no rows. Other columns stay, but for those of the new names.
     """
-    found = cut(rates(rake(docs, targets, rounds), keep))
+    return _mixed(docs, rake(docs, targets, rounds), keep)
+
+
+def _mixed(docs: DataFrame, cells: DataFrame, keep: float) -> DataFrame:
+    """`mix` by raked cells."""
+    found = cut(rates(cells, keep))
     if found.count() <= FEW_CELLS:  # a checked size: texts need no shuffle, and a hot cell no task of its own
         found = F.broadcast(found)
     draw = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
@@ -167,10 +172,17 @@ def mix(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rounds
 
 
 def sample(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rounds: int = 10) -> DataFrame:
-    """The rows of `docs` that `mix` keeps, with the columns of `docs`."""
+    """The rows of `docs` that `mix` keeps, with the columns of `docs`.
+
+    A sample has no weights, so no cell's rate may ask for more than all its rows: `keep` is
+    lowered until the largest rate is 1, and the expected tokens meet the targets.
+    """
     used = ("doc_id", "text", "source", "lang")
-    mixed = mix(packed(docs, *used), targets, keep, rounds).where("kept")
-    return mixed.select(*unpacked(docs.columns, **{c: F.col(c) for c in used}))
+    docs_, columns = packed(docs, *used), docs.columns
+    cells = cut(rake(docs_, targets, rounds))
+    most = rates(cells, 1.0).agg(F.max("rate")).first()[0]
+    mixed = _mixed(docs_, cells, min(keep, 1.0 / most) if most else keep).where("kept")
+    return mixed.select(*unpacked(columns, **{c: F.col(c) for c in used}))
 
 
 def oracle(targets: Targets = Targets(), keep: float = 0.5, rounds: int = 10) -> str:

@@ -223,6 +223,14 @@ def test_mixing(spark, docs, none, monkeypatch):
     assert expected == pytest.approx(0.6 * mass, rel=1e-9)
 
 
+def test_sample_meets_targets_with_a_hot_source(spark):
+    rows = [(i, "w " * 20, "en", "hot" if i % 10 else f"s{i // 10 % 2}") for i in range(20_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = mixing.Targets(powers={"source": 0.0}, named={})
+    kept = Counter(r.source for r in mixing.sample(table, targets).collect())
+    assert all(n / kept.total() == pytest.approx(1 / 3, abs=0.02) for n in kept.values()) and len(kept) == 3
+
+
 # 4 Byte-level BPE
 
 
