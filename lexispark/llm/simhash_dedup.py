@@ -281,11 +281,12 @@ def _node(hashes: np.ndarray) -> int:
 def _wide(width: int):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes = [shingle_hashes(t, width) for t in batch.column("text").to_pylist()]
+        sets = [np.unique(h) for h in hashes]  # likeness is that of sets: repeats don't count
         columns = [
             batch.column("doc_id"),
             pa.array([_node(h) for h in hashes], pa.int64()),
-            pa.array(np.fromiter((majority(h) for h in hashes), np.uint64, len(hashes)).view(np.int64)),
-            pa.array(np.fromiter((majority(_remixed(h)) for h in hashes), np.uint64, len(hashes)).view(np.int64)),
+            pa.array(np.fromiter((majority(h) for h in sets), np.uint64, len(sets)).view(np.int64)),
+            pa.array(np.fromiter((majority(_remixed(h)) for h in sets), np.uint64, len(sets)).view(np.int64)),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "fp2"])
 

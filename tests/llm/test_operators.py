@@ -499,6 +499,17 @@ def test_similar_documents_equal_brute_force(spark, docs, rows, none, monkeypatc
     assert simhash_dedup.similar_groups(none).count() == 0 and simhash_dedup.keep_one(none).count() == 0
 
 
+def test_repeated_passages_do_not_part_similar_documents(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(20):
+        words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(104)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + words[40:54] * 40))]
+    expected = plain_similar(rows)
+    found = simhash_dedup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in found.collect()), key=key) == expected and len({c for _, c in expected}) == 20
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 1000), st.sampled_from([3, 4]), st.sampled_from([1, 2, 3]), st.sampled_from([2, 8192]))
 def test_gray_index_finds_all_links(seed, distance, agree, direct):
