@@ -192,7 +192,7 @@ def _to_ranks(layout: Layout):
                 rank = gray_rank(layout.permute(fps, t))
                 key = (rank >> np.uint64(64 - bits)).astype(np.int64)
                 low = (rank & np.uint64((1 << (64 - bits)) - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t, np.int8)), pa.array(key.astype(np.int32)), pa.array(low)], names=["t", "key", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), t, np.int8)), pa.array(key), pa.array(low)], names=["t", "key", "low"])
 
     return run
 
@@ -237,7 +237,7 @@ def _links(layout: Layout, distance: int):
 def near_links(fps: DataFrame, distance: int = 4, agree: int = 2) -> DataFrame:
     """(src, dst) links that connect all fingerprints `fp` within `distance` bits; best given once each."""
     layout = Layout(distance, agree)
-    ranks = fps.select("fp").mapInArrow(_to_ranks(layout), "t byte, key int, low long")
+    ranks = fps.select("fp").mapInArrow(_to_ranks(layout), "t byte, key long, low long")
     ordered = ranks.repartition("t", "key").sortWithinPartitions("t", "key", "low")
     return ordered.mapInArrow(_links(layout, distance), "src long, dst long")
 

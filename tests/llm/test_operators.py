@@ -510,6 +510,25 @@ def test_repeated_passages_do_not_part_similar_documents(spark):
     assert sorted((tuple(r) for r in found.collect()), key=key) == expected and len({c for _, c in expected}) == 20
 
 
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_near_links_equal_brute_force(spark, agree):
+    rng = np.random.default_rng(agree)
+    centres = rng.integers(0, 1 << 64, 30, dtype=np.uint64)
+    codes = np.unique([c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 3), replace=False))) for c in np.repeat(centres, 8)])
+    table = spark.createDataFrame([(x,) for x in codes.view(np.int64).tolist()], "fp long")
+    seen, forest = Forest(), Forest()
+    for src, dst in simhash_dedup.near_links(table, 3, agree).collect():
+        assert ((src ^ dst) & (2**64 - 1)).bit_count() <= 3
+        seen.join(src, dst)
+    signed = codes.view(np.int64).tolist()
+    assert {x for x in seen.up} <= set(signed)
+    for i, a in enumerate(codes.tolist()):
+        for j in range(i):
+            if (a ^ int(codes[j])).bit_count() <= 3:
+                forest.join(signed[i], signed[j])
+    assert [seen.find(x) for x in signed] == [forest.find(x) for x in signed]
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(0, 1000), st.sampled_from([3, 4]), st.sampled_from([1, 2, 3]), st.sampled_from([2, 8192]))
 def test_gray_index_finds_all_links(seed, distance, agree, direct):
