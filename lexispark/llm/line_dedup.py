@@ -1,18 +1,23 @@
 """Fuzzy line dedup: one occurrence of each group of equal or nearly equal lines stays.
 
 Lines are normalised (lower case, words only) and hashed; equal ones are one row from then on.
-A distinct line's sketch has a byte for each of HASHES hashes: of the least of its GRAM-byte
-shingles under that hash. An edit changes few shingles, so similar lines agree on many bytes;
-lines are grouped by each of BANDS triples of bytes, and those of a group that agree on AGREE
-bytes at least, and whose lengths allow it, are candidates. Lines of up to SHORT characters are grouped by what deletions
-leave of them, which misses none. Lines that candidates' links connect come together with
-their texts, and pairs whose edit similarity reaches SIMILARITY are linked. Of each connected
-group the occurrence with the smallest (doc_id, text hash, line number) stays.
+A distinct line's sketch has a byte for each of HASHES hashes: of the least of its shingles
+under that hash. An edit changes few shingles, so similar lines agree on many bytes; lines are
+grouped by blocks of three bytes, as a pigeonhole join does, and those of a group that agree on
+enough bytes, and whose lengths allow it, are candidates. Lines of medium length have sketches of
+shorter shingles, which an edit spoils less; lines of up to SHORT characters are grouped by what
+deletions leave of them, which misses none. Lines that candidates' links connect come together
+with their texts, and pairs whose edit similarity reaches SIMILARITY are linked. Of each
+connected group the occurrence with the smallest (doc_id, text hash, line number) stays.
+
+SimHashes in these blocks would find too little: at edit similarity 0.8 they differ in up to 12
+bits of 64, whose exact pigeonhole join takes 455 tables of 13-bit keys (14 + 1 blocks, three alike).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain, combinations
 
 import numpy as np
@@ -24,22 +29,34 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import Forest, components, dealt_parts, packed, pair_of_parts, parts_of, probably_in, slices, stored, surely_out, tidy, unpacked
 from lexispark.llm.simhash_dedup import whole_groups
 
-#: Bits of 64 in which the word SimHashes of linked lines may differ: any; edit similarity alone decides.
-DISTANCE = 64
 SIMILARITY = 0.8
-#: Bytes of a shingle, hashes of a sketch (beside them a byte has the length), and on how many of these candidates agree.
-GRAM, HASHES, AGREE = 5, 23, 10
-#: Tables, each led by three bytes of the sketch.
-BANDS = 12
-#: Lines up to SHORT characters meet by deletions; from LONG characters on (some are both) by sketches.
-SHORT, LONG = 14, 12
+#: Hashes of a sketch; beside them a byte has the length.
+HASHES = 31
+
+
+@dataclass(frozen=True)
+class Class:
+    """Lines of `least` to `most` characters: their shingles' bytes, tables, and on how many hashes candidates agree.
+
+    Classes overlap by the factor SIMILARITY, so that two similar lines are together in one.
+    """
+
+    least: int
+    most: int
+    gram: int
+    tables: int
+    agree: int
+
+
+#: Lines up to SHORT characters meet by deletions, longer ones by the sketches of their classes.
+SHORT = 14
+CLASSES = (Class(12, 48, 3, 20, 9), Class(39, 1 << 31, 6, 14, 11))
 #: Groups up to this size are compared by shifts over the sorted stream.
 SMALL = 128
 #: Groups of candidates are verified in pairs of parts: of SOME lines each up to MANY parts, else of PART at most.
 SOME, MANY, PART = 200, 32, 4000
 
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-_LANES = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
 
 
 def normalised(line: bytes) -> bytes:
@@ -47,34 +64,10 @@ def normalised(line: bytes) -> bytes:
     return b" ".join(line.translate(_WORDS).split())
 
 
-def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """The 64-bit SimHash of the distinct words of each line; 0 for none.
-
-    A word counts once however often it stands in the line: else the few most frequent words
-    of a language decide, and unrelated lines come near each other.
-    """
-    sets = list(map(set, lines))
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(sets)), np.uint64, int(size.sum()))
-    out = np.zeros(len(lines), np.uint64)
-    if not len(hashes):
-        return out
-    lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)]
-    full = np.flatnonzero(size)
-    start = (np.cumsum(size) - size)[full]
-    blocks = -(-size[full] // 255)  # a lane counts to 255
-    first = np.cumsum(blocks) - blocks
-    cuts = np.repeat(start, blocks) + 255 * (np.arange(int(blocks.sum())) - np.repeat(first, blocks))
-    sums = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), 64)
-    bits = np.add.reduceat(sums.astype(np.int32), first, axis=0)
-    out[full] = np.packbits(bits * 2 > size[full, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
-
-
 def _triples() -> np.ndarray:
-    """BANDS triples of places in a sketch; no two have more than one place in common."""
+    """Triples of places in a sketch for the class with the most tables; no two have more than one place in common."""
     rng, out = np.random.default_rng(24), []
-    while len(out) < BANDS:
+    while len(out) < max(c.tables for c in CLASSES):
         new = set(rng.choice(HASHES, 3, replace=False).tolist())
         if all(len(new & x) < 2 for x in out):
             out.append(new)
@@ -85,19 +78,19 @@ _FACTORS = np.random.default_rng(42).integers(0, 1 << 31, HASHES, dtype=np.uint3
 _TRIPLES = _triples()
 
 
-def sketches(lines: list[bytes]) -> np.ndarray:
-    """A row for each line: HASHES bytes for its set of GRAM-byte shingles, one for its length; 0 for less than a shingle."""
+def sketches(lines: list[bytes], gram: int) -> np.ndarray:
+    """A row for each line: HASHES bytes for its set of `gram`-byte shingles, one for its length; 0 for less than a shingle."""
     out = np.zeros((len(lines), HASHES + 1), np.uint8)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    full = np.flatnonzero(size >= GRAM)
+    full = np.flatnonzero(size >= gram)
     if not len(full):
         return out
-    octets = np.frombuffer(b"".join(lines) + bytes(GRAM), np.uint8)
+    octets = np.frombuffer(b"".join(lines) + bytes(gram), np.uint8)
     heads = np.concatenate(([0], np.cumsum(octets & 0xC0 != 0x80)))
     octets = octets.astype(np.uint32)
-    n = len(octets) - GRAM + 1
+    n = len(octets) - gram + 1
     h = octets[:n].copy()
-    for k in range(1, GRAM):
+    for k in range(1, gram):
         h *= np.uint32(0x01000193)
         h += octets[k : k + n]
     for shift, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
@@ -106,7 +99,7 @@ def sketches(lines: list[bytes]) -> np.ndarray:
     h ^= h >> np.uint32(15)
     start = (np.cumsum(size) - size)[full]
     out[full, HASHES] = np.minimum(16 * np.log2(np.maximum(heads[start + size[full]] - heads[start], 1)), 255)  # in characters
-    cuts = np.column_stack([start, start + size[full] - GRAM + 1]).ravel()
+    cuts = np.column_stack([start, start + size[full] - gram + 1]).ravel()
     mixed = np.empty_like(h)
     for k, factor in enumerate(_FACTORS):
         np.multiply(h, factor, out=mixed)
@@ -195,22 +188,39 @@ def _lines(with_text: bool):
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(joined, pa.binary()).cast(pa.string())], names=["k1", "k2", "line"])
                 else:
                     texts = [x.decode("utf-8", "surrogatepass") if len(x) <= 4 * SHORT else "" for x in joined]
-                    long_ = pa.array([not x or len(x) >= LONG for x in texts], pa.bool_())
                     short = pa.array([x if 0 < len(x) <= SHORT else None for x in texts], pa.string())
-                    columns += [pa.array(np.ascontiguousarray(s)) for s in sketches(joined).view(np.int64).T]
-                    columns += [long_, short, pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", *SKETCH, "long_", "short", "doc_id", "mark", "line_no"])
+                    columns += _sketched(joined)
+                    columns += [short, pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", *SKETCH, "short", "doc_id", "mark", "line_no"])
 
     return run
 
 
+#: Bytes of a character after its first.
+_LATER = bytes(range(0x80, 0xC0))
 #: As _WORDS, but line ends stay.
 _WORDS_KEEP = _WORDS[:10] + b"\n" + _WORDS[11:]
 
 
-#: Columns of a sketch, eight bytes each.
-SKETCH = tuple(f"s{i}" for i in range((HASHES + 1) // 8))
+#: Columns of the sketches of each class, eight bytes each, null for a line that isn't of the class; and of the rows of tables.
+_OF = tuple(tuple(f"s{c}{i}" for i in range((HASHES + 1) // 8)) for c in range(len(CLASSES)))
+SKETCH = tuple(chain.from_iterable(_OF))
 _SKETCH = ", ".join(f"{c} long" for c in SKETCH)
+_NIBBLES = ("low", "high")
+
+
+def _sketched(lines: list[bytes]) -> list[pa.Array]:
+    """The columns SKETCH of lines."""
+    chars = np.fromiter((len(x.translate(None, _LATER)) for x in lines), np.int64, len(lines))
+    out = []
+    for c in CLASSES:
+        some = np.flatnonzero((chars >= c.least) & (chars <= c.most))
+        codes = np.zeros((len(lines), HASHES + 1), np.uint8)
+        codes[some] = sketches([lines[i] for i in some.tolist()], c.gram)
+        none = np.ones(len(lines), bool)
+        none[some] = False
+        out += [pa.array(np.ascontiguousarray(x), mask=none) for x in codes.view(np.int64).T]
+    return out
 
 
 def _digest(line: bytes) -> bytes:
@@ -218,13 +228,37 @@ def _digest(line: bytes) -> bytes:
 
 
 def _to_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row in each table for a line with its sketch."""
-    for batch in batches:
-        sketch = [batch.column(c) for c in SKETCH]
-        codes = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in sketch]).view(np.uint8)
-        for t, (a, b, c) in enumerate(_TRIPLES):
-            key = (t << 24) | (codes[:, a].astype(np.int32) << 16) | (codes[:, b].astype(np.int32) << 8) | codes[:, c]
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), batch.column("node"), *sketch], names=["key", "node", *SKETCH])
+    """A row in each table of its classes for a line with its sketch; keys from 0 on, as remainders' are negative."""
+    for whole in batches:
+        first = 0
+        for kind, names in zip(CLASSES, _OF, strict=True):
+            batch = whole.filter(whole.column(names[0]).is_valid())
+            codes = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]).view(np.uint8)
+            nibbles = [pa.array(x) for x in _nibbles(codes)]
+            for t, (a, b, c) in enumerate(_TRIPLES[: kind.tables], first):
+                key = (t << 24) | (codes[:, a].astype(np.int32) << 16) | (codes[:, b].astype(np.int32) << 8) | codes[:, c]
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), batch.column("node"), *nibbles], names=["key", "node", *_NIBBLES])
+            first += kind.tables
+
+
+def _nibbles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches for the rows of tables: four bits of all hashes but one, the length's eight on top."""
+    half = (codes.view(np.uint64) & np.uint64(0x0F0F0F0F0F0F0F0F)).reshape(-1, (HASHES + 1) // 8)
+    low, high = half[:, 0] | half[:, 1] << np.uint64(4), half[:, 2] | half[:, 3] << np.uint64(4)
+    mask, size = np.uint64((1 << 60) - 1), codes[:, HASHES].astype(np.uint64)
+    # The last hash's nibble is the length's place in one number, and makes way for it; in the other the top one does.
+    return ((low & mask) | size << np.uint64(60)).view(np.int64), ((high & mask) | (size >> np.uint64(4)) << np.uint64(60)).view(np.int64)
+
+
+def _near(low: np.ndarray, high: np.ndarray, i, j, agree) -> np.ndarray:
+    """Which rows i agree with rows j (or one row) on `agree` of 30 nibbles, their lengths not too far apart."""
+    size = [((low[k].view(np.uint64) >> np.uint64(60)) | (high[k].view(np.uint64) >> np.uint64(60)) << np.uint64(4)).astype(np.int16) for k in (i, j)]
+    mask, differ = np.uint64(0x0111111111111111), 0
+    for x in (low, high):
+        y = (x[i] ^ x[j]).view(np.uint64)
+        y = y | y >> np.uint64(1)
+        differ = differ + np.bitwise_count((y | y >> np.uint64(2)) & mask)
+    return (30 - differ.astype(np.int16) >= agree) & (np.abs(size[0] - size[1]) <= _STEPS)
 
 
 def _to_remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,23 +271,28 @@ def _to_remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             hashes += found
         name = np.array(hashes, np.uint64)
         key = -1 - (name >> np.uint64(33)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes, pa.int64()), *[pa.array(name.view(np.int64))] * len(SKETCH)], names=["key", "node", *SKETCH])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes, pa.int64()), *[pa.array(name.view(np.int64))] * 2], names=["key", "node", *_NIBBLES])
 
 
 #: How far length bytes may be apart: 0.8 is 5.2 of their steps, and both are rounded down.
 _STEPS = int(np.ceil(-16 * np.log2(SIMILARITY)))
 
 
-def _alike(some: np.ndarray, other: np.ndarray) -> np.ndarray:
-    near = np.abs(some[..., HASHES].astype(np.int16) - other[..., HASHES]) <= _STEPS
-    near[near] = (some[near][..., :HASHES] == (other[near] if other.ndim > 1 else other)[..., :HASHES]).sum(axis=-1) >= AGREE
+def _alike(some: np.ndarray, other: np.ndarray, agree: int) -> np.ndarray:
+    """Which rows of sketches agree on `agree` bytes with one sketch."""
+    near = np.abs(some[:, HASHES].astype(np.int16) - other[HASHES]) <= _STEPS
+    near[near] = (some[near][:, :HASHES] == other[:HASHES]).sum(axis=-1) >= agree
     return near
 
 
+#: On how many hashes candidates agree, by the table that leads their key; remainders are equal or not.
+_AGREE = np.array([c.agree for c in CLASSES for _ in range(c.tables)] + [30])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a spanning forest of the candidates in each group (sorted by key)."""
-    for key, node, *sketch in whole_groups(batches, ("key",), ("key", "node", *SKETCH)):
-        codes = np.column_stack(sketch).view(np.uint8)
+    for key, node, low, high in whole_groups(batches, ("key",), ("key", "node", *_NIBBLES)):
+        agree = _AGREE[np.maximum(key >> 24, -1)]
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
         sizes = ends - starts
@@ -263,7 +302,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(small[:-d] & (g[d:] == g[:-d]))
             if not len(at):
                 break
-            at = at[_alike(codes[at], codes[at + d])]
+            at = at[_near(low, high, at, at + d, agree[at])]
             out.extend((i, i + d) for i in at.tolist() if forest.join(i, i + d))
         for k in np.flatnonzero(sizes > SMALL):
             left, todo = np.arange(starts[k], ends[k]), []
@@ -272,7 +311,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     todo.append(int(left[0]))
                     left = left[1:]
                 i = todo.pop()
-                hit = _alike(codes[left], codes[i])
+                hit = _near(low, high, left, [i], agree[i])
                 near, left = left[hit].tolist(), left[~hit]
                 out.extend((i, j) for j in near)
                 todo.extend(near)
@@ -282,8 +321,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_links(lines: DataFrame, shorts: DataFrame) -> DataFrame:
-    """(src, dst) links that connect candidates among long lines (node, sketch) and short ones (node, short)."""
-    made = f"key int, node long, {_SKETCH}"
+    """(src, dst) links that connect candidates among lines (node, sketches) and short ones (node, short)."""
+    made = f"key int, node long, {', '.join(f'{c} long' for c in _NIBBLES)}"
     ranks = lines.mapInArrow(tidy(_to_bands), made).unionByName(shorts.mapInArrow(tidy(_to_remainders), made))
     return ranks.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "src long, dst long")
 
@@ -292,13 +331,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a spanning forest of the similar lines in each part of a group (sorted by group and part)."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        codes = np.array([r[1] for r in rows], np.int64).view(np.uint8)
         size = np.array([len(r[2]) for r in rows])
+        sketched = []
+        for kind, at in zip(CLASSES, range(0, len(SKETCH), len(_OF[0])), strict=True):
+            has = np.array([r[1][at] is not None for r in rows])
+            codes = np.array([r[1][at : at + len(_OF[0])] if h else [0] * len(_OF[0]) for r, h in zip(rows, has.tolist(), strict=True)], np.int64)
+            sketched.append((kind.agree, has, codes.view(np.uint8)))
         forest, out = Forest(), []
         for i in range(1, len(rows)):
-            close = _alike(codes[:i], codes[i])
-            if size[i] <= SHORT:
-                close |= size[:i] <= SHORT
+            close = (size[:i] <= SHORT) & (size[i] <= SHORT)
+            for agree, has, codes in sketched:
+                if has[i]:
+                    close |= has[:i] & _alike(codes[:i], codes[i], agree)
             for j in np.flatnonzero(close).tolist():
                 if forest.find(i) != forest.find(j) and similar(rows[i][2], rows[j][2]):
                     forest.join(i, j)
@@ -318,18 +362,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(k1, k2, sketch, long_, short, doc_id, mark, line_no) of every line that has words; short is its text if that is short."""
+    """(k1, k2, sketches, short, doc_id, mark, line_no) of every line that has words; short is its text if that is short."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(tidy(_lines(False)), f"k1 long, k2 long, {_SKETCH}, long_ boolean, short string, doc_id long, mark long, line_no int")
+    return rows.mapInArrow(tidy(_lines(False)), f"k1 long, k2 long, {_SKETCH}, short string, doc_id long, mark long, line_no int")
 
 
 def similar_groups(docs: DataFrame, distinct: DataFrame, shorts: DataFrame) -> DataFrame:
-    """(node, component) of distinct lines (k1, k2, sketch, long_, holder) that similar lines connect.
+    """(node, component) of distinct lines (k1, k2, sketches, holder) that similar lines connect.
 
     A line's node is 64 bits of its 128-bit key; `holder` is the id of a document that has it.
     `shorts` has the short lines (node, short).
     """
-    links = candidate_links(distinct.where("long_").select(F.col("k1").alias("node"), *SKETCH), shorts)
+    links = candidate_links(distinct.select(F.col("k1").alias("node"), *SKETCH), shorts)
     near = stored(components(links).select("node", F.col("component").alias("root")), "line-roots")
     nodes = probably_in(distinct, F.col("k1"), near, F.col("node")).join(near, F.col("k1") == F.col("node"))
     nodes = stored(nodes.select("k1", "k2", *SKETCH, "root", "holder"), "line-candidates")
@@ -350,7 +394,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     drop holds the numbers of the lines that go; again says that rows repeat the id with its text.
     """
     rows = stored(occurrences(docs), "lines")
-    same = [F.first(c).alias(c) for c in (*SKETCH, "long_")]  # equal in all rows of a key
+    same = [F.first(c).alias(c) for c in SKETCH]  # equal in all rows of a key
     distinct = rows.groupBy("k1", "k2").agg(*same, F.min("doc_id").alias("holder"), F.count("*").alias("n"))
     distinct = stored(distinct, "distinct-lines")
     shorts = rows.where("short is not null").select(F.col("k1").alias("node"), "short").distinct()

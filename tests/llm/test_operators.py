@@ -1,6 +1,7 @@
 """Training-data operators on odd inputs and against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from lexispark.llm import bpe, fingerprints, lattice_dedup, line_dedup, mixing, quality, secrets, sharding, simhash_dedup, toxicity
 from lexispark.llm.common import Forest, components
 
+#: The smallest of the tables that the driver makes.
+SMALL = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, fp string, bucket string, word_ string, score string, drop string, rate string, p string, kept string"
 SOME = "the quick brown fox jumps over the lazy dog and runs away from seven angry bears in a dark forest near old town".split()
 
@@ -77,11 +80,10 @@ def plain_lines(rows):
                 if n := line_dedup.normalised(line.lower().encode()):
                     occ.setdefault(n, []).append((i is not None, i or 0, marks[(i, t)], k))
     keys = list(occ)
-    fps = line_dedup.simhashes([k.split() for k in keys])
     forest = Forest()
     for i in range(len(keys)):
         for j in range(i):
-            if (int(fps[i]) ^ int(fps[j])).bit_count() <= line_dedup.DISTANCE and line_dedup.similar(keys[i].decode(), keys[j].decode()):
+            if line_dedup.similar(keys[i].decode(), keys[j].decode()):
                 forest.join(i, j)
     best = {}
     for i, k in enumerate(keys):
@@ -154,6 +156,71 @@ def test_lines_link_by_edit_similarity_alone(spark):
     assert {i for i, t in got.items() if t} == {forest.find(i) for i in range(len(lines))}
 
 
+def counts_of(line, n, places=1024):
+    """How often the hashed n-grams of a line occur: an edit moves 2n of these at most."""
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.int64)
+    grams = sum(codes[k : len(codes) - n + 1 + k] * 31**k for k in range(n)) % places if len(codes) >= n else np.empty(0, np.int64)
+    return np.bincount(grams, minlength=places).astype(np.int16)
+
+
+@pytest.mark.skipif(not os.path.exists(f"{SMALL}/documents.parquet"), reason="needs the small tables")
+def test_recall_of_line_candidates(spark):
+    """Against all pairs of lines of edit similarity 0.8, found without any sketch: counts only rule pairs out."""
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() if r.text]
+    lines = sorted({line_dedup.normalised(x.lower().encode()).decode() for t in texts for x in t.split("\n")} - {""}, key=lambda x: (len(x), x))
+    size = np.array([len(x) for x in lines])
+    two, three = (np.array([counts_of(x, n) for x in lines]) for n in (2, 3))
+    pairs = []
+    for j, line in enumerate(lines):
+        first, most = int(np.searchsorted(size, 0.8 * len(line) - 1e-9)), 0.2 * len(line) + 1e-9
+        near = np.flatnonzero(np.abs(two[first:j] - two[j]).sum(axis=1) <= 4 * most) + first
+        near = near[np.abs(three[near] - three[j]).sum(axis=1) <= 6 * most]
+        pairs += [(i, j) for i in near.tolist() if line_dedup.similar(lines[i], line)]
+    rows = [(k, x) for k, x in enumerate(lines)]
+    distinct = line_dedup.occurrences(spark.createDataFrame(rows, "doc_id long, text string"))
+    links = line_dedup.candidate_links(distinct.select(F.col("doc_id").alias("node"), *line_dedup.SKETCH), distinct.where("short is not null").select(F.col("doc_id").alias("node"), "short"))
+    forest = Forest()
+    for a, b in links.collect():
+        forest.join(a, b)
+    met = sum(forest.find(i) == forest.find(j) for i, j in pairs)
+    assert len(pairs) >= 40 and met >= 0.97 * len(pairs)
+
+
+@pytest.mark.parametrize(("size", "share", "least"), [(40, 0.1, 0.97), (40, 0.2, 0.9), (200, 0.1, 0.95), (200, 0.15, 0.8)])
+def test_lines_with_exchanged_words_meet(size, share, least):
+    rng = random.Random(size)
+    met = 0
+    for _ in range(400):
+        line, left = [], size
+        while left > 0:
+            line.append("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))))
+            left -= len(line[-1]) + 1
+        other, spend = list(line), int(share * size)
+        for k in rng.sample(range(len(line)), len(line)):
+            if len(line[k]) <= spend:
+                spend -= len(line[k])
+                other[k] = "".join(rng.choices("qrstuvwxyz", k=len(line[k])))
+        met += meet(" ".join(line), " ".join(other))
+    assert met >= least * 400
+
+
+def meet(a, b):
+    """Whether two lines are in one group of some table and agree on enough bytes of the sketch."""
+    for kind in line_dedup.CLASSES:
+        if all(kind.least <= len(x) <= kind.most for x in (a, b)):
+            x, y = line_dedup.sketches([a.encode(), b.encode()], kind.gram)[:, : line_dedup.HASHES]
+            if (x == y).sum() >= kind.agree and (x == y)[line_dedup._TRIPLES[: kind.tables]].all(axis=1).any():
+                return True
+    return False
+
+
+def test_classes_of_lines_overlap():
+    """Two similar lines are both short, or both in one class of sketches."""
+    for longer in range(1, 200):
+        for shorter in range(int(np.ceil(0.8 * longer - 1e-9)), longer + 1):
+            assert longer <= line_dedup.SHORT or any(c.least <= shorter and longer <= c.most for c in line_dedup.CLASSES)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=30), st.text("abc", max_size=30))
 def test_edit_distance(a, b):
