@@ -66,7 +66,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     The rows are those with the smallest hash of the id, so the sample is the same on every
     run; its bound makes the broadcast and the model's input independent of the corpus.
-    Rows without an id or label teach nothing; an id with several labels counts by the largest.
+    Rows without an id or label teach nothing; an id with several labels counts by the largest,
+    one with several texts by the least of them, so that repeated ids don't swell the sample.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & in_training(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
@@ -76,7 +77,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         picked = part if picked is None else picked.unionByName(part)
     # At most 2 * per_class rows of two numbers: a proven bound.
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return text.join(F.broadcast(picked), "doc_id")
+    return text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def gathered(sample: DataFrame, values: str) -> tuple[list[np.ndarray], list[int]]:
