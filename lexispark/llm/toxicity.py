@@ -3,7 +3,8 @@
 A text is the set of its words and word beginnings, hashed. The machine scores it by a bias,
 a weight for each term and the inner products of the terms' factors, so that two terms
 together (an insult and the group it is aimed at) can weigh more than each alone. It is fitted
-on a bounded sample of labelled rows; terms that tell the classes apart there take part.
+on a bounded sample of labelled rows; terms that tell the classes apart there take part, and
+those that do so only beside another term.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from lexispark.llm.common import gathered, labelled_sample, slices, tidy
 #: Bounds of the sample and the model.
 PER_CLASS = 3000
 HASH_BITS = 18
-TERMS = 2048
+TERMS = 512
 FACTORS = 8
-ROUNDS = 160
+ROUNDS = 400
+#: Frequent terms whose pairs are looked at, terms that these may add, and the chi-square that a pair must reach.
+PAIRED, PAIR_TERMS, PAIR_CHI = 1024, 64, 100.0
 #: Words whose terms a task remembers, before it forgets them all.
 REMEMBERED = 300_000
 
@@ -86,8 +89,32 @@ def _raw(at, owner, n, weight, factor, bias):
     return bias + _sums(weight[at], owner, n) + pairs, total
 
 
+def _chi(with1, with0, n1, n0) -> np.ndarray:
+    """Chi-square of a term's presence against the class, from its counts in both classes and the classes' sizes."""
+    off = with1 * (n0 - with0) - with0 * (n1 - with1)
+    return (n1 + n0) * off**2 / np.maximum((with1 + with0) * (n1 + n0 - with1 - with0) * n1 * n0, 1)
+
+
+def paired_terms(flat: np.ndarray, owner: np.ndarray, y: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Terms among `often` that tell the classes apart in the texts that have some other of them, the clearest first."""
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[often] = np.arange(len(often))
+    at = place[flat]
+    has = np.zeros((len(y), len(often)), np.float32)
+    has[owner[at >= 0], at[at >= 0]] = 1
+    both1, both0 = (has[y == k].T @ has[y == k] for k in (1, 0))
+    both1, both0 = both1.astype(float), both0.astype(float)
+    chi = _chi(both1, both0, np.diag(both1)[:, None], np.diag(both0)[:, None])  # of a column's term among texts with a row's
+    best = np.maximum(chi.max(axis=0), 0)
+    order = np.argsort(-best, kind="stable")
+    return often[order[best[order] >= PAIR_CHI]]
+
+
 def fit(terms: list[np.ndarray], labels: list[int]) -> Machine:
-    """Choose terms by chi-square and fit by Adam with penalties; one class or no rows give a constant."""
+    """Choose terms by chi-square and fit by Adam with penalties; one class or no rows give a constant.
+
+    Terms that are significant by themselves come first, then those that are so in pairs.
+    """
     place = np.full(1 << HASH_BITS, -1, np.int32)
     y = np.array(labels, float)
     if len(set(labels)) < 2:
@@ -98,11 +125,12 @@ def fit(terms: list[np.ndarray], labels: list[int]) -> Machine:
     flat, owner = np.concatenate(terms).astype(np.int64), np.repeat(np.arange(len(terms)), size)
     with1 = np.bincount(flat, weights=y[owner], minlength=len(place))
     with0 = np.bincount(flat, minlength=len(place)) - with1
-    off = with1 * (n0 - with0) - with0 * (n1 - with1)
-    spread = (with1 + with0) * (n1 + n0 - with1 - with0) * n1 * n0
-    chi = np.where(with1 + with0 >= 3, (n1 + n0) * off**2 / np.maximum(spread, 1), 0)
+    chi = np.where(with1 + with0 >= 3, _chi(with1, with0, n1, n0), 0)
     top = np.argsort(-chi, kind="stable")[:TERMS]
     top = top[chi[top] > 10.8]  # one term in a thousand reaches this by chance
+    often = np.argsort(-(with1 + with0), kind="stable")[:PAIRED]
+    paired = paired_terms(flat, owner, y, often[(with1 + with0)[often] >= 3])
+    top = np.concatenate((top, paired[chi[paired] <= 10.8][:PAIR_TERMS]))
     if not len(top):
         return Machine(place, np.zeros(1), np.zeros((1, FACTORS)), float(np.log(n1 / n0)))
     place[top] = np.arange(len(top))
