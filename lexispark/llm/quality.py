@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.common import fresh, gathered, labelled_sample, slices, tidy
 
-#: Training documents of each class, and lines of each that the fit sees: bounds of the sample.
+#: Training documents of each class: the bound of the sample. Their texts take part whole.
 PER_CLASS = 1500
-FIT_LINES = 48
+#: Lines of a chain in the fit; longer documents are several chains there.
+FIT_RUN = 64
 ROUNDS = 250
 BASE = 14
 
@@ -33,8 +34,8 @@ _KIND[[ord(c) for c in ".,;:'\"()-?"]] = _STOP
 _KIND[128:] = _OTHER
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each line, each line's length): neighbours' features stand beside its own."""
+def own_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(features of each line by itself, each line's length)."""
     data = (text or "").encode("utf-8", "surrogatepass")
     lines = data.split(b"\n")
     n = np.fromiter(map(len, lines), np.int64, len(lines))
@@ -72,11 +73,21 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     own[:, 11] = np.log1p(n_words) / 5
     own[:, 12] = n == 0
     own[:, 13] = np.minimum(np.maximum(counts[:, _MARK], 0) / np.maximum(n_words, 1), 4) / 2
+    return own, n
+
+
+def beside(own: np.ndarray) -> np.ndarray:
+    """Features of a document's lines, those of the lines before and after beside each; flags say where there is none."""
     none = np.zeros((1, BASE))
-    # A line of a one-line document has no neighbours; the flags say so.
-    edge = np.zeros((len(lines), 2))
+    edge = np.zeros((len(own), 2))
     edge[0, 0] = edge[-1, 1] = 1
-    return np.hstack((own, np.vstack((none, own[:-1])), np.vstack((own[1:], none)), edge)), n
+    return np.hstack((own, np.vstack((none, own[:-1])), np.vstack((own[1:], none)), edge))
+
+
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(features of each line, each line's length): neighbours' features stand beside its own."""
+    own, n = own_features(text)
+    return beside(own), n
 
 
 @dataclass
@@ -137,9 +148,11 @@ def fit(feats: list[np.ndarray], labels: list[int]) -> Chain:
     if len(set(labels)) < 2:
         lean = 4.0 * (2 * labels[0] - 1) if labels else 0.0
         return Chain(np.zeros(width), np.ones(width), np.zeros(width), lean, np.zeros(4))
-    size = np.array([len(f) for f in feats])
+    lines = np.array([len(f) for f in feats])
     x = np.vstack(feats).astype(float)
-    y = np.repeat(np.array(labels, float), size)
+    y = np.repeat(np.array(labels, float), lines)
+    # Chains of FIT_RUN lines at most: every line takes part, and a round takes as many steps at most.
+    size = np.array([min(FIT_RUN, n - a) for n in lines.tolist() for a in range(0, n, FIT_RUN)])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = np.clip((x - mean) / scale, -6, 6)
     start = np.cumsum(size) - size
@@ -147,13 +160,13 @@ def fit(feats: list[np.ndarray], labels: list[int]) -> Chain:
     first[start] = True
     later = np.flatnonzero(~first)
     seen = np.bincount((2 * y[later - 1] + y[later]).astype(int), minlength=4).astype(float)
-    per_doc = np.repeat(1 / np.sqrt(size), size)  # long documents don't drown short ones
+    per_doc = np.repeat(1 / np.sqrt(lines), lines)  # long documents don't drown short ones
     theta = np.zeros(width + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, ROUNDS + 1):
         p, found = marginals(x @ theta[:width] + theta[width], size, theta[width + 1 :])
         gap = (y - p) * per_doc
-        grad = np.concatenate((gap @ x, [gap.sum()], (seen - found) * per_doc.mean())) / len(size)
+        grad = np.concatenate((gap @ x, [gap.sum()], (seen - found) * per_doc.mean())) / len(lines)
         grad -= np.concatenate((2e-3 * theta[:width], [0.0], 3e-2 * theta[width + 1 :]))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -163,17 +176,17 @@ def fit(feats: list[np.ndarray], labels: list[int]) -> Chain:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Chain:
     """Fit on at most `per_class` labelled training rows of each class (see `labelled_sample`).
 
-    Of each row the features of FIT_LINES lines at most reach the driver, never its text.
+    Of each row its lines' own features reach the driver, never its text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feats = [line_features(t)[0][:FIT_LINES].ravel().astype(np.float32) for t in batch.column("text").to_pylist()]
+            feats = [own_features(t)[0].ravel().astype(np.float32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(feats, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
     sample = labelled_sample(docs, labels, "quality", per_class).select("doc_id", "label", "text")
     feats, known = gathered(sample.mapInArrow(run, "doc_id string, label int, x array<float>"), "x")
-    return fit([x.reshape(-1, 3 * BASE + 2) for x in feats], known)
+    return fit([beside(x.reshape(-1, BASE)) for x in feats], known)
 
 
 def qualities(texts: list[str | None], chain: Chain) -> np.ndarray:
