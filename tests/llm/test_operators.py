@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexispark.llm import bpe, fingerprints, lattice_dedup, line_dedup, mixing, quality, secrets, sharding, simhash_dedup, toxicity
+from lexispark.llm import bpe, common, fingerprints, lattice_dedup, line_dedup, mixing, quality, secrets, sharding, simhash_dedup, toxicity
 from lexispark.llm.common import Forest, components
 
 #: The smallest of the tables that the driver makes.
@@ -383,6 +383,75 @@ def test_classifiers_without_labels(spark, docs, none):
     assert quality.with_quality(docs, quality.train(docs, empty)).count() == docs.count()
 
 
+def test_repeated_ids_do_not_swell_the_sample(spark):
+    rows = [(1, f"text {k}") for k in range(500)] + [(i, "x") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    found = common.labelled_sample(docs, labels, "quality", 10).collect()
+    picked = [r.doc_id for r in found]
+    assert len(found) <= 20 and len(set(picked)) == len(picked)
+    every = {r.doc_id: r.text for r in common.labelled_sample(docs, labels, "quality", 100).collect()}
+    assert every.get(1, "text 0") == "text 0"
+
+
+def pair_task(n, seed=1):
+    """Texts toxic by which two words meet, never by one of them."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        insult, label = rng.randrange(2), i % 2
+        words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(30)] + [("vork", "blem")[insult], ("zund", "kelp")[insult if label else 1 - insult]]
+        rng.shuffle(words)
+        rows.append((np.array(toxicity.all_terms(" ".join(words))), label))
+    return [t for t, _ in rows], [k for _, k in rows]
+
+
+def test_machine_learns_pairs_that_weights_miss():
+    terms, labels = pair_task(1500)
+    known, rest = (terms[:1000], labels[:1000]), (terms[1000:], np.array(labels[1000:]))
+    machine = toxicity.fit(*known)
+    rows = [m[m >= 0] for m in (machine.place[t] for t in rest[0])]
+    assert ((machine.scores(rows) >= 0.5) == rest[1]).mean() > 0.97
+    linear = toxicity.Machine(machine.place, machine.weight, np.zeros_like(machine.factor), machine.bias)
+    assert ((linear.scores(rows) >= 0.5) == rest[1]).mean() < 0.7
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10_000))
+def test_machine_scores_equal_direct_sums(seed):
+    rng = np.random.default_rng(seed)
+    machine = toxicity.Machine(np.empty(0), rng.normal(size=12), rng.normal(size=(12, 4)), 0.3)
+    rows = [rng.choice(12, int(rng.integers(0, 8)), replace=False) for _ in range(5)]
+    for row, score in zip(rows, machine.scores(rows), strict=True):
+        z = 0.3 + machine.weight[row].sum() + sum(machine.factor[a] @ machine.factor[b] for k, a in enumerate(row) for b in row[:k])
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_every_line_takes_part_in_the_fit(monkeypatch):
+    """Documents that differ only after their first hundred lines are told apart, in chains of any length."""
+    head = ["Some plain words stand in this line."] * 100
+    texts = ["\n".join([*head, *(["Good words again follow here."] * 120 if k % 2 else ["@@## !! %% $$ ++ ==" ] * 120)]) for k in range(8)]
+    labels = [k % 2 for k in range(8)]
+    for run in (16, 64):
+        monkeypatch.setattr(quality, "FIT_RUN", run)
+        chain = quality.fit([quality.line_features(t)[0] for t in texts], labels)
+        assert ((quality.qualities(texts, chain) >= 0.5) == np.array(labels, bool)).all()
+
+
+def test_quality_equals_enumeration():
+    """A document's quality: P(good) of each line summed over all labellings, weighted by length plus one."""
+    rng = np.random.default_rng(3)
+    width = 3 * quality.BASE + 2
+    chain = quality.Chain(rng.normal(size=width), rng.uniform(0.5, 2, width), rng.normal(size=width) / 5, 0.2, rng.normal(size=4))
+    for text in ("", "one line", "Ab c\n\n12!! x\nfour words stand here\n??"):
+        x, n = quality.line_features(text)
+        score, good, whole = chain.emissions(x), np.zeros(len(n)), 0.0
+        for labels in np.ndindex(*[2] * len(n)):
+            p = np.exp(sum(s * y for s, y in zip(score, labels, strict=True)) + sum(chain.stay[2 * a + b] for a, b in zip(labels, labels[1:])))
+            whole += p
+            good += p * np.array(labels)
+        assert abs(quality.qualities([text], chain)[0] - (good / whole * (n + 1)).sum() / (n + 1).sum()) < 1e-9
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     sizes = np.array([3, 1, 4])
