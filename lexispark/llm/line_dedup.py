@@ -36,7 +36,9 @@ HASHES = 31
 
 @dataclass(frozen=True)
 class Class:
-    """Lines of `least` to `most` characters: their shingles' bytes, tables, and on how many hashes candidates agree.
+    """Lines of `least` to `most` characters: their shingles' bytes, tables, and on how many hashes candidates agree:
+
+    on `nibbles` of 30 halves of bytes in a table, on `agree` whole bytes before texts are compared.
 
     Classes overlap by the factor SIMILARITY, so that two similar lines are together in one.
     """
@@ -45,12 +47,13 @@ class Class:
     most: int
     gram: int
     tables: int
+    nibbles: int
     agree: int
 
 
 #: Lines up to SHORT characters meet by deletions, longer ones by the sketches of their classes.
 SHORT = 14
-CLASSES = (Class(12, 48, 3, 20, 9), Class(39, 1 << 31, 6, 14, 11))
+CLASSES = (Class(12, 48, 3, 20, 12, 9), Class(39, 1 << 31, 6, 14, 14, 11))
 #: Groups up to this size are compared by shifts over the sorted stream.
 SMALL = 128
 #: Groups of candidates are verified in pairs of parts: of SOME lines each up to MANY parts, else of PART at most.
@@ -286,7 +289,7 @@ def _alike(some: np.ndarray, other: np.ndarray, agree: int) -> np.ndarray:
 
 
 #: On how many hashes candidates agree, by the table that leads their key; remainders are equal or not.
-_AGREE = np.array([c.agree for c in CLASSES for _ in range(c.tables)] + [30])
+_AGREE = np.array([c.nibbles for c in CLASSES for _ in range(c.tables)] + [30])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

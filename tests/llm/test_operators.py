@@ -208,8 +208,10 @@ def meet(a, b):
     """Whether two lines are in one group of some table and agree on enough bytes of the sketch."""
     for kind in line_dedup.CLASSES:
         if all(kind.least <= len(x) <= kind.most for x in (a, b)):
-            x, y = line_dedup.sketches([a.encode(), b.encode()], kind.gram)[:, : line_dedup.HASHES]
-            if (x == y).sum() >= kind.agree and (x == y)[line_dedup._TRIPLES[: kind.tables]].all(axis=1).any():
+            codes = line_dedup.sketches([a.encode(), b.encode()], kind.gram)
+            same = codes[0, : line_dedup.HASHES] == codes[1, : line_dedup.HASHES]
+            near = line_dedup._near(*line_dedup._nibbles(codes), np.array([0]), np.array([1]), kind.nibbles)[0]
+            if near and same.sum() >= kind.agree and same[line_dedup._TRIPLES[: kind.tables]].all(axis=1).any():
                 return True
     return False
 
