@@ -7,18 +7,19 @@ The search sorts fingerprints by Gray rank, in which neighbours share long bit p
 upper nodes of the distributed index are those patterns: 64 bits are cut into distance + 2
 segments, of which two fingerprints within `distance` agree on two at least, so for each pair
 of segments the fingerprints are permuted to begin with them and grouped by that shared
-masked pattern. Inside a group, `GrayIndex` factors the bits that runs of Gray neighbours
-share into further nodes, and a search drops a whole run as soon as the differences
-accumulated on the way down exceed `distance`. A task emits the links of a spanning forest of
-each group, never all pairs; exact copies are one row before any search.
-
-`near_groups` links by bits alone. `similar_groups` finds all pairs of a likeness: its tables
-lead with random masks over 128 bits, and shingle sets decide.
+masked pattern. Inside every group, of two codes or a million, `GrayIndex` factors the bits that
+runs of Gray neighbours share into further nodes, and a search drops a whole run as soon as the
+differences accumulated on the way down exceed `distance`, or if links have joined all of it
+with the code that asks. A task emits the links of a spanning forest of each group, never all
+pairs; exact copies are one row before any search.
+
+`near_groups` links by bits alone. `similar_groups` finds pairs of a likeness: its tables lead
+with random masks over 128 bits, the same index searches their groups, and shingle sets decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,11 +32,9 @@ from lexispark.llm.common import Forest, components, dealt_parts, packed, pair_o
 
 SEED = 42
 #: Children of a node of the in-group index.
-FANOUT = 16
-#: Groups up to this size are compared by shifts over the sorted stream.
-SMALL = 128
-#: Codes that a walk compares outright; beyond, it goes through the in-group index.
-DIRECT = 8192
+FANOUT = 4
+#: Codes that search the index at a time, and steps to children that one search may hold before it is halved.
+BLOCK, STEPS = 512, 4 << 20
 
 _LANES = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -115,72 +114,99 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Nodes over codes in Gray order: each holds the bits all its codes share."""
+    """A tree for each of several groups of codes: a node holds the bits that all its codes share.
+
+    The groups stand one after another, each in Gray order; `starts` has the first place of each.
+    """
 
-    def __init__(self, codes: np.ndarray) -> None:
+    def __init__(self, codes: np.ndarray, starts: np.ndarray) -> None:
         self.codes = codes
-        ones, any_ = codes, codes
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves' parents up
-        while len(ones) > 1:
-            at = np.arange(0, len(ones), FANOUT)
-            ones, any_ = np.bitwise_and.reduceat(ones, at), np.bitwise_or.reduceat(any_, at)
-            self.levels.append((ones | ~any_, ones))  # shared bits, their values
-
-    def within(self, code: np.uint64, distance: int) -> np.ndarray:
-        """Places of all codes within `distance` bits."""
-        nodes, seen, mask = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64)
+        self.compared = 0  # codes that searches looked at one by one
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # from the leaves' parents up
+        ones, any_, last, bounds = codes, codes, np.arange(len(codes)), np.append(starts, len(codes))
+        while not self.levels or (np.diff(bounds) > 1).any():
+            parents = -(-np.diff(bounds) // FANOUT)
+            before = np.cumsum(parents) - parents
+            first = np.repeat(bounds[:-1], parents) + FANOUT * (np.arange(int(parents.sum())) - np.repeat(before, parents))
+            end = np.append(first[1:], len(ones))
+            ones, any_, last = np.bitwise_and.reduceat(ones, first), np.bitwise_or.reduceat(any_, first), last[end - 1]
+            self.levels.append((ones | ~any_, ones, first, last))  # shared bits, their values, the first child, the last code
+            bounds = np.append(before, len(first))
+        self.mark(np.arange(len(codes)))
+
+    def mark(self, label: np.ndarray) -> None:
+        """Take the codes' labels: a node whose codes have one label is nothing new to a code of that label."""
+        self.label, self.shared = label, []
+        low = high = label
+        for _, _, first, _ in self.levels:
+            low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            self.shared.append(np.where(low == high, low, -1))
+
+    def later(self, asking: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j) of all codes j after i in its group, within `distance` bits and of another label."""
+        node, who = group, np.arange(len(asking))
+        seen, mask, own = np.zeros(len(asking), np.int64), np.zeros(len(asking), np.uint64), self.codes[asking]
         for depth in range(len(self.levels) - 1, -1, -1):
-            masks, ones = self.levels[depth]
-            if depth < len(self.levels) - 1:
-                parents, nodes = self._children(nodes, len(masks))
-                seen, mask = seen[parents], mask[parents]
-            own = masks[nodes]
-            seen = seen + np.bitwise_count((ones[nodes] ^ code) & own & ~mask)  # differences add up on the way down
-            live = seen <= distance
-            nodes, seen, mask = nodes[live], seen[live], own[live]
-        _, at = self._children(nodes, len(self.codes))
-        return at[np.bitwise_count(self.codes[at] ^ code) <= distance]
-
-    @staticmethod
-    def _children(nodes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        grid = nodes[:, None] * FANOUT + np.arange(FANOUT)
-        fits = grid < n
-        return np.nonzero(fits)[0], grid[fits]
-
-
-def group_links(codes: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of one group's codes (distinct, in Gray order), by place.
-
-    A walk that looks from each code at the codes not reached yet, so that dense clusters cost
-    far less than all pairs. Up to DIRECT codes left are compared outright, more through the
-    index, which is built anew when three in four have been reached.
+            shared, ones, first, last = self.levels[depth]
+            bits = shared[node]
+            seen = seen + np.bitwise_count((ones[node] ^ own[who]) & bits & ~mask)  # differences add up on the way down
+            live = (seen <= distance) & (last[node] > asking[who]) & (self.shared[depth][node] != self.label[asking[who]])
+            node, who, seen, mask = node[live], who[live], seen[live], bits[live]
+            below = np.append(first[1:], len(self.levels[depth - 1][0]) if depth else len(self.codes))
+            count = below[node] - first[node]
+            if count.sum() > STEPS and len(asking) > 1:
+                half = len(asking) // 2
+                parts = [self.later(asking[x], group[x], distance) for x in (slice(half), slice(half, None))]
+                return np.concatenate([parts[0][0], parts[1][0]]), np.concatenate([parts[0][1], parts[1][1]])
+            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            node, who, seen, mask = np.repeat(first[node], count) + step, np.repeat(who, count), np.repeat(seen, count), np.repeat(mask, count)
+        i, j = asking[who], node
+        self.compared += len(j)
+        hit = (j > i) & (np.bitwise_count(self.codes[i] ^ self.codes[j]) <= distance) & (self.label[i] != self.label[j])
+        return i[hit], j[hit]
+
+
+def spanning_links(codes: np.ndarray, starts: np.ndarray, distance: int, also: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, index: GrayIndex | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) places of a spanning forest of the codes within `distance` bits in each group.
+
+    `also` says which of such pairs are links. Codes ask the index block by block; what links
+    have joined by then is not looked at again, so that dense clusters cost far less than all
+    their pairs.
     """
-    left = np.arange(len(codes))  # not reached yet, in Gray order
-    index = GrayIndex(codes) if len(codes) > DIRECT else None
-    indexed, free = left, np.ones(len(codes), bool)
-    todo: list[int] = []
-    out: list[tuple[int, int]] = []
-    while len(left) or todo:
-        if not todo:
-            todo.append(int(left[0]))
-            left = left[1:]
-            free[todo[0]] = False
-        i = todo.pop()
-        if index is None:
-            hit = np.bitwise_count(codes[left] ^ codes[i]) <= distance
-            near, left = left[hit], left[~hit]
-        else:
-            near = indexed[index.within(codes[i], distance)]
-            near = near[free[near]]
-            free[near] = False
-            if len(near) or not todo:
-                left = left[free[left]]
-            if 4 * len(left) < len(indexed):
-                index = GrayIndex(codes[left]) if len(left) > DIRECT else None
-                indexed = left
-        todo.extend(near.tolist())
-        out.extend((i, j) for j in near.tolist())
-    return out
+    index = index or GrayIndex(codes, starts)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
+    label, out = np.arange(len(codes)), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    a, end = 0, 0
+    while end < len(codes):
+        a, end = end, min(len(codes), end + min(BLOCK, max(16, end)))  # the first blocks are small: they join most of a cluster
+        i, j = index.later(np.arange(a, end), group[a:end], distance)
+        if also is not None and len(i):
+            keep = also(i, j)
+            i, j = i[keep], j[keep]
+        joined = False
+        while len(i := i[apart := label[i] != label[j]]):
+            j = j[apart]
+            high, low = np.maximum(label[i], label[j]), np.minimum(label[i], label[j])
+            order = np.lexsort((low, high))  # each label joins the least one that it has a link to
+            order = order[np.append(True, np.diff(high[order]) > 0)]
+            out.append((i[order], j[order]))
+            up = np.arange(len(codes))
+            up[high[order]] = low[order]
+            while (up[up] != up).any():
+                up = up[up]
+            label, joined = up[label], True
+        if joined:
+            index.mark(label)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _shared_groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by keys: the places of those whose keys another row has, and the first of each group among them."""
+    cuts = np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in keys])))
+    size = np.diff(np.append(cuts, len(keys[0])))
+    places = np.flatnonzero(np.repeat(size > 1, size))
+    size = size[size > 1]
+    return places, np.cumsum(size) - size
 
 
 def _to_ranks(layout: Layout):
@@ -199,36 +225,18 @@ def _to_ranks(layout: Layout):
 
 def _links(layout: Layout, distance: int):
 
-    def solve(t: np.ndarray, key: np.ndarray, low: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Links among complete groups, sorted by table, key and rank."""
-        cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(t)]))
-        sizes, group = ends - starts, np.repeat(np.arange(len(starts)), ends - starts)
-        for table in np.unique(t):
-            a, b = np.searchsorted(t, table), np.searchsorted(t, table, "right")
-            bits = layout.key_bits[table]
-            rank = (key[a:b].astype(np.uint64) << np.uint64(64 - bits)) | low[a:b].astype(np.uint64)
-            codes, g = rank ^ (rank >> np.uint64(1)), group[a:b]
-            pairs: list[tuple[int, int]] = []
-            small = sizes[g] <= SMALL
-            forest = Forest()
-            for d in range(1, SMALL):
-                at = np.flatnonzero(small[:-d] & (g[d:] == g[:-d])) if d < len(g) else np.empty(0, np.int64)
-                if not len(at):
-                    break
-                at = at[np.bitwise_count(codes[at] ^ codes[at + d]) <= distance]
-                pairs.extend((i, i + d) for i in at.tolist() if forest.join(i, i + d))
-            for k in np.unique(g[~small]):
-                s = starts[k] - a
-                pairs.extend((s + i, s + j) for i, j in group_links(codes[s : s + sizes[k]], distance))
-            if pairs:
-                ij = np.array(pairs, dtype=np.int64)
-                fps = layout.restore(codes, int(table))
-                yield fps[ij[:, 0]].view(np.int64), fps[ij[:, 1]].view(np.int64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in whole_groups(batches, ("t", "key"), ("t", "key", "low")):
-            for src, dst in solve(*columns):
+        key_bits = np.array(layout.key_bits)
+        for t, key, low in whole_groups(batches, ("t", "key"), ("t", "key", "low")):
+            places, starts = _shared_groups([t, key])
+            if not len(places):
+                continue
+            t, rank = t[places], key[places].astype(np.uint64) << (64 - key_bits[t[places]]).astype(np.uint64) | low[places].astype(np.uint64)
+            codes = rank ^ (rank >> np.uint64(1))
+            i, j = spanning_links(codes, starts, distance)
+            for table in np.unique(t[i]):
+                of = t[i] == table
+                src, dst = (layout.restore(codes[x[of]], int(table)).view(np.int64) for x in (i, j))
                 yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
     return tidy(run)
@@ -330,62 +338,46 @@ def _to_wide_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of nodes within WIDE_DISTANCE of 128 bits, in groups that share a masked pattern."""
-
-    def solve(t, key, low, other, node) -> pa.RecordBatch | None:
-        rank = (key.astype(np.uint64) << np.uint64(64 - LEAD)) | low.astype(np.uint64)
-        codes, other = rank ^ (rank >> np.uint64(1)), other.view(np.uint64)
-        cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(t)]))
-        sizes = ends - starts
-        g = np.repeat(np.arange(len(starts)), sizes)
-        small, forest, out = sizes[g] <= SMALL, Forest(), []
-        for d in range(1, SMALL):
-            at = np.flatnonzero(small[:-d] & (g[d:] == g[:-d])) if d < len(g) else np.empty(0, np.int64)
-            if not len(at):
-                break
-            at = at[np.bitwise_count(codes[at] ^ codes[at + d]) + np.bitwise_count(other[at] ^ other[at + d]) <= WIDE_DISTANCE]
-            out.extend((i, i + d) for i in at.tolist() if forest.join(i, i + d))
-        for k in np.flatnonzero(sizes > SMALL):
-            left, todo = np.arange(starts[k], ends[k]), []
-            while len(left) or todo:
-                if not todo:
-                    todo.append(int(left[0]))
-                    left = left[1:]
-                i = todo.pop()
-                hit = np.bitwise_count(codes[left] ^ codes[i]) <= WIDE_DISTANCE  # what this half alone has against it
-                some = left[hit]
-                near = np.bitwise_count(codes[some] ^ codes[i]) + np.bitwise_count(other[some] ^ other[i]) <= WIDE_DISTANCE
-                hit[hit] = near
-                out.extend((i, j) for j in left[hit].tolist())
-                todo.extend(left[hit].tolist())
-                left = left[~hit]
-        if not out:
-            return None
-        ij = np.array(out)
-        return pa.RecordBatch.from_arrays([pa.array(node[ij[:, 0]]), pa.array(node[ij[:, 1]])], names=["src", "dst"])
-
-    for columns in whole_groups(batches, ("t", "key"), ("t", "key", "low", "other", "node")):
-        if (links := solve(*columns)) is not None:
-            yield links
+    """Spanning links of nodes within WIDE_DISTANCE of 128 bits, in groups that share a masked pattern.
+
+    Of these bits at most half differ in one of the two halves: its tables' index finds the pair.
+    """
+    for t, key, low, other, node in whole_groups(batches, ("t", "key"), ("t", "key", "low", "other", "node")):
+        places, starts = _shared_groups([t, key])
+        if not len(places):
+            continue
+        rank = (key[places].astype(np.uint64) << np.uint64(64 - LEAD)) | low[places].astype(np.uint64)
+        codes, other, node = rank ^ (rank >> np.uint64(1)), other[places].view(np.uint64), node[places]
+
+        def near(i: np.ndarray, j: np.ndarray, codes=codes, other=other) -> np.ndarray:
+            return np.bitwise_count(codes[i] ^ codes[j]) + np.bitwise_count(other[i] ^ other[j]) <= WIDE_DISTANCE
+
+        i, j = spanning_links(codes, starts, WIDE_DISTANCE // 2, near)
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["src", "dst"])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
     """Columns of a stream sorted by `keys` (the first of `names`), cut so that no group is parted."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []  # pieces of one group that may go on
+
+    def joined(pieces: list[list[np.ndarray]]) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*pieces, strict=True)]
+
     for batch in batches:
         now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
         last = np.logical_and.reduce([x == x[-1] for x in now[: len(keys)]])
         end = len(last) - int(last.sum())
-        held = [x[end:] for x in now]
-        if end:
-            yield [x[:end] for x in now]
-    if held is not None and len(held[0]):
-        yield held
+        if held and not end and all(h[0] == x[0] for h, x in zip(held[0][: len(keys)], now, strict=False)):
+            held.append(now)
+            continue
+        if held or end:
+            yield joined([*held, [x[:end] for x in now]])
+        held = [[x[end:] for x in now]]
+    if held:
+        yield joined(held)
 
 
 def _shingle_sets(width: int):
@@ -439,7 +431,7 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataF
     Likeness is the Jaccard similarity of the sets of `width`-word shingles. Two 64-bit
     SimHashes of each document stand in MASKS tables each, led by LEAD random bits and sorted by
     Gray rank; documents that share a masked pattern and differ in WIDE_DISTANCE of the 128
-    bits at most are candidates, and candidates are linked only if their shingle sets are alike.
+    bits at most, in half as many of the table's own 64, are candidates, and candidates are linked only if their shingle sets are alike.
     Equal word sequences are one node from the start. component_id is the smallest doc_id
     that links reach, null only where no row of a group has an id.
     """

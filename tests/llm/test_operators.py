@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -611,10 +612,9 @@ def plain_similar(rows, least=0.8, width=5):
     return sorted(((i, min((x for x in best[forest.find(k)] if x is not None), default=None)) for k, (i, _) in enumerate(rows)), key=key)
 
 
-@pytest.mark.parametrize("direct", [False, True])
-def test_similar_documents_equal_brute_force(spark, docs, rows, none, monkeypatch, direct):
-    if direct:  # every group through the walk and in pairs of parts
-        monkeypatch.setattr(simhash_dedup, "SMALL", 2)
+@pytest.mark.parametrize("parted", [False, True])
+def test_similar_documents_equal_brute_force(spark, docs, rows, none, monkeypatch, parted):
+    if parted:  # groups in pairs of parts
         monkeypatch.setattr(simhash_dedup, "SOME", 3)
     rng = random.Random(8)
     more = []
@@ -667,15 +667,15 @@ def test_near_links_equal_brute_force(spark, agree):
     assert [seen.find(x) for x in signed] == [forest.find(x) for x in signed]
 
 
-@settings(max_examples=20, deadline=None)
-@given(st.integers(0, 1000), st.sampled_from([3, 4]), st.sampled_from([1, 2, 3]), st.sampled_from([2, 8192]))
-def test_gray_index_finds_all_links(seed, distance, agree, direct):
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 1000), st.sampled_from([3, 4]), st.sampled_from([1, 2, 3]), st.sampled_from([3, 512]), st.sampled_from([40, 4 << 20]))
+def test_gray_index_finds_all_links(seed, distance, agree, block, steps):
     rng = np.random.default_rng(seed)
     centres = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     codes = np.unique([c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False))) for c in np.repeat(centres, 30)])
-    old, simhash_dedup.DIRECT, small = simhash_dedup.DIRECT, direct, simhash_dedup.SMALL
-    simhash_dedup.SMALL = int(rng.choice([2, 128]))
-    try:
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash_dedup, "BLOCK", block)
+        patch.setattr(simhash_dedup, "STEPS", steps)
         layout = simhash_dedup.Layout(distance, agree)
         forest, seen = Forest(), Forest()
         for t in range(len(layout.key_bits)):
@@ -683,23 +683,44 @@ def test_gray_index_finds_all_links(seed, distance, agree, direct):
             assert (layout.restore(permuted, t) == codes).all()
             rank = np.sort(simhash_dedup.gray_rank(permuted))
             ordered = rank ^ (rank >> np.uint64(1))
-            groups = rank >> np.uint64(64 - layout.key_bits[t])
-            for g in np.unique(groups):
-                own = ordered[groups == g]
-                back = layout.restore(own, t)
-                for i, j in simhash_dedup.group_links(own, distance):
-                    assert (int(back[i]) ^ int(back[j])).bit_count() <= distance
-                    seen.join(int(back[i]), int(back[j]))
+            places, starts = simhash_dedup._shared_groups([rank >> np.uint64(64 - layout.key_bits[t])])
+            if not len(places):
+                continue
+            back = layout.restore(ordered[places], t)
+            for i, j in zip(*simhash_dedup.spanning_links(ordered[places], starts, distance), strict=True):
+                assert (int(back[i]) ^ int(back[j])).bit_count() <= distance
+                assert seen.join(int(back[i]), int(back[j])) or t
         for i in range(len(codes)):
             for j in range(i):
                 if (int(codes[i]) ^ int(codes[j])).bit_count() <= distance:
                     forest.join(int(codes[i]), int(codes[j]))
         assert all(seen.find(int(c)) == forest.find(int(c)) for c in codes)
-        index = simhash_dedup.GrayIndex(ordered)
-        for q in ordered[:5]:
-            assert index.within(q, distance).tolist() == np.flatnonzero(np.bitwise_count(ordered ^ q) <= distance).tolist()
-    finally:
-        simhash_dedup.DIRECT, simhash_dedup.SMALL = old, small
+
+
+@pytest.mark.skipif(not os.path.exists(f"{SMALL}/documents.parquet"), reason="needs the small tables")
+def test_gray_index_prunes(spark):
+    """Of the fingerprints of `documents` as one group the index looks at few pairs, of a dense cluster at fewer."""
+    fps = simhash_dedup.fingerprints(spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet"))
+    codes = np.unique(np.array([r.fp for r in fps.collect()], np.int64).view(np.uint64))
+    cluster = np.unique([np.uint64(sum(1 << int(b) for b in np.random.default_rng(k).choice(64, 2, replace=False))) for k in range(1500)])
+    for own, most in ((codes, 0.5), (cluster, 0.6)):
+        rank = np.sort(simhash_dedup.gray_rank(own))
+        ordered = rank ^ (rank >> np.uint64(1))
+        index = simhash_dedup.GrayIndex(ordered, np.zeros(1, np.int64))
+        i, j = simhash_dedup.spanning_links(ordered, np.zeros(1, np.int64), 4, index=index)
+        assert len(index.levels) > 3 and index.compared < most * len(own) * (len(own) - 1) / 2
+        forest, pairs = Forest(), np.argwhere(np.triu(np.bitwise_count(ordered[:, None] ^ ordered[None, :]) <= 4, 1))
+        assert len(i) == sum(forest.join(a, b) for a, b in pairs.tolist())
+
+
+def test_whole_groups_are_never_parted():
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 6, 300))
+    for size in (1, 7, 100, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + size]), pa.array(np.arange(300)[a : a + size])], names=["k", "v"]) for a in range(0, 300, size)]
+        found = list(simhash_dedup.whole_groups(iter(batches), ("k",), ("k", "v")))
+        assert np.concatenate([v for _, v in found]).tolist() == list(range(300))
+        assert all(not set(a[0]) & set(b[0]) for k, a in enumerate(found) for b in found[:k])
 
 
 # 9 Secret scans
