@@ -6,6 +6,8 @@ Arrow step over the words. A lexeme of more than LONGEST bytes is ignored.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,8 @@ def flatten_array(values: Column) -> Column:
 def analyze(spark: SparkSession, text: str, config: str) -> list[str]:
     """The lexemes of a query text, by the same expressions, without a cluster job for plain configurations."""
     name = check_config(config)
+    if name == "ascii_simple" and text.isascii():
+        return [w for w in re.split(_SPLITS[name], text.lower()) if w and len(w) <= LONGEST]
     one = spark.sql("SELECT * FROM VALUES (:q) AS t(q)", args={"q": text})
     plain = "simple" if name == "english" else name
     words = one.select(tokens(F.col("q"), plain).alias("w")).first().w

@@ -57,9 +57,9 @@ def vectors_of(documents: DataFrame) -> DataFrame:
     return documents.select("part", "doc_key", n.alias("len"), fieldnorm(n).alias("norm"), frequencies(F.col("tokens")).alias("entries"))
 
 
-def postings_of(vectors: DataFrame) -> DataFrame:
-    """(part, term, doc_key, tf, norm)"""
-    return vectors.select("part", "doc_key", "norm", F.inline("entries")).select("part", "term", "doc_key", "tf", "norm")
+def postings_of(vectors: DataFrame, *also: str) -> DataFrame:
+    """(part, term, doc_key, tf, norm), and other columns if asked for."""
+    return vectors.select(*also, "part", "doc_key", "norm", F.inline("entries")).select(*also, "part", "term", "doc_key", "tf", "norm")
 
 
 def terms_of(postings: DataFrame) -> DataFrame:
@@ -81,19 +81,29 @@ def build(df: DataFrame, spec: IndexSpec) -> IndexTables:
 
 
 def without(tables: IndexTables, dead: DataFrame) -> IndexTables:
-    """The index less the documents whose keys are in `dead` (doc_key): all statistics count live rows only."""
+    """The index less the documents whose keys are in `dead` (doc_key): all statistics count live rows only.
+
+    Where the forward form is at hand, document frequencies are those of the index less those
+    of the dead documents' own terms; the terms' bounds stay, so that none is too low.
+    """
     gone = dead.select("doc_key").distinct()
     docs = tables.docs.join(gone, "doc_key", "left_anti").select(*tables.docs.columns)
     postings = tables.postings.join(gone, "doc_key", "left_anti").select(*tables.postings.columns)
-    return IndexTables(tables.spec, docs, postings, terms_of(postings), stats_of(docs))
+    if tables.vectors is None:
+        return IndexTables(tables.spec, docs, postings, terms_of(postings), stats_of(docs))
+    less = postings_of(tables.vectors.join(gone, "doc_key", "left_semi")).groupBy("part", "term").agg((-F.count("*")).alias("df"))
+    every = tables.terms.unionByName(less, allowMissingColumns=True).groupBy("part", "term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_norm").alias("min_norm"))
+    vectors = tables.vectors.join(gone, "doc_key", "left_anti").select(*tables.vectors.columns)
+    return IndexTables(tables.spec, docs, postings, every.where("df > 0"), stats_of(docs), vectors)
 
 
 def union(first: IndexTables, *rest: IndexTables) -> IndexTables:
     """Several indexes of disjoint documents as one: statistics add up."""
-    docs, postings, terms, stats = first.docs, first.postings, first.terms, first.stats
+    docs, postings, terms, stats, vectors = first.docs, first.postings, first.terms, first.stats, first.vectors
     for other in rest:
         docs, postings = docs.unionByName(other.docs), postings.unionByName(other.postings)
         terms, stats = terms.unionByName(other.terms), stats.unionByName(other.stats)
+        vectors = None if vectors is None or other.vectors is None else vectors.unionByName(other.vectors)
     terms = terms.groupBy("part", "term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_norm").alias("min_norm"))
     stats = stats.groupBy("part").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").cast("long").alias("total_len"))
-    return IndexTables(first.spec, docs, postings, terms, stats)
+    return IndexTables(first.spec, docs, postings, terms, stats, vectors)

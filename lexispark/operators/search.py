@@ -34,15 +34,25 @@ def weighted_terms(tables: IndexTables, scope: str = "partition") -> DataFrame:
     return rows.select("part", "term", "df", idf(F.col("n_docs"), F.col("df")).alias("weight"), avgdl, "max_tf", "min_norm")
 
 
+#: Rows of a query's terms (a row for each word and index partition) that a plan takes as literals; more are joined.
+LOOKUP = 4096
+
+
 def _contribution(spec, qf: Column) -> Column:
     return term_score(F.col("tf"), F.col("norm"), F.col("avgdl"), F.col("weight"), spec.k1, spec.b) * qf
 
 
 def _query_terms(tables: IndexTables, words: list[str], scope: str) -> DataFrame:
+    """(part, term, df, weight, avgdl, max_tf, min_norm, qf) of the query's words.
+
+    They are looked up once, in a small job, and are literals of the plan that reads the
+    postings: no join of it waits for statistics. An index of very many partitions joins them.
+    """
     counts = Counter(words)
-    found = weighted_terms(tables, scope).where(F.col("term").isin(list(counts)))
     pairs = F.create_map(*(F.lit(x) for item in counts.items() for x in item))
-    return found.withColumn("qf", F.element_at(pairs, F.col("term")))
+    found = weighted_terms(tables, scope).where(F.col("term").isin(list(counts))).withColumn("qf", F.element_at(pairs, F.col("term")))
+    rows = found.limit(LOOKUP + 1).collect()
+    return found if len(rows) > LOOKUP else found.sparkSession.createDataFrame(rows, found.schema)
 
 
 def _nothing(tables: IndexTables) -> DataFrame:
@@ -82,11 +92,15 @@ def top(rows: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
 
 def search(tables: IndexTables, query: str, limit: int | None = 10, offset: int = 0, scope: str = "partition", decimals: int | None = None, prune: bool = False) -> DataFrame:
     """(doc_key, score) of the best documents; ties go by key."""
-    if prune and limit and not offset:
+    if prune and limit and not offset and limit <= SEED:
         return _pruned(tables, query, limit, scope, decimals)
     return top(matches(tables, query, scope, decimals), limit, offset)
 
 
+#: The most rows for which a search prunes: so many partial scores are asked of the strongest term.
+SEED = 10_000
+
+
 def _pruned(tables: IndexTables, query: str, limit: int, scope: str, decimals: int | None) -> DataFrame:
     """The same rows as `search`, with fewer postings summed.
 

@@ -421,6 +421,38 @@ def index_lifecycle(spark, sf_dir):
     return _named(search.search(store.tables(), "the and", 10, decimals=DECIMALS))
 
 
+_BACK = "select doc_id as key, text, '' as part from documents where doc_id % 2 = 0 or doc_id not in (select doc_id from labels where quality = 0)"
+
+
+@_query(_sql_search("the and", 10, rows=_BACK))
+def delete_then_append(spark, sf_dir):
+    """Keys that come again after their deletion are documents again."""
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}"
+    store = IndexStore.create(spark, path, docs, SPECS["docs_idx"])
+    gone = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("doc_key"))
+    store.delete(gone)
+    store.append(docs.where("doc_id % 2 = 0").join(gone, docs["doc_id"] == gone["doc_key"], "left_semi"))
+    return _named(search.search(store.tables(), "the and", 10, decimals=DECIMALS))
+
+
+@_query(_sql_search("omega the and", 10, rows="select doc_id as key, case when lang = 'en' then 'omega ' || text else text end as text, '' as part from documents"))
+def updated_index(spark, sf_dir):
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}"
+    store = IndexStore.create(spark, path, docs, SPECS["docs_idx"])
+    store.update(docs.where("lang = 'en'").withColumn("text", F.concat(F.lit("omega "), "text")))
+    return _named(search.search(store.tables(), "omega the and", 10, decimals=DECIMALS))
+
+
+@_query(f"with {_sql_index()} select term, key as doc_id, tf, norm, key not in (select doc_id from labels where quality = 0 and doc_id is not null) as live from p where term in ('the', 'and')")
+def index_dump(spark, sf_dir):
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}"
+    store = IndexStore.create(spark, path, docs.where("doc_id % 2 = 0"), SPECS["docs_idx"])
+    store.append(docs.where("doc_id % 2 <> 0"))
+    store.delete(table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("doc_key")))
+    rows = store.dump().where(F.col("term").isin("the", "and"))
+    return rows.select("term", F.col("doc_key").alias("doc_id"), F.col("tf").cast("long").alias("tf"), "norm", "live")
+
+
 @_query(_sql_search("the and", 10))
 def streamed_index(spark, sf_dir):
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}"

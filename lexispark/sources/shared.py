@@ -8,10 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where the session names none a temporary one is set."""
+    """The cluster's spark.checkpoint.dir; on one machine a temporary folder is set where the session names none."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexispark-"))
         named = sc.getCheckpointDir()
     return named

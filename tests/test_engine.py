@@ -17,7 +17,7 @@ from lexispark.plans.catalog import Catalog
 from lexispark.plans.query import Bm25Query, Bm25Vector, to_bm25query
 from lexispark.plans.spec import IndexSpec
 from lexispark.sources.readers import read_documents
-from lexispark.sources.store import IndexStore
+from lexispark.sources.store import Conflict, IndexStore
 from lexispark.streaming.ingest import feed
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -189,6 +189,47 @@ def test_store_lifecycle(spark, rows, tmp_path):
         IndexStore(spark, str(tmp_path / "none")).tables()
 
 
+def test_deleted_keys_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "g", "alpha beta"), (2, "g", "alpha"), (3, "g", "gamma")], "id long, grp string, body string")
+    store = IndexStore.create(spark, str(tmp_path / "s"), df, SPEC)
+    store.delete(spark.createDataFrame([(1,), (9,)], "doc_key long"))
+    version = store.manifest().version
+    store.delete(spark.createDataFrame([(1,), (9,)], "doc_key long"))
+    assert store.manifest().version == version  # nothing was live
+    again = [(1, "g", "alpha omega omega")]
+    store.append(spark.createDataFrame(again, df.schema))
+    state = [(2, "g", "alpha"), (3, "g", "gamma"), *again]
+    for _ in range(3):
+        for query in ("alpha", "omega", "beta"):
+            got = {r.doc_key: r.score for r in search.search(store.tables(), query, None).collect()}
+            assert got == {k: pytest.approx(v, abs=1e-9) for k, v in brute(state, query).items()}
+        store.flush()
+        store.update(spark.createDataFrame(again, df.schema))
+    rows = store.dump().where("live").select("term", "doc_key", "tf").collect()
+    assert sorted(map(tuple, rows)) == [("alpha", 1, 1), ("alpha", 2, 1), ("gamma", 3, 1), ("omega", 1, 2)]
+
+
+def test_levels_bound_what_appends_write(spark, tmp_path):
+    df = spark.createDataFrame([(0, "g", "alpha")], "id long, grp string, body string")
+    store = IndexStore.create(spark, str(tmp_path / "s"), df, SPEC)
+    store.fan_in = 2
+    for k in range(1, 8):
+        m = store.append(spark.createDataFrame([(k, "g", "alpha")], df.schema))
+        assert [s.level for s in m.segments] == [b for b in range(3, -1, -1) if k + 1 >> b & 1]
+    written = spark.read.parquet(str(tmp_path / "s/segments/*/docs")).count()
+    assert written == 8 * 4 and search.search(store.tables(), "alpha", None).count() == 8
+
+
+def test_second_writer_of_a_version_fails(spark, tmp_path):
+    df = spark.createDataFrame([(0, "g", "alpha")], "id long, grp string, body string")
+    store = IndexStore.create(spark, str(tmp_path / "s"), df, SPEC)
+    m = store.manifest()
+    store.append(df.withColumn("id", df["id"] + 1))
+    with pytest.raises(Conflict):
+        store._next(m, segments=m.segments)
+    assert store.tables().docs.count() == 2
+
+
 def test_stream_feeds_an_index_once(spark, rows, tmp_path):
     df = frame(spark, rows)
     df.where("id < 200").write.parquet(str(tmp_path / "in/a"))
