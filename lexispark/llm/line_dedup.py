@@ -16,7 +16,7 @@ bits of 64, whose exact pigeonhole join takes 455 tables of 13-bit keys (14 + 1
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, combinations
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import Forest, components, dealt_parts, packed, pair_of_parts, parts_of, probably_in, slices, stored, surely_out, tidy, unpacked
-from lexispark.llm.simhash_dedup import whole_groups
+from lexispark.llm.simhash_dedup import _shared_groups, whole_groups
 
 SIMILARITY = 0.8
 #: Hashes of a sketch; beside them a byte has the length.
@@ -53,11 +53,11 @@ class Class:
 
 #: Lines up to SHORT characters meet by deletions, longer ones by the sketches of their classes.
 SHORT = 14
-CLASSES = (Class(12, 48, 3, 20, 12, 9), Class(39, 1 << 31, 6, 14, 14, 11))
+CLASSES = (Class(12, 48, 3, 20, 12, 9), Class(39, 1 << 31, 6, 12, 14, 13))
 #: Groups up to this size are compared by shifts over the sorted stream.
 SMALL = 128
 #: Groups of candidates are verified in pairs of parts: of SOME lines each up to MANY parts, else of PART at most.
-SOME, MANY, PART = 200, 32, 4000
+SOME, MANY, PART = 1000, 32, 4000
 
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -81,13 +81,22 @@ _FACTORS = np.random.default_rng(42).integers(0, 1 << 31, HASHES, dtype=np.uint3
 _TRIPLES = _triples()
 
 
+#: Bytes of lines that are sketched at a time: their hashes stay in a core's cache.
+STRETCH = 1 << 16
+
+
 def sketches(lines: list[bytes], gram: int) -> np.ndarray:
     """A row for each line: HASHES bytes for its set of `gram`-byte shingles, one for its length; 0 for less than a shingle."""
     out = np.zeros((len(lines), HASHES + 1), np.uint8)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     full = np.flatnonzero(size >= gram)
-    if not len(full):
-        return out
+    stretch = np.cumsum(size[full]) // STRETCH
+    for some in np.split(full, np.flatnonzero(np.diff(stretch)) + 1) if len(full) else ():
+        _sketch([lines[i] for i in some.tolist()], size[some], gram, out, some)
+    return out
+
+
+def _sketch(lines: list[bytes], size: np.ndarray, gram: int, out: np.ndarray, rows: np.ndarray) -> None:
     octets = np.frombuffer(b"".join(lines) + bytes(gram), np.uint8)
     heads = np.concatenate(([0], np.cumsum(octets & 0xC0 != 0x80)))
     octets = octets.astype(np.uint32)
@@ -100,14 +109,13 @@ def sketches(lines: list[bytes], gram: int) -> np.ndarray:
         h ^= h >> np.uint32(shift)
         h *= np.uint32(factor)
     h ^= h >> np.uint32(15)
-    start = (np.cumsum(size) - size)[full]
-    out[full, HASHES] = np.minimum(16 * np.log2(np.maximum(heads[start + size[full]] - heads[start], 1)), 255)  # in characters
-    cuts = np.column_stack([start, start + size[full] - gram + 1]).ravel()
+    start = np.cumsum(size) - size
+    out[rows, HASHES] = np.minimum(16 * np.log2(np.maximum(heads[start + size] - heads[start], 1)), 255)  # in characters
+    cuts = np.column_stack([start, start + size - gram + 1]).ravel()
     mixed = np.empty_like(h)
     for k, factor in enumerate(_FACTORS):
         np.multiply(h, factor, out=mixed)
-        out[full, k] = np.minimum.reduceat(mixed, cuts)[::2] & np.uint32(255)
-    return out
+        out[rows, k] = np.minimum.reduceat(mixed, cuts)[::2] & np.uint32(255)
 
 
 def remainders(line: str) -> set[str]:
@@ -120,49 +128,145 @@ def remainders(line: str) -> set[str]:
     return {"".join(line[i] for i in range(len(line)) if i not in gone) for k in range(most + 1) for gone in combinations(range(len(line)), k)}
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, by bit vectors as long as the shorter text, common ends cut off."""
-    if a == b:
-        return 0
+def _stripped(a: str, b: str) -> tuple[str, str]:
+    """Two texts without what they begin and end with in common, the shorter first."""
     n = min(len(a), len(b))
-    i = 0
-    while i < n and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < n - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    a, b = a[i : len(a) - j], b[i : len(b) - j]
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return len(b)
+    low, high = 0, n + 1  # the common start is at least low, and less than high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid)
+    a, b = a[low:], b[low:]
+    low, high = 0, min(len(a), len(b)) + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low] else (low, mid)
+    a, b = a[: len(a) - low], b[: len(b) - low]
+    return (b, a) if len(a) > len(b) else (a, b)
+
+
+def _number(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def edit_distances(text: str, others: list[str]) -> np.ndarray:
+    """Levenshtein distances of a text to several others.
+
+    The others' bit vectors stand in one number, with a spare bit after each that takes carries:
+    a step of the text is a few operations on that number, however many there are.
+    """
+    size = np.fromiter(map(len, others), np.int64, len(others))
+    codes = np.frombuffer("".join(x + "\0" for x in others).encode("utf-32-le", "surrogatepass"), np.uint32)
+    spare = np.cumsum(size + 1) - 1
+    field = np.ones(len(codes), bool)
+    field[spare] = False
+    first = np.zeros(len(codes), bool)
+    first[spare - size] = size > 0
+    full, low = _number(field), _number(first)
+    where = {c: _number((codes == ord(c)) & field) for c in set(text)}
+    up, down = full, 0
+    for c in text:
+        eq = where[c]
+        same = (((eq & up) + up) ^ up) | eq | down
+        h_up = down | full & ~(same | up)
+        h_down = (up & same) << 1
+        h_up = h_up << 1 | low
+        eq |= down
+        up = full & (h_down | ~(eq | h_up))
+        down = h_up & eq
+    change = np.zeros(len(codes) + 1, np.int64)
+    for x, sign in ((up, 1), (down, -1)):
+        bits = np.unpackbits(np.frombuffer(x.to_bytes((len(codes) + 7) // 8, "little"), np.uint8), bitorder="little")
+        change[1:] += sign * np.cumsum(bits[: len(codes)].astype(np.int64))
+    return len(text) + change[spare] - change[spare - size]
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance of two texts, by bit vectors as long as the shorter one's part that differs."""
+    a, b = _stripped(a, b)
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = full, 0, len(a)
+    full = (1 << len(a)) - 1
+    up, down = full, 0
     for c in b:
         eq = where.get(c, 0)
-        x = eq | down
-        d = (((x & up) + up) ^ up) | x
-        h_up = down | ~(d | up) & full
-        h_down = up & d
-        if h_up & top:
-            score += 1
-        if h_down & top:
-            score -= 1
-        h_up = (h_up << 1 | 1) & full
-        h_down = h_down << 1 & full
-        up = h_down | ~(d | h_up) & full
-        down = h_up & d
-    return score
+        same = (((eq & up) + up) ^ up) | eq | down
+        h_up = (down | ~(same | up)) << 1 | 1
+        eq |= down
+        down = (up & same) << 1 | ~(eq | h_up)
+        up, down = full & down, full & h_up & eq
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+#: Characters of an anchor, at which two texts are cut to bound their distance.
+ANCHOR = 8
+
+
+def _at_most(a: str, b: str, most: float) -> bool:
+    """Whether cuts at common anchors show that the distance is `most` at most; False says nothing."""
+    total, todo = 0, [(a, b)]
+    while todo and total <= most:
+        a, b = _stripped(*todo.pop())
+        if len(a) <= 2 * ANCHOR:
+            total += len(b)
+            continue
+        for share in (0.5, 0.25, 0.75):
+            at = int(len(a) * share) - ANCHOR // 2
+            anchor, near = a[at : at + ANCHOR], at + int((len(b) - len(a)) * share)
+            after, before = b.find(anchor, max(near, 0)), b.rfind(anchor, 0, near + ANCHOR)
+            if after >= 0 or before >= 0:
+                k = after if before < 0 or 0 <= after - near < near - before else before
+                todo += [(a[:at], b[:k]), (a[at + ANCHOR :], b[k + ANCHOR :])]
+                break
+        else:
+            total += len(b)
+    return total <= most
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     longest = max(len(a), len(b))
     if abs(len(a) - len(b)) > (1 - least) * longest:
         return False
-    return longest == 0 or edit_distance(a, b) <= (1 - least) * longest + 1e-9
+    most = (1 - least) * longest + 1e-9
+    return longest == 0 or _at_most(a, b, most) or edit_distance(a, b) <= most
+
+
+#: Lines that a line is compared with at a time.
+TOGETHER = 64
+
+
+def similar_links(lines: list[str], close: Callable[[int], tuple[np.ndarray, np.ndarray]], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest of the similar lines among the candidates: close(i) gives earlier lines, and how alike each seems.
+
+    The likeliest candidate comes first and often joins two groups by cheap cuts; those that
+    are left after it are compared together. What is in the line's own group by then is not.
+    """
+    forest, out = Forest(), []
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    for i in range(1, len(lines)):
+        other, seems = close(i)
+        most = (1 - least) * np.maximum(size[other], size[i]) + 1e-9
+        fits = np.abs(size[other] - size[i]) <= most
+        order = np.argsort(-seems[fits], kind="stable")
+        todo, most, at, step = other[fits][order], most[fits][order], 0, 1
+        while at < len(todo):
+            own = forest.find(i)
+            now = []
+            while at < len(todo) and len(now) < step:
+                if forest.find(j := int(todo[at])) != own:
+                    now.append(at)
+                at += 1
+            if len(now) == 1:
+                found = now if similar(lines[i], lines[int(todo[now[0]])], least) else []
+            elif now:
+                found = np.array(now)[edit_distances(lines[i], [lines[int(todo[k])] for k in now]) <= most[now]].tolist()
+            else:
+                found = []
+            for k in found:
+                if forest.join(i, int(todo[k])):
+                    out.append((i, int(todo[k])))
+            step = 1 if found else min(4 * step, TOGETHER)
+    return out
 
 
 def _lines(with_text: bool):
@@ -281,31 +385,28 @@ def _to_remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 _STEPS = int(np.ceil(-16 * np.log2(SIMILARITY)))
 
 
-def _alike(some: np.ndarray, other: np.ndarray, agree: int) -> np.ndarray:
-    """Which rows of sketches agree on `agree` bytes with one sketch."""
-    near = np.abs(some[:, HASHES].astype(np.int16) - other[HASHES]) <= _STEPS
-    near[near] = (some[near][:, :HASHES] == other[:HASHES]).sum(axis=-1) >= agree
-    return near
-
-
 #: On how many hashes candidates agree, by the table that leads their key; remainders are equal or not.
 _AGREE = np.array([c.nibbles for c in CLASSES for _ in range(c.tables)] + [30])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a spanning forest of the candidates in each group (sorted by key)."""
-    for key, node, low, high in whole_groups(batches, ("key",), ("key", "node", *_NIBBLES)):
+    for columns in whole_groups(batches, ("key",), ("key", "node", *_NIBBLES)):
+        places, starts = _shared_groups(columns[:1])
+        if not len(places):
+            continue
+        key, node, low, high = (x[places] for x in columns)
         agree = _AGREE[np.maximum(key >> 24, -1)]
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
+        ends = np.append(starts[1:], len(key))
         sizes = ends - starts
         g = np.repeat(np.arange(len(starts)), sizes)
-        small, forest, out = sizes[g] <= SMALL, Forest(), []
-        for d in range(1, min(SMALL, len(g))):
-            at = np.flatnonzero(small[:-d] & (g[d:] == g[:-d]))
-            if not len(at):
+        forest, out = Forest(), []
+        left, last = np.flatnonzero(sizes[g] <= SMALL), ends[g]
+        for d in range(1, SMALL):  # each row with the d-th after it in its group
+            left = left[left + d < last[left]]
+            if not len(left):
                 break
-            at = at[_near(low, high, at, at + d, agree[at])]
+            at = left[_near(low, high, left, left + d, agree[left])]
             out.extend((i, i + d) for i in at.tolist() if forest.join(i, i + d))
         for k in np.flatnonzero(sizes > SMALL):
             left, todo = np.arange(starts[k], ends[k]), []
@@ -340,16 +441,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has = np.array([r[1][at] is not None for r in rows])
             codes = np.array([r[1][at : at + len(_OF[0])] if h else [0] * len(_OF[0]) for r, h in zip(rows, has.tolist(), strict=True)], np.int64)
             sketched.append((kind.agree, has, codes.view(np.uint8)))
-        forest, out = Forest(), []
-        for i in range(1, len(rows)):
-            close = (size[:i] <= SHORT) & (size[i] <= SHORT)
+
+        def close(i: int) -> tuple[np.ndarray, np.ndarray]:
+            seems = np.where((size[:i] <= SHORT) & (size[i] <= SHORT), 1, 0)
             for agree, has, codes in sketched:
                 if has[i]:
-                    close |= has[:i] & _alike(codes[:i], codes[i], agree)
-            for j in np.flatnonzero(close).tolist():
-                if forest.find(i) != forest.find(j) and similar(rows[i][2], rows[j][2]):
-                    forest.join(i, j)
-                    out.append((rows[i][0], rows[j][0]))
+                    same = (codes[:i, :HASHES] == codes[i, :HASHES]).sum(axis=1)
+                    seems = np.maximum(seems, np.where(has[:i] & (same >= agree), same, 0))
+            other = np.flatnonzero(seems)
+            return other, seems[other]
+
+        out = [(rows[i][0], rows[j][0]) for i, j in similar_links([r[2] for r in rows], close)]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["src", "dst"])
 
     now, rows = None, []

@@ -233,6 +233,27 @@ def test_edit_distance(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
     assert line_dedup.edit_distance(a, b) == row[-1]
+    assert line_dedup.edit_distances(b, ["", a, a + "xy", a]).tolist()[:2] == [len(b), row[-1]]
+    assert line_dedup.edit_distances(b, [a, "", a]).tolist() == [row[-1], len(b), row[-1]]
+    assert not any(line_dedup._at_most(a, b, most) for most in range(row[-1]))
+
+
+def test_similar_links_equal_brute_force():
+    rng = random.Random(9)
+    lines = ["".join(rng.choices("ab", k=rng.randint(20, 80))) for _ in range(6)] + [""]
+    for _ in range(120):
+        line = list(rng.choice(lines))
+        for _ in range(rng.randint(1, 12)):
+            line[rng.randrange(len(line) + 1) : rng.randrange(len(line) + 1)] = rng.choice("abc")
+        lines.append("".join(line))
+    found, forest = Forest(), Forest()
+    for i, j in line_dedup.similar_links(lines, lambda i: (np.arange(i), np.array([-abs(len(lines[i]) - len(x)) for x in lines[:i]]))):
+        assert found.join(i, j)
+    for i in range(len(lines)):
+        for j in range(i):
+            if max(map(len, (lines[i], lines[j]))) * 0.2 + 1e-9 >= line_dedup.edit_distance(lines[i], lines[j]):
+                forest.join(i, j)
+    assert [found.find(i) for i in range(len(lines))] == [forest.find(i) for i in range(len(lines))]
 
 
 # 2 Sharding
