@@ -207,6 +207,27 @@ class Forest:
         return True
 
 
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels after the links i-j, and those of the links that joined two groups, i and j).
+
+    A group's label is the place of its first member. The links taken are a forest.
+    """
+    some, other = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(i := i[apart := label[i] != label[j]]):
+        j = j[apart]
+        high, low = np.maximum(label[i], label[j]), np.minimum(label[i], label[j])
+        order = np.lexsort((low, high))  # each group joins the first one that it has a link to
+        order = order[np.append(True, np.diff(high[order]) > 0)]
+        some.append(i[order])
+        other.append(j[order])
+        up = np.arange(len(label))
+        up[high[order]] = low[order]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+    return label, np.concatenate(some), np.concatenate(other)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node with a link; the component is its smallest node.
 

@@ -2,23 +2,25 @@
 
 Each of TABLES hashes projects a unit vector onto 8 * BLOCKS random directions and decodes every
 8 coordinates to the nearest point of the E8 lattice; the points together are the vector's
-cell. A vector also looks into the neighbouring cells it is nearest to. Two vectors of one label
-are compared where one's own cell is among the other's cells, and counted in one such cell only.
-Equal vectors are one row from the start, and vectors travel only to cells where they meet
-another. Cells too full for a task are compared in pairs of parts.
+cell. A vector also looks into the neighbouring cells it is nearest to. Vectors of one label that
+meet in a cell are compared, and the links of a spanning forest leave it. Then each component's
+vectors come together and all its links are counted, those too that no cell has shown. Equal
+vectors are one row from the start, and vectors travel only to cells where they meet another.
+Cells and components too full for a task are compared in pairs of parts, block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import product
+from collections.abc import Callable, Iterator
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexispark.llm.common import components, stored
+from lexispark.llm.common import components, merged, stored, tidy
 
 TABLES = 6
 BLOCKS = 2
@@ -26,8 +28,8 @@ PROBES = 8
 #: Cells to a projected unit vector, for each root of a dimension: projections shrink with it.
 SCALE = 0.375
 SEED = 20
-#: Vectors of one cell that a task compares at once; fuller cells are dealt out in parts.
-PART = 4096
+#: Vectors of one part of a cell or component, and of a block that is compared with all of two parts.
+PART, BLOCK = 4096, 512
 
 
 def _neighbours() -> np.ndarray:
@@ -121,69 +123,77 @@ def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found.reshape(-1).view(np.int64)), pa.array(own.reshape(-1)), pa.array(rep)], names=["cell", "own", "rep"])
 
 
-def _compare(least: float):
-    def solve(batch: pa.RecordBatch, cell: int, one: int, two: int) -> tuple | None:
-        """Links in one cell's pair of parts: counts for each vector, and a spanning forest."""
-        unit, label = _unit(batch), batch.column("label").to_numpy()
-        part, rep, copies = (batch.column(c).to_numpy() for c in ("own_part", "rep", "copies"))
-        near = unit @ unit.T >= least
-        near &= np.triu(np.ones_like(near), 1) & (label[:, None] == label)
-        if one != two:  # pairs inside a part are counted where it meets itself
-            near &= part[:, None] != part
-        i, j = np.nonzero(near)
-        if not len(i):
-            return None
-        names = cells(unit, label).view(np.int64)
-        here = np.full(len(i), -1, np.int64)  # the table whose cell speaks for the pair
-        speaks = np.zeros(len(i), np.int64)
-        for t in range(TABLES - 1, -1, -1):
-            a, b = names[i, t, 0], names[j, t, 0]
-            in_b, in_a = (names[j, t] == a[:, None]).any(axis=1), (names[i, t] == b[:, None]).any(axis=1)
-            first = np.where(in_b & in_a, np.minimum(a, b), np.where(in_b, a, b))
-            here = np.where(in_a | in_b, t, here)
-            speaks = np.where(in_a | in_b, first, speaks)
-        counted = (here >= 0) & (speaks == cell)
-        links = np.bincount(i[counted], copies[j[counted]], len(rep)) + np.bincount(j[counted], copies[i[counted]], len(rep))
-        root, edges = np.arange(len(rep)), []
-        for k in np.unique(j):  # join each vector to what is not yet joined of its links
-            for r in np.unique(root[i[j == k]]) if len(i) < 50_000 else np.unique(root[np.flatnonzero(near[:, k])]):
-                if r != root[k]:
-                    edges.append((rep[r], rep[k]))
-                    low, high = min(r, root[k]), max(r, root[k])
-                    root[root == high] = low
-        return rep, links.astype(np.int64), edges
+def _near_blocks(batch: pa.RecordBatch, least: float, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i before j, of near vectors of one label, block by block; `apart`: only of different parts."""
+    unit, label, part = _unit(batch), batch.column("label").to_numpy(), batch.column("own_part").to_numpy()
+    for a in range(0, len(unit), BLOCK):
+        i, j = np.nonzero(unit[a : a + BLOCK] @ unit[a:].T >= least)
+        i, j = i + a, j + a
+        keep = (i < j) & (label[i] == label[j])
+        if apart:
+            keep &= part[i] != part[j]
+        yield i[keep], j[keep]
+
+
+def _per_group(key: str, solve: Callable[[pa.RecordBatch, bool], pa.RecordBatch | None]) -> Callable:
+    """An Arrow function that solves each pair of parts of each group: rows sorted by key, one and two, of one dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if batch.num_rows else None
-            if whole is None:
-                held.pop()
+        held: pa.RecordBatch | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
                 continue
-            keys = np.stack([whole.column(c).to_numpy() for c in ("cell", "one", "two")], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            yield from out(whole, keys, np.concatenate(([0], cuts)) if len(cuts) else np.zeros(0, int), cuts)
-            held = [whole.slice(cuts[-1] if len(cuts) else 0)]
-        if held and held[0].num_rows:
-            whole = held[0]
-            keys = np.stack([whole.column(c).to_numpy() for c in ("cell", "one", "two")], axis=1)
-            yield from out(whole, keys, np.zeros(1, int), np.array([len(keys)]))
-
-    def out(whole, keys, starts, ends) -> Iterator[pa.RecordBatch]:
-        src, dst, n = [], [], []
-        for a, b in zip(starts, ends, strict=False):
-            for batch in _by_dimension(whole.slice(a, b - a)) if b - a > 1 else ():
-                if batch.num_rows > 1 and (found := solve(batch, *(int(x) for x in keys[a]))):
-                    rep, links, edges = found
-                    some = np.flatnonzero(links)
-                    src += [*rep[some].tolist(), *(x for x, _ in edges)]
-                    dst += [*([None] * len(some)), *(y for _, y in edges)]
-                    n += [*links[some].tolist(), *([0] * len(edges))]
-        if src:
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(n, pa.int64())], names=["src", "dst", "n"])
-
-    return run
+            pieces = [x for x in (held, batch) if x is not None]
+            if not pieces:
+                return
+            whole = pa.Table.from_batches(pieces).combine_chunks().to_batches()[0]
+            keys = np.stack([whole.column(c).to_numpy() for c in (key, "one", "two")], axis=1)
+            cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+            ends = np.append(cuts[1:], len(keys))
+            for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):
+                if batch is not None and b == len(keys):
+                    held = whole.slice(a)  # may go on in the next batch
+                elif b - a > 1:
+                    for part in _by_dimension(whole.slice(a, b - a)):
+                        if part.num_rows > 1 and (found := solve(part, keys[a, 1] != keys[a, 2])) is not None:
+                            yield found
+
+    return tidy(run)
+
+
+def _forest(least: float) -> Callable:
+    """Links (src, dst) of a spanning forest of each cell's near vectors, by pairs of parts."""
+
+    def solve(batch: pa.RecordBatch, apart: bool) -> pa.RecordBatch | None:
+        rep, label, out = batch.column("rep").to_numpy(), np.arange(batch.num_rows), []
+        for i, j in _near_blocks(batch, least, apart):
+            label, i, j = merged(label, i, j)
+            out.append((rep[i], rep[j]))
+        src, dst = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"]) if len(src) else None
+
+    return _per_group("cell", solve)
+
+
+def _counts(least: float) -> Callable:
+    """(rep, n): how many vectors, copies counted, each vector of a component links to, by pairs of parts."""
+
+    def solve(batch: pa.RecordBatch, apart: bool) -> pa.RecordBatch | None:
+        rep, copies = batch.column("rep").to_numpy(), batch.column("copies").to_numpy()
+        n = np.zeros(len(rep))
+        for i, j in _near_blocks(batch, least, apart):
+            n += np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n.astype(np.int64))], names=["rep", "n"])
+
+    return _per_group("component", solve)
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """A row (with parts) for each pair of parts that it takes part in, those of a pair together."""
+    own_part = F.pmod(F.hash("rep"), F.col("parts"))
+    dealt = rows.withColumn("own_part", own_part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(key, F.least("own_part", "other").alias("one"), F.greatest("own_part", "other").alias("two"), "own_part", "rep", "copies", "label", "v")
+    return dealt.repartition(key, "one", "two").sortWithinPartitions(key, "one", "two", "rep")
 
 
 def _usable(v: Column, label: Column) -> Column:
@@ -197,10 +207,13 @@ def near_groups(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
     Rows that are null, all zero, hold null or non-finite components, or have no label link with
     nothing and are their own component; so do vectors of different lengths with each other.
-    Repeated ids are separate rows and answer alike. Other columns play no part; an empty table
-    gives no rows.
+    Repeated ids are separate rows and answer alike. Labels that aren't whole numbers count by a
+    64-bit hash. Other columns play no part; an empty table gives no rows.
     """
+    whole = isinstance(vectors.schema["label"].dataType, T.IntegralType)
     v, label = F.col("embedding").cast("array<double>"), F.col("label").cast("long")
+    if not whole:
+        label = F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string")))
     rows = vectors.select(F.col("vec_id").cast("long"), v.alias("v"), label.alias("label"))
     good = rows.where(_usable(F.col("v"), F.col("label")) & F.col("vec_id").isNotNull())
     reps = stored(good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
@@ -208,14 +221,12 @@ def near_groups(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     full = named.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("own").alias("owners")).where("n > 1 and owners > 0")
     full = full.select("cell", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     met = named.join(full, "cell").select("cell", "rep", "parts").distinct()
-    own_part = F.pmod(F.hash("rep"), F.col("parts"))
-    dealt = met.join(reps, "rep").withColumn("own_part", own_part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("cell", F.least("own_part", "other").alias("one"), F.greatest("own_part", "other").alias("two"), "own_part", "rep", "copies", "label", "v")
-    dealt = dealt.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two", "rep")
-    found = stored(dealt.mapInArrow(_compare(least), "src long, dst long, n long"), "lattice-links")
-    links = found.where("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("others"))
-    joined = components(found.where("dst is not null").select("src", "dst")).select(F.col("node").alias("rep"), "component")
-    answers = reps.join(links, "rep", "left").join(joined, "rep", "left")
+    links = _dealt(met.join(reps, "rep"), "cell").mapInArrow(_forest(least), "src long, dst long")
+    joined = stored(components(links).select(F.col("node").alias("rep"), "component"), "lattice-components")
+    parts = joined.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    members = joined.join(parts, "component").join(reps, "rep")
+    counted = _dealt(members, "component").mapInArrow(_counts(least), "rep long, n long").groupBy("rep").agg(F.sum("n").alias("others"))
+    answers = reps.join(counted, "rep", "left").join(joined, "rep", "left")
     answers = answers.select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     placed = good.join(answers, ["label", "v"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~F.coalesce(_usable(F.col("v"), F.col("label")) & F.col("vec_id").isNotNull(), F.lit(False)))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Forest, components, dealt_parts, packed, pair_of_parts, parts_of, per_slice, probably_in, stored, tidy, unpacked
+from lexispark.llm.common import Forest, components, dealt_parts, merged, packed, pair_of_parts, parts_of, per_slice, probably_in, stored, tidy, unpacked
 
 SEED = 42
 #: Children of a node of the in-group index.
@@ -183,19 +183,9 @@ def spanning_links(codes: np.ndarray, starts: np.ndarray, distance: int, also: C
         if also is not None and len(i):
             keep = also(i, j)
             i, j = i[keep], j[keep]
-        joined = False
-        while len(i := i[apart := label[i] != label[j]]):
-            j = j[apart]
-            high, low = np.maximum(label[i], label[j]), np.minimum(label[i], label[j])
-            order = np.lexsort((low, high))  # each label joins the least one that it has a link to
-            order = order[np.append(True, np.diff(high[order]) > 0)]
-            out.append((i[order], j[order]))
-            up = np.arange(len(codes))
-            up[high[order]] = low[order]
-            while (up[up] != up).any():
-                up = up[up]
-            label, joined = up[label], True
-        if joined:
+        label, i, j = merged(label, i, j)
+        if len(i):
+            out.append((i, j))
             index.mark(label)
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
