@@ -1,10 +1,11 @@
 """Secret scans through a trigram inverted index, in DataFrame operations only.
 
 Each rule's regular expression is turned, while the plan is built, into a Boolean query over
-trigrams that every match must contain. The index holds postings (trigram, doc_id) of the
-trigrams that some rule asks for; a rule's candidates are the documents whose postings satisfy
-its query, and only they are verified with the expression itself. Rules without mandatory
-trigrams, such as runs of a character class, scan every text.
+trigrams that every match must contain. The index is inverted: for each trigram that some rule
+asks for, lists of the documents that have it, cut by a hash of the document into blocks. A
+rule's candidates come from intersections and unions of its trigrams' lists; texts are verified
+with the expression itself where the candidates' bitmap has their bit, so that no text is
+shuffled. Rules without mandatory trigrams, such as runs of a character class, scan every text.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import stored
+from lexispark.llm.common import BITMAP, stored
 
 #: Sets of possible strings above this size are taken as unknown.
 MOST_STRINGS = 64
+#: Blocks of documents: each has its own list for a trigram, so that no list holds a corpus.
+BLOCKS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,7 @@ MORE_RULES = (
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", r"[a-z]+://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("url_login", r"[a-z]+://[^\x09-\x0D\x20/:@]+:[^\x09-\x0D\x20/:@]+@"),
 )
 
 # A query is True (any text), a trigram, or ("and" | "or", queries).
@@ -136,37 +139,53 @@ def trigrams(query) -> set[str]:
 
 
 def index(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Postings (trigram, doc_id) of the trigrams that the rules ask for, over every whole text."""
-    wanted = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
-    text = F.lower("text")
-    found = F.filter(F.array(*(F.when(F.contains(text, F.lit(g)), F.lit(g)) for g in wanted)), lambda g: g.isNotNull())
-    return docs.where("text is not null").select(F.explode(found).alias("trigram"), "doc_id").distinct()
-
+    """The inverted index (block, trigram, docs): in each block of documents, those that have a wanted trigram.
 
-def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, rules): for each document, the numbers of the rules whose postings intersect there."""
-    queries = {i: trigram_query(r.pattern) for i, r in enumerate(rules)}
-    place = {g: k for k, g in enumerate(sorted(set().union(*(trigrams(q) for q in queries.values()))))}
-
-    def holds(q) -> Column:
-        if isinstance(q, str):  # a bit for each trigram, 60 to a number
-            return F.col(f"m{place[q] // 60}").bitwiseAND(F.lit(1 << (place[q] % 60))) != 0
-        parts = [holds(x) for x in q[1]]
+    A document is named by a 64-bit hash of its id; rows that share one, null ids too, are one
+    document here, which can only make more candidates. Whole texts are lower-cased once and
+    searched for each trigram in compiled code.
+    """
+    wanted = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
+    low = docs.where("text is not null").select(F.xxhash64("doc_id").alias("doc"), F.lower("text").alias("low"))
+    words = []
+    for w in range(0, len(wanted), 60):  # a bit for each trigram, 60 to a number
+        bits = F.lit(0).cast("long")
+        for k, g in enumerate(wanted[w : w + 60]):
+            bits = bits.bitwiseOR(F.when(F.contains("low", F.lit(g)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+        words.append(bits.alias(f"m{w // 60}"))
+    seen = low.select("doc", *words)
+    has = [F.when(F.col(f"m{k // 60}").bitwiseAND(F.lit(1 << (k % 60)).cast("long")) != 0, F.lit(g)) for k, g in enumerate(wanted)]
+    postings = seen.select("doc", F.explode(F.array_compact(F.array(*has))).alias("trigram"))
+    block = F.pmod(F.col("doc"), F.lit(BLOCKS)).cast("int").alias("block")
+    return postings.groupBy(block, "trigram").agg(F.collect_set("doc").alias("docs"))
+
+
+def candidates(lists: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(doc, rule): the documents of each rule (by its number), from intersections and unions of its lists."""
+    every = lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "docs"))).alias("lists"))
+
+    def docs_of(q) -> Column:
+        if isinstance(q, str):
+            return F.coalesce(F.try_element_at("lists", F.lit(q)), F.array().cast("array<long>"))
+        parts = [docs_of(x) for x in q[1]]
         out = parts[0]
         for p in parts[1:]:
-            out = (out & p) if q[0] == "and" else (out | p)
+            out = F.array_intersect(out, p) if q[0] == "and" else F.array_union(out, p)
         return out
 
-    def mask(word: int) -> Column:
-        bit = F.lit(0).cast("long")
-        for g, k in place.items():
-            if k // 60 == word:
-                bit = F.when(F.col("trigram") == g, F.lit(1 << (k % 60)).cast("long")).otherwise(bit)
-        return F.bit_or(bit).alias(f"m{word}")
+    def hit(rule: int):
+        return lambda d: F.struct(d.alias("doc"), F.lit(rule).alias("rule"))
+
+    found = [F.transform(docs_of(q), hit(i)) for i, q in enumerate(trigram_query(r.pattern) for r in rules) if q is not True]
+    return every.select(F.inline(F.flatten(F.array(*found)))) if found else every.select(F.lit(0).cast("long").alias("doc"), F.lit(0).alias("rule")).where("false")
+
 
-    masks = [mask(w) for w in range(max(place.values(), default=0) // 60 + 1)]
-    hits = F.filter(F.array(*(F.when(holds(q), F.lit(i)) for i, q in queries.items() if q is not True)), lambda i: i.isNotNull())
-    return postings.groupBy("doc_id").agg(*masks).select("doc_id", hits.alias("hits")).where(F.size("hits") > 0)
+def _bitmaps(hits: DataFrame, rules: int) -> DataFrame:
+    """(word, bits of each rule): BITMAP bits a rule in BITMAP / 64 rows at most, whatever the corpus."""
+    place = F.pmod(F.xxhash64("doc"), F.lit(BITMAP))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    of = [F.coalesce(F.bit_or(F.when(F.col("rule") == i, bit)), F.lit(0).cast("long")).alias(f"bits{i}") for i in range(rules)]
+    return hits.groupBy(F.shiftright(place, 6).alias("word")).agg(*of)
 
 
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -203,21 +222,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
 
     Null and empty texts have none. Repeated ids are verified row by row: an id is a candidate
     if any of its rows is. Rows without an id are found like others. Columns besides doc_id and
-    text play no part. The candidate table is joined by id; Spark broadcasts it only where its
-    measured size is under the session's limit.
+    text play no part; an empty table gives no rows. The broadcast bitmaps have a fixed size;
+    when candidates fill them, more texts are verified, never fewer.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     docs = docs.select("doc_id", "text")
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     indexed = tuple(r for r, q in zip(rules, queries, strict=True) if q is not True)
     text = F.coalesce("text", F.lit(""))
-    hits = stored(candidates(index(docs, indexed), indexed), "secret-candidates").withColumnRenamed("doc_id", "hit_id")
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left")
+    hits = stored(candidates(stored(index(docs, indexed), "trigram-lists"), indexed), "secret-candidates") if indexed else None
+    place = F.pmod(F.xxhash64(F.xxhash64("doc_id")), F.lit(BITMAP))
+    if hits is not None:
+        docs = docs.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(_bitmaps(hits, len(indexed))), "word", "left")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
     parts = []
     for order, (rule, query) in enumerate(zip(rules, queries, strict=True)):
-        asked = F.rlike(text, F.lit(rule.pattern)) if query is True else F.array_contains("hits", indexed.index(rule))
+        asked = F.rlike(text, F.lit(rule.pattern)) if query is True else F.col(f"bits{indexed.index(rule)}").bitwiseAND(bit) != 0
         parts.append(F.when(asked, rule_spans(text, rule, order)).otherwise(none))
-    return joined.select("doc_id", F.sort_array(F.flatten(F.array(*parts))).alias("found"))
+    return docs.select("doc_id", F.sort_array(F.flatten(F.array(*parts))).alias("found"))
 
 
 def listed(found: Column) -> Column:
