@@ -590,6 +590,23 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert lattice_dedup.near_groups(df.where("false")).count() == 0
 
 
+def test_full_cells_need_little_memory():
+    """Thousands of near vectors in one cell are compared block by block, not as a square."""
+    import tracemalloc
+
+    n = 6000
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=64) + rng.normal(size=(n, 64)) * 0.02
+    columns = {"cell": np.zeros(n, np.int64), "one": np.zeros(n, np.int32), "two": np.zeros(n, np.int32), "own_part": np.zeros(n, np.int32), "rep": np.arange(n), "copies": np.ones(n, np.int64), "label": np.zeros(n, np.int64)}
+    batch = pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns.values()), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 64).cast(pa.list_(pa.float64()))], names=[*columns, "v"])
+    tracemalloc.start()
+    links = sum(b.num_rows for b in lattice_dedup._forest(0.93)(iter([batch])))
+    counted = sum(int(b.column("n").to_numpy().sum()) for b in lattice_dedup._counts(0.93)(iter([batch.rename_columns(["component", *batch.schema.names[1:]])])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == n - 1 and counted == n * (n - 1) and peak < 500e6
+
+
 # 8 SimHash near-dedup
 
 
