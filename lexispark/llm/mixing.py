@@ -21,6 +21,8 @@ from lexispark.llm.common import cut, fresh, packed, unit_hash, unpacked
 DIMENSIONS = ("source", "lang", "topic")
 #: Cells up to which the rounds run in one partition and rates are broadcast; more are dealt out.
 FEW_CELLS = 200_000
+#: Rounds between two looks at the margins, how far a margin may be off as a share of all, and the most rounds.
+ROUNDS, TOLERANCE, MOST_ROUNDS = 10, 1e-6, 60
 _TOKEN = r"[^\x20\x09\x0A\x0C\x0D]+"
 
 @dataclass(frozen=True)
@@ -110,8 +112,13 @@ def _target(cells: DataFrame, dim: str, targets: Targets) -> DataFrame:
     return natural.crossJoin(sums).select(key, share.alias("t"))
 
 
-def rake(docs: DataFrame, targets: Targets = Targets(), rounds: int = 10) -> DataFrame:
-    """(cell_source, cell_lang, cell_topic, tokens, w): natural tokens and raked share of every cell."""
+def rake(docs: DataFrame, targets: Targets = Targets(), rounds: int = ROUNDS) -> DataFrame:
+    """(cell_source, cell_lang, cell_topic, tokens, w): natural tokens and raked share of every cell.
+
+    After each `rounds` rounds the margins are looked at; the fit ends when none is further off
+    than TOLERANCE. Targets that no weights meet, as cells are missing, end it after MOST_ROUNDS:
+    then the last margin raked holds and the others are as near as rounds brought them.
+    """
     keys = [f"cell_{d}" for d in DIMENSIONS]
     cells = cut(celled(docs).select(*keys, token_count(F.col("text")).alias("tokens")).groupBy(*keys).agg(F.sum("tokens").alias("tokens")))
     wide = cells
@@ -119,7 +126,19 @@ def rake(docs: DataFrame, targets: Targets = Targets(), rounds: int = 10) -> Dat
         wide = wide.join(_target(cells, dim, targets).withColumnRenamed("t", f"t_{dim}"), f"cell_{dim}")
     now = cut(wide.withColumn("w", F.col("tokens").cast("double")))
     scaled = _scaled_here if cells.count() <= FEW_CELLS else _scaled_apart
-    return scaled(now, rounds).select(*keys, "tokens", "w")
+    for _ in range(0, MOST_ROUNDS, rounds):
+        now = scaled(now, rounds)
+        if margin_gap(now) <= TOLERANCE:
+            break
+    return now.select(*keys, "tokens", "w")
+
+
+def margin_gap(now: DataFrame) -> float:
+    """How far the margin that is furthest off is from its target, as a share of all weight; 0 for no cells."""
+    whole = now.agg(F.sum("w").alias("all_w"))  # one row
+    gap = [now.groupBy(f"cell_{d}").agg(F.sum("w").alias("w"), F.first(f"t_{d}").alias("t")).select("w", "t") for d in DIMENSIONS]
+    every = reduce(DataFrame.unionByName, gap).crossJoin(whole)
+    return every.agg(F.max(F.abs(F.col("w") / F.col("all_w") - F.col("t"))).alias("gap")).first().gap or 0.0
 
 
 def _scaled_here(now: DataFrame, rounds: int) -> DataFrame:
@@ -149,7 +168,7 @@ def rates(cells: DataFrame, keep: float) -> DataFrame:
     return cells.crossJoin(whole).select(*(f"cell_{d}" for d in DIMENSIONS), rate.alias("rate"))
 
 
-def mix(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rounds: int = 10) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
     """`docs` with its cell, p, weight and kept (boolean) for every row.
 
     p is the least of 1 and the cell's rate, weight the rate where that is above 1, and a row
@@ -171,7 +190,7 @@ def _mixed(docs: DataFrame, cells: DataFrame, keep: float) -> DataFrame:
     return joined.withColumns({"p": F.least(F.lit(1.0), rate), "weight": F.greatest(F.lit(1.0), rate), "kept": draw < rate}).drop(name)
 
 
-def sample(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rounds: int = 10) -> DataFrame:
+def sample(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rounds: int = ROUNDS) -> DataFrame:
     """The rows of `docs` that `mix` keeps, with the columns of `docs`.
 
     A sample has no weights, so no cell's rate may ask for more than all its rows: `keep` is
@@ -185,7 +204,7 @@ def sample(docs: DataFrame, targets: Targets = Targets(), keep: float = 0.5, rou
     return mixed.select(*unpacked(columns, **{c: F.col(c) for c in used}))
 
 
-def oracle(targets: Targets = Targets(), keep: float = 0.5, rounds: int = 10) -> str:
+def oracle(targets: Targets = Targets(), keep: float = 0.5, rounds: int = ROUNDS) -> str:
     """DuckDB SQL for the rows of the query: the same rounds, one common table each."""
     topics = " ".join(f"when {t.sql('low')} then '{t.name}'" for t in TOPICS)
     out = [
