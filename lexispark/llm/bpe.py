@@ -8,7 +8,8 @@ corpus is encoded once; the ids go back to the chunks and are put in the place o
 Decoding looks every id up in the token-byte table, whose size is the vocabulary's.
 
 A chunk is named by the digest of its words, so texts and ids can only meet if they come from
-the same split; should an input give its rows in another order when read again, the operator
+the same split (chunks of the same words in the same order share a name, and their ids serve
+both); should an input give its rows in another order when read again, the operator
 fails and never mixes ids up.
 """
 
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.common import give_back, tidy
 
-#: Bounds of a chunk, for the memory of a task: characters of text and distinct words.
+#: Bounds of a chunk, for the memory of a task: characters of text, distinct words and texts.
 CHUNK_CHARS = 16 << 20
 CHUNK_WORDS = 400_000
+CHUNK_ROWS = 200_000
+
 
 @cache
 def vocabulary(path: str) -> dict[bytes, int]:
@@ -116,7 +119,7 @@ def _words(pattern: str, buckets: int):
                 text = text.as_py() or ""
                 seen.update(find(text))
                 rows, size = rows + 1, size + len(text)
-                if size >= CHUNK_CHARS or len(seen) >= CHUNK_WORDS:
+                if size >= CHUNK_CHARS or len(seen) >= CHUNK_WORDS or rows >= CHUNK_ROWS:
                     yield close()
                     seen, size, rows = Counter(), 0, 0
         if rows:
@@ -160,7 +163,7 @@ def _positions(pattern: str):
                 bodies.append(np.fromiter(map(place.__getitem__, found), np.int32, len(found)))
                 ids.append(doc_id.as_py())
                 size += len(text)
-                if size >= CHUNK_CHARS or len(place) >= CHUNK_WORDS:
+                if size >= CHUNK_CHARS or len(place) >= CHUNK_WORDS or len(ids) >= CHUNK_ROWS:
                     yield from close()
                     place, ids, bodies, size = defaultdict(count().__next__), [], [], 0
         if ids:
@@ -226,8 +229,8 @@ def _assemble(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, finish: Callable[[pa.Table], pa.Table] | None = None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """(doc_id, ids array<int>) of every row's whole text, as tiktoken's encode_ordinary gives them.
 
-    Null and empty texts have no ids; repeated rows and rows without an id are encoded like any
-    other; other columns play no part; an empty table gives no rows. `path` names a rank file
+    Null and empty texts have no ids; repeated rows, equal texts and rows without an id are
+    encoded like any other; other columns play no part; an empty table gives no rows. `path` names a rank file
     that every machine has. `finish` may turn a chunk's rows into others (of `schema`) where
     they arise, so that ids needn't leave their task.
     """
