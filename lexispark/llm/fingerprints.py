@@ -6,7 +6,8 @@ alphabet that depends on itself and a few symbols before it, and phrases begin w
 locally least. A phrase is named by a hash of its symbols' names. Where a phrase begins depends
 on a bounded neighbourhood only, so equal substrings get the same interior phrases wherever
 they stand. The fingerprint samples the names of two levels (about 10 and 30 bytes) by one
-minimum for each of BINS bins; likeness is estimated from equal bins.
+minimum for each of BINS bins; likeness is estimated from equal bins. Texts of few phrases have
+the names of the first level in bins of their own, which count only between two such texts.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import SLICE_BYTES, tidy
 
 BINS = 64
+#: Bins of the first level, for short texts.
+SHORT_BINS = 32
 LEVELS = (2, 3)
-#: With fewer phrases than this on the first sampled level, a text's shortest phrases count too.
+#: With fewer phrases than this on the first sampled level, a text is short.
 FEW = 16
 
 _RNG = np.random.default_rng(61)
@@ -113,9 +116,9 @@ def phrase_names(texts: list[bytes], levels: int) -> list[tuple[np.ndarray, np.n
 
 
 def sketches(texts: list[bytes]) -> np.ndarray:
-    """(texts, BINS) numbers of 24 bits: the least name in each bin, 0 for an empty bin."""
-    none = np.uint32(1 << 24)
-    out = np.full((len(texts), BINS), none, np.uint32)
+    """(texts, BINS + SHORT_BINS) numbers of 24 bits: the least name in each bin, 0 for an empty bin."""
+    none, width = np.uint32(1 << 24), BINS + SHORT_BINS
+    out = np.full((len(texts), width), none, np.uint32)
     full = [i for i, t in enumerate(texts) if t]
     if full:
         found = phrase_names([texts[i] for i in full], max(LEVELS))
@@ -124,12 +127,13 @@ def sketches(texts: list[bytes]) -> np.ndarray:
         few = counts[LEVELS[0] - 1] < FEW
         for k, (names, _) in enumerate(found, 1):
             take = few if k not in LEVELS else np.ones(len(full), bool)
+            first, bins = (0, BINS) if k in LEVELS else (BINS, SHORT_BINS)
             rows = np.repeat(owners, counts[k - 1])
             if not take.all():
                 keep = np.repeat(take, counts[k - 1])
                 rows, names = rows[keep], names[keep]
             value = ((names >> np.uint64(20)) & np.uint64((1 << 24) - 1)).astype(np.uint32)
-            np.minimum.at(out.reshape(-1), rows * BINS + (names % np.uint64(BINS)).astype(np.int64), np.maximum(value, 1))
+            np.minimum.at(out.reshape(-1), rows * width + first + (names % np.uint64(bins)).astype(np.int64), np.maximum(value, 1))
     out[out == none] = 0
     return out
 
@@ -141,8 +145,10 @@ def text_of(sketch: np.ndarray) -> str:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated share of phrases in common (Dice) of sketches row by row; 1 for two empty texts."""
-    used = ((a > 0) | (b > 0)).sum(axis=1)
-    same = ((a == b) & (a > 0)).sum(axis=1)
+    short = (a[:, BINS:] > 0).any(axis=1) & (b[:, BINS:] > 0).any(axis=1)
+    counts = np.repeat(np.column_stack([np.ones(len(a), bool), short]), (BINS, SHORT_BINS), axis=1)
+    used = (((a > 0) | (b > 0)) & counts).sum(axis=1)
+    same = ((a == b) & (a > 0) & counts).sum(axis=1)
     return np.where(used == 0, 1.0, 2 * same / np.maximum(used + same, 1))
 
 
