@@ -2,7 +2,7 @@
 
 Records hash into a fixed number of virtual slots; bytes are summed per slot; a map gives each
 slot its shard. Rebalancing edits the map and stores it as the next version, so a reader of any
-version finds every record by its key alone: slot by hash, shard by the map. Whatever grows
+version finds every record by its key and text: slot by hash, shard by the map. Whatever grows
 with the data stays in DataFrames; only the slot table, of fixed length, reaches the driver.
 """
 
@@ -18,9 +18,9 @@ from pyspark.sql import Window
 SLOTS = 8192
 
 
-def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    """The fixed slot of a record key; null keys have a slot of their own kind."""
-    digest = F.md5(F.coalesce(key.cast("string"), F.lit("null")))
+def virtual_slot(key: Column, text: Column, slots: int = SLOTS) -> Column:
+    """The fixed slot of a record: by its key and its text, so that rows that share a key, or have none, are spread."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).cast("string")))
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
@@ -100,7 +100,7 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        virtual_slot(F.col("doc_id"), slots).alias("virtual_slot"),
+        virtual_slot(F.col("doc_id"), text, slots).alias("virtual_slot"),
     )
 
 
@@ -116,8 +116,9 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, base: SlotMap |
     The law is `bytes`: the base map (even by count, or a stored version) is edited until the
     shards' bytes are nearly equal; `store` keeps both versions. Positions are numbered inside
     virtual slots and shifted by what the shard's earlier slots hold, so that no task sorts a
-    whole shard. Rows with equal ids share a slot, ordered by size and checksum. An empty
-    table gives no rows.
+    whole shard. Null texts count as empty. Rows of equal id and text share a virtual slot, and
+    any order among them gives the same rows; other rows of an id, or without one, are spread
+    by their texts. Other columns play no part; an empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = records(docs, slots)
