@@ -273,6 +273,17 @@ def test_shards(spark, docs, rows, none, tmp_path):
     assert sharding.shard(none, 5).count() == 0
 
 
+def test_rows_without_an_id_are_spread(spark):
+    rows = [(None, f"text {i}") for i in range(2000)] + [(7, f"other {i}") for i in range(2000)] + [(i, "x") for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    held = Counter()
+    for r in got:
+        held[r.shard] += r.size
+    assert max(held.values()) < 1.01 * min(held.values())
+    for shard in range(8):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
 def test_rebalancing_evens_bytes_with_few_moves():
     rng = random.Random(2)
     sizes = {s: rng.randint(50, 5000) for s in range(8192)}
@@ -291,9 +302,10 @@ def test_rebalancing_evens_bytes_with_few_moves():
 
 
 def test_mixing(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 20)
     mixed = mixing.mix(docs, keep=0.6)
     assert mixed.count() == docs.count()
-    cells = mixing.rake(docs, rounds=30).collect()
+    cells = mixing.rake(docs, rounds=10).collect()
     total, mass = sum(r.w for r in cells), sum(r.tokens for r in cells)
     for dim in ("source", "topic"):
         power = mixing.Targets().powers[dim]
@@ -308,12 +320,27 @@ def test_mixing(spark, docs, none, monkeypatch):
     assert mixing.sample(docs).columns == docs.columns
     assert mixing.mix(none).count() == 0
     monkeypatch.setattr(mixing, "FEW_CELLS", 0)
-    apart = mixing.rake(docs, rounds=30).collect()
+    apart = mixing.rake(docs, rounds=10).collect()
     assert sorted((r[0], r[1], r[2], r.tokens, round(r.w, 6)) for r in apart) == sorted((r[0], r[1], r[2], r.tokens, round(r.w, 6)) for r in cells)
     expected = sum(r.p * r.weight * r.n for r in mixed.withColumn("n", mixing.token_count(F.col("text"))).collect())
     assert expected == pytest.approx(0.6 * mass, rel=1e-9)
 
 
+def test_raking_goes_on_until_margins_hold(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(1, 900), f"s{rng.randrange(9) * rng.randrange(9)}", rng.choice(("en", "en", "en", "de", "fr", "es"))) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    gaps = {}
+    for least in (1.0, 1e-9):
+        monkeypatch.setattr(mixing, "TOLERANCE", least)
+        cells = mixing.rake(table, rounds=1).collect()
+        whole, by = sum(r.w for r in cells), Counter()
+        for r in cells:
+            by[r.cell_lang] += r.w
+        gaps[least] = max(abs(by[k] / whole - t) for k, t in {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}.items())
+    assert gaps[1e-9] <= 1e-9 < gaps[1.0]
+
+
 def test_sample_meets_targets_with_a_hot_source(spark):
     rows = [(i, "w " * 20, "en", "hot" if i % 10 else f"s{i // 10 % 2}") for i in range(20_000)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -536,6 +563,74 @@ def test_equal_substrings_share_interior_phrases(text, left, right):
     assert not inner or any(others[i : i + len(inner)].tolist() == inner for i in range(len(others)))
 
 
+def plain_stir(x):
+    x = (x ^ x >> 31) * 0x7FB5D329728EA185 & (1 << 64) - 1
+    x = (x ^ x >> 27) * 0x81DADEF4BC2DD44D & (1 << 64) - 1
+    return x ^ x >> 33
+
+
+def plain_phrases(symbols, named):
+    """Names of the phrases of one text, symbol by symbol: runs, rounds of coin tossing, phrases at local minima."""
+
+    def toss(values):
+        out = []
+        for before, own in zip([0, *values], values):
+            low = ((before ^ own) & -(before ^ own)).bit_length() - 1
+            out.append(0 if before == own else 2 * low + (own >> low & 1))
+        return out
+
+    runs = []
+    for x in symbols:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    labels = [x for x, _ in runs]
+    for _ in range(4 if named else 3):  # 64-bit names are tossed to 128 labels first
+        labels = toss(labels)
+    names = [x if named else int(fingerprints._BYTE_NAMES[x]) for x, _ in runs]
+    names = [plain_stir((x + n * 0xD1B54A32D192ED03) & (1 << 64) - 1) if n > 1 else x for x, (_, n) in zip(names, runs)]
+    phrases = [[]]
+    for k, name in enumerate(names):
+        if 0 < k < len(names) - 1 and labels[k] < labels[k - 1] and labels[k] <= labels[k + 1]:
+            phrases.append([])
+        phrases[-1].append(name)
+    return [plain_stir((sum(x * int(fingerprints._PLACE[min(k, 4095)]) for k, x in enumerate(p)) + len(p)) & (1 << 64) - 1) for p in phrases]
+
+
+def plain_sketch(data):
+    levels, symbols = [], list(data)
+    for k in range(3 if data else 0):
+        symbols = plain_phrases(symbols, k > 0)
+        levels.append(symbols)
+    least = {}
+    for k, names in enumerate(levels, 1):
+        for x in names if k > 1 or len(levels[1]) < fingerprints.FEW else ():
+            place = x % fingerprints.BINS if k > 1 else fingerprints.BINS + x % fingerprints.SHORT_BINS
+            least[place] = min(least.get(place, 1 << 24), max(x >> 20 & (1 << 24) - 1, 1))
+    return least
+
+
+def plain_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    both = max(a, default=0) >= fingerprints.BINS and max(b, default=0) >= fingerprints.BINS
+    a, b = ({k: v for k, v in x.items() if both or k < fingerprints.BINS} for x in (a, b))
+    same = sum(b.get(k) == v for k, v in a.items())
+    return 2 * same / (len(a.keys() | b.keys()) + same)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.binary(max_size=400), st.text("ab c", max_size=400).map(str.encode)), min_size=2, max_size=4))
+def test_fingerprints_equal_a_plain_version(texts):
+    texts = [*texts, texts[0] + texts[1], b"", b"aaaaaa" * 30]
+    found, plain = fingerprints.sketches(texts), [plain_sketch(t) for t in texts]
+    for row, least in zip(found, plain, strict=True):
+        assert {k: int(v) for k, v in enumerate(row) if v} == least
+    for a, b in zip(range(len(texts)), range(1, len(texts))):
+        assert fingerprints.likeness(found[a : a + 1], found[b : b + 1])[0] == pytest.approx(plain_likeness(plain[a], plain[b]))
+
+
 def test_likeness_follows_shared_text():
     a, b, c = (prose(s, 360).encode() for s in (31, 32, 33))
     half = a[: len(a) // 2] + b[: len(a) // 2]
