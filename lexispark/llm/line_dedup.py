@@ -53,7 +53,7 @@ class Class:
 
 #: Lines up to SHORT characters meet by deletions, longer ones by the sketches of their classes.
 SHORT = 14
-CLASSES = (Class(12, 48, 3, 20, 12, 9), Class(39, 1 << 31, 6, 12, 14, 13))
+CLASSES = (Class(12, 48, 4, 20, 14, 11), Class(39, 1 << 31, 6, 12, 14, 13))
 #: Groups up to this size are compared by shifts over the sorted stream.
 SMALL = 128
 #: Groups of candidates are verified in pairs of parts: of SOME lines each up to MANY parts, else of PART at most.
