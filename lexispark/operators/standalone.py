@@ -15,6 +15,8 @@ from lexispark.operators.build import IndexTables
 def corpus(tables: IndexTables, words: list[str]) -> tuple[int, int, dict[str, int]]:
     """N, total length and the df of the given words over the whole index: as many values as words."""
     whole = tables.stats.agg(F.sum("n_docs").alias("n"), F.sum("total_len").alias("len")).first()
+    if tables.spec.partition_by and whole.n is None:
+        raise ValueError("partitioned index has no child partitions")
     rows = tables.terms.where(F.col("term").isin(words)).groupBy("term").agg(F.sum("df").alias("df")).collect() if words else []
     return whole.n or 0, whole.len or 0, {r.term: r.df for r in rows}
 

@@ -47,7 +47,7 @@ class Catalog:
         """The index of a query on a table's column: the named one if it fits, else the first full one there."""
         if column is None:
             raise ValueError("left operand of <@> must reference a table column")
-        query = Bm25Query(query) if isinstance(query, str) else query
+        plain, query = isinstance(query, str), Bm25Query(query) if isinstance(query, str) else query
         if query.index is not None:
             spec = self.spec(query.index)
             if spec.table != table or spec.column != column:
@@ -58,7 +58,7 @@ class Catalog:
         if not full and here:
             raise ValueError(f"no non-partial BM25 index found for this column ({len(here)} partial index(es) skipped)")
         if not full:
-            raise ValueError("no BM25 index found for text <@> text expression")
+            raise ValueError("no BM25 index found for text <@> text expression" if plain else "text <@> bm25query operator requires index")
         if len(full) > 1:
             log.warning("multiple BM25 indexes exist on the same %s", "expression" if full[0].expression else "column")
         return full[0]

@@ -15,6 +15,7 @@ from lexispark.operators import evaluate, search, standalone
 from lexispark.operators.build import IndexTables, build, frequencies, union, without
 from lexispark.plans.catalog import Catalog
 from lexispark.plans.spec import IndexSpec
+from lexispark.plans.sqlsearch import register_search
 from lexispark.sources.shared import shared_folder
 from lexispark.sources.store import IndexStore
 from lexispark.streaming.ingest import feed
@@ -421,6 +422,12 @@ def index_lifecycle(spark, sf_dir):
     return _named(search.search(store.tables(), "the and", 10, decimals=DECIMALS))
 
 
+@_query(_sql_search("the and the of", 10))
+def sql_search_function(spark, sf_dir):
+    register_search(index(spark, sf_dir, "docs_idx"), "docs_search")
+    return spark.sql(f"select doc_key as doc_id, round(score, {DECIMALS}) as score from docs_search('the and the of', 10)")
+
+
 _BACK = "select doc_id as key, text, '' as part from documents where doc_id % 2 = 0 or doc_id not in (select doc_id from labels where quality = 0)"
 
 
