@@ -57,7 +57,7 @@ CLASSES = (Class(12, 48, 4, 20, 14, 11), Class(39, 1 << 31, 6, 12, 14, 13))
 #: Groups up to this size are compared by shifts over the sorted stream.
 SMALL = 128
 #: Groups of candidates are verified in pairs of parts: of SOME lines each up to MANY parts, else of PART at most.
-SOME, MANY, PART = 1000, 32, 4000
+SOME, MANY, PART = 300, 32, 4000
 
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -435,7 +435,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a spanning forest of the similar lines in each part of a group (sorted by group and part)."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        size = np.array([len(r[2]) for r in rows])
+        size, part = np.array([len(r[2]) for r in rows]), np.array([r[3] for r in rows])
+        several = (part != part[0]).any()
         sketched = []
         for kind, at in zip(CLASSES, range(0, len(SKETCH), len(_OF[0])), strict=True):
             has = np.array([r[1][at] is not None for r in rows])
@@ -448,6 +449,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if has[i]:
                     same = (codes[:i, :HASHES] == codes[i, :HASHES]).sum(axis=1)
                     seems = np.maximum(seems, np.where(has[:i] & (same >= agree), same, 0))
+            if several:  # pairs inside a part are compared where it meets itself
+                seems = np.where(part[:i] != part[i], seems, 0)
             other = np.flatnonzero(seems)
             return other, seems[other]
 
@@ -456,12 +459,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, rows = None, []
     for batch in batches:
-        for group, part, node, line, *sketch in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "node", "line", *SKETCH)), strict=True):
+        for group, part, own, node, line, *sketch in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "own", "node", "line", *SKETCH)), strict=True):
             if (group, part) != now:
                 if len(rows) > 1:
                     yield solve(rows)
                 now, rows = (group, part), []
-            rows.append((node, sketch, line))
+            rows.append((node, sketch, line, own))
     if len(rows) > 1:
         yield solve(rows)
 
@@ -489,7 +492,7 @@ def similar_groups(docs: DataFrame, distinct: DataFrame, shorts: DataFrame) -> D
     texts = probably_in(texts, F.col("k1"), nodes, F.col("k1"))
     texts = texts.join(nodes.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("line").alias("line"))
     dealt = nodes.join(texts, ["k1", "k2"]).join(parts, "root").select("root", F.col("k1").alias("node"), *SKETCH, "line", *dealt_parts(F.col("k2")))
-    dealt = dealt.select("root", pair_of_parts(), "node", *SKETCH, "line").repartition("root", "part").sortWithinPartitions("root", "part", "node")
+    dealt = dealt.select("root", pair_of_parts(), "own", "node", *SKETCH, "line").repartition("root", "part").sortWithinPartitions("root", "part", "node")
     return components(dealt.mapInArrow(tidy(_verify), "src long, dst long"))
 
 
