@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Forest, components, dealt_parts, packed, pair_of_parts, parts_of, probably_in, slices, stored, surely_out, tidy, unpacked
-from lexispark.llm.simhash_dedup import _shared_groups, whole_groups
+from lexispark.llm.common import Forest, components, dealt_parts, packed, pair_of_parts, probably_in, slices, stored, surely_out, tidy, unpacked
+from lexispark.llm.simhash_dedup import _shared_groups
 
 SIMILARITY = 0.8
 #: Hashes of a sketch; beside them a byte has the length.
@@ -56,8 +56,8 @@ SHORT = 14
 CLASSES = (Class(12, 48, 4, 20, 14, 11), Class(39, 1 << 31, 6, 12, 14, 13))
 #: Groups up to this size are compared by shifts over the sorted stream.
 SMALL = 128
-#: Groups of candidates are verified in pairs of parts: of SOME lines each up to MANY parts, else of PART at most.
-SOME, MANY, PART = 300, 32, 4000
+#: Groups of candidates are verified in pairs of parts of SOME lines each; above CROWD lines by the keys that bring candidates together.
+SOME, CROWD = 300, 2000
 
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -148,11 +148,20 @@ def _number(bits: np.ndarray) -> int:
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
-def edit_distances(text: str, others: list[str]) -> np.ndarray:
+#: After these shares of a text's steps it is seen whether distances can still be small enough, if it has as many steps.
+_LOOKS, _LONG = (0.5, 0.625, 0.75, 0.875), 64
+
+
+def _bits(x: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(x.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n].astype(np.int64)
+
+
+def edit_distances(text: str, others: list[str], most: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of a text to several others.
 
     The others' bit vectors stand in one number, with a spare bit after each that takes carries:
-    a step of the text is a few operations on that number, however many there are.
+    a step of the text is a few operations on that number, however many there are. With `most`
+    the steps end when all distances are seen to be over it: then lower bounds over it are given.
     """
     size = np.fromiter(map(len, others), np.int64, len(others))
     codes = np.frombuffer("".join(x + "\0" for x in others).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -164,7 +173,16 @@ def edit_distances(text: str, others: list[str]) -> np.ndarray:
     full, low = _number(field), _number(first)
     where = {c: _number((codes == ord(c)) & field) for c in set(text)}
     up, down = full, 0
-    for c in text:
+    looks = {int(len(text) * x) for x in _LOOKS} if most is not None and len(text) >= _LONG else ()
+    for done, c in enumerate(text):
+        if done in looks:  # a distance is at least the least of its column, and of what the lengths that are left differ by
+            ends = np.cumsum(_bits(up, len(codes)) - _bits(down, len(codes)))
+            heads = spare - size
+            at = np.arange(len(codes)) - np.repeat(heads, size + 1) + 1
+            least = ends - np.repeat(np.append(0, ends)[heads], size + 1) + np.abs(np.repeat(size, size + 1) - at - (len(text) - done))
+            least[spare] = np.abs(size - (len(text) - done))
+            if ((least := np.minimum.reduceat(least, heads) + done) > most).all():
+                return least
         eq = where[c]
         same = (((eq & up) + up) ^ up) | eq | down
         h_up = down | full & ~(same | up)
@@ -175,20 +193,28 @@ def edit_distances(text: str, others: list[str]) -> np.ndarray:
         down = h_up & eq
     change = np.zeros(len(codes) + 1, np.int64)
     for x, sign in ((up, 1), (down, -1)):
-        bits = np.unpackbits(np.frombuffer(x.to_bytes((len(codes) + 7) // 8, "little"), np.uint8), bitorder="little")
-        change[1:] += sign * np.cumsum(bits[: len(codes)].astype(np.int64))
+        change[1:] += sign * np.cumsum(_bits(x, len(codes)))
     return len(text) + change[spare] - change[spare - size]
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance of two texts, by bit vectors as long as the shorter one's part that differs."""
+def edit_distance(a: str, b: str, most: float | None = None) -> int:
+    """Levenshtein distance of two texts, by bit vectors as long as the shorter one's part that differs.
+
+    With `most` a lower bound over it is given as soon as one is seen.
+    """
     a, b = _stripped(a, b)
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
     full = (1 << len(a)) - 1
     up, down = full, 0
-    for c in b:
+    looks = {int(len(b) * x) for x in _LOOKS} if most is not None and len(b) >= _LONG else ()
+    for done, c in enumerate(b):
+        if done in looks:
+            column = np.append(0, np.cumsum(_bits(up, len(a)) - _bits(down, len(a)))) + done
+            least = int((column + np.abs(len(a) - np.arange(len(a) + 1) - (len(b) - done))).min())
+            if least > most:
+                return least
         eq = where.get(c, 0)
         same = (((eq & up) + up) ^ up) | eq | down
         h_up = (down | ~(same | up)) << 1 | 1
@@ -228,7 +254,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     if abs(len(a) - len(b)) > (1 - least) * longest:
         return False
     most = (1 - least) * longest + 1e-9
-    return longest == 0 or _at_most(a, b, most) or edit_distance(a, b) <= most
+    return longest == 0 or _at_most(a, b, most) or edit_distance(a, b, most) <= most
 
 
 #: Lines that a line is compared with at a time.
@@ -259,7 +285,7 @@ def similar_links(lines: list[str], close: Callable[[int], tuple[np.ndarray, np.
             if len(now) == 1:
                 found = now if similar(lines[i], lines[int(todo[now[0]])], least) else []
             elif now:
-                found = np.array(now)[edit_distances(lines[i], [lines[int(todo[k])] for k in now]) <= most[now]].tolist()
+                found = np.array(now)[edit_distances(lines[i], [lines[int(todo[k])] for k in now], most[now]) <= most[now]].tolist()
             else:
                 found = []
             for k in found:
@@ -313,7 +339,6 @@ _WORDS_KEEP = _WORDS[:10] + b"\n" + _WORDS[11:]
 _OF = tuple(tuple(f"s{c}{i}" for i in range((HASHES + 1) // 8)) for c in range(len(CLASSES)))
 SKETCH = tuple(chain.from_iterable(_OF))
 _SKETCH = ", ".join(f"{c} long" for c in SKETCH)
-_NIBBLES = ("low", "high")
 
 
 def _sketched(lines: list[bytes]) -> list[pa.Array]:
@@ -334,18 +359,45 @@ def _digest(line: bytes) -> bytes:
     return xxhash.xxh3_128_digest(line)
 
 
+#: A row of a table, as it is packed with others for the shuffle; and the bits of buckets of keys, which are what is shuffled by.
+_ROW = np.dtype([("key", "<i4"), ("node", "<i8"), ("low", "<i8"), ("high", "<i8")])
+_PACKED = "bucket int, rows binary"
+BUCKETS = 12
+#: Buckets are compared together up to so many rows.
+AT_ONCE = 1 << 17
+
+
+def _in_buckets(parts: list[tuple]) -> pa.RecordBatch:
+    """A row for each bucket: the rows (key, node, low, high) whose keys are in it, packed. As rows of their own they'd take Spark longer than the search."""
+    rows = np.empty(sum(len(x[0]) for x in parts), _ROW)
+    for name, pieces in zip(_ROW.names, zip(*parts, strict=True), strict=True) if parts else ():
+        rows[name] = np.concatenate(pieces)
+    bucket = (rows["key"].astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(32 - BUCKETS)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+    ends = pa.array(np.append(cuts, len(bucket)).astype(np.int64) * _ROW.itemsize, pa.int64())
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, ends.buffers()[1], pa.py_buffer(rows[order].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), held.cast(pa.binary())], names=["bucket", "rows"])
+
+
 def _to_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row in each table of its classes for a line with its sketch; keys from 0 on, as remainders' are negative."""
+    """A line's row in each table of its classes, with its sketch; keys from 0 on, as remainders' are negative."""
     for whole in batches:
-        first = 0
+        first, parts = 0, []
         for kind, names in zip(CLASSES, _OF, strict=True):
             batch = whole.filter(whole.column(names[0]).is_valid())
             codes = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]).view(np.uint8)
-            nibbles = [pa.array(x) for x in _nibbles(codes)]
-            for t, (a, b, c) in enumerate(_TRIPLES[: kind.tables], first):
-                key = (t << 24) | (codes[:, a].astype(np.int32) << 16) | (codes[:, b].astype(np.int32) << 8) | codes[:, c]
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), batch.column("node"), *nibbles], names=["key", "node", *_NIBBLES])
+            node = batch.column("node").to_numpy(zero_copy_only=False)
+            parts += [((t << 24) | key, node, *_nibbles(codes)) for t, key in enumerate(_keys(codes, kind.tables).T, first)]
             first += kind.tables
+        yield _in_buckets(parts)
+
+
+def _keys(codes: np.ndarray, tables: int) -> np.ndarray:
+    """A column for each table: the three bytes of a sketch that are the key in it."""
+    a, b, c = (codes[:, x].astype(np.int32) for x in _TRIPLES[:tables].T)
+    return a << 16 | b << 8 | c
 
 
 def _nibbles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -378,7 +430,7 @@ def _to_remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             hashes += found
         name = np.array(hashes, np.uint64)
         key = -1 - (name >> np.uint64(33)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes, pa.int64()), *[pa.array(name.view(np.int64))] * 2], names=["key", "node", *_NIBBLES])
+        yield _in_buckets([(key, np.array(nodes, np.int64), *[name.view(np.int64)] * 2)])
 
 
 #: How far length bytes may be apart: 0.8 is 5.2 of their steps, and both are rounded down.
@@ -389,9 +441,30 @@ _STEPS = int(np.ceil(-16 * np.log2(SIMILARITY)))
 _AGREE = np.array([c.nibbles for c in CLASSES for _ in range(c.tables)] + [30])
 
 
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The packed rows of whole buckets (sorted by bucket) as columns, sorted by key."""
+    now, held, size = None, [], 0
+
+    def unpack() -> list[np.ndarray]:
+        rows = np.frombuffer(b"".join(held), _ROW)
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        return [np.ascontiguousarray(rows[c]) for c in _ROW.names]
+
+    for batch in batches:
+        for bucket, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+            if bucket != now and size >= AT_ONCE:
+                yield unpack()
+                held, size = [], 0
+            now = bucket
+            held.append(rows.as_py())
+            size += len(held[-1]) // _ROW.itemsize
+    if held:
+        yield unpack()
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a spanning forest of the candidates in each group (sorted by key)."""
-    for columns in whole_groups(batches, ("key",), ("key", "node", *_NIBBLES)):
+    """Links of a spanning forest of the candidates in each group (sorted by bucket)."""
+    for columns in _by_key(batches):
         places, starts = _shared_groups(columns[:1])
         if not len(places):
             continue
@@ -426,32 +499,79 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidate_links(lines: DataFrame, shorts: DataFrame) -> DataFrame:
     """(src, dst) links that connect candidates among lines (node, sketches) and short ones (node, short)."""
-    made = f"key int, node long, {', '.join(f'{c} long' for c in _NIBBLES)}"
-    ranks = lines.mapInArrow(tidy(_to_bands), made).unionByName(shorts.mapInArrow(tidy(_to_remainders), made))
-    return ranks.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_candidates), "src long, dst long")
+    ranks = lines.mapInArrow(tidy(_to_bands), _PACKED).unionByName(shorts.mapInArrow(tidy(_to_remainders), _PACKED))
+    return ranks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_candidates), "src long, dst long")
+
+
+def _to_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each key of a line (root, node, sketches, line): the keys under which `candidate_links` groups it.
+
+    `part` is the key, `met` its table in both classes' order, -1 for remainders.
+    """
+    for whole in batches:
+        for batch in (whole.slice(a, b - a) for a, b in slices(whole.column("line"), 1 << 17)):
+            names, first = [c for c in batch.schema.names if c not in ("part", "met")], 0
+            for kind, own in zip(CLASSES, _OF, strict=True):
+                some = batch.filter(batch.column(own[0]).is_valid())
+                if len(some):
+                    codes = np.column_stack([some.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in own]).view(np.uint8)
+                    for t, key in enumerate(_keys(codes, kind.tables).T, first):
+                        part, met = pa.array(t << 24 | key.astype(np.int64)), pa.array(np.full(len(some), t, np.int32))
+                        yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), part, met], names=[*names, "part", "met"])
+                first += kind.tables
+            where, part = [], []
+            for i, line in enumerate(batch.column("line").to_pylist()):
+                if len(line) <= SHORT:
+                    found = [-1 - (xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1) for x in remainders(line)]
+                    where += [i] * len(found)
+                    part += found
+            if where:
+                some = batch.take(pa.array(where))
+                met = pa.array(np.full(len(where), -1, np.int32))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), pa.array(part, pa.int64()), met], names=[*names, "part", "met"])
+
+
+def meetings(crowd: DataFrame) -> DataFrame:
+    """A row for each key of the lines of large groups (root, node, sketches, line): as many for a line as it has tables, however large its group."""
+    made = f"root long, node long, {_SKETCH}, line string, part long, met int"
+    return crowd.select("root", "node", *SKETCH, "line").mapInArrow(tidy(_to_meetings), made).withColumn("own", F.lit(0))
+
+
+#: The class of each table, and its place among those of its class.
+_TABLES = [(k, t) for k, c in enumerate(CLASSES) for t in range(c.tables)]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a spanning forest of the similar lines in each part of a group (sorted by group and part)."""
+    """Links of a spanning forest of the similar lines in each part of a group (sorted by group and part).
+
+    In pairs of parts (`met` is null) all pairs are compared that agree on enough bytes. In a part
+    of a large group, which is a key, only those that no earlier table brings together.
+    """
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        size, part = np.array([len(r[2]) for r in rows]), np.array([r[3] for r in rows])
+        size, part, met = np.array([len(r[2]) for r in rows]), np.array([r[3] for r in rows]), rows[0][4]
         several = (part != part[0]).any()
+        kinds = range(len(CLASSES)) if met is None else [_TABLES[met][0]] if met >= 0 else []
         sketched = []
-        for kind, at in zip(CLASSES, range(0, len(SKETCH), len(_OF[0])), strict=True):
+        for k in kinds:
+            at = len(_OF[0]) * k
             has = np.array([r[1][at] is not None for r in rows])
             codes = np.array([r[1][at : at + len(_OF[0])] if h else [0] * len(_OF[0]) for r, h in zip(rows, has.tolist(), strict=True)], np.int64)
-            sketched.append((kind.agree, has, codes.view(np.uint8)))
+            sketched.append((CLASSES[k].agree, has, codes.view(np.uint8)))
+        before = _keys(sketched[0][2], _TABLES[met][1]) if met is not None and met >= 0 else None
+        shorts = met is None or met < 0
 
         def close(i: int) -> tuple[np.ndarray, np.ndarray]:
-            seems = np.where((size[:i] <= SHORT) & (size[i] <= SHORT), 1, 0)
+            seems = np.where((size[:i] <= SHORT) & (size[i] <= SHORT), 1, 0) if shorts else np.zeros(i, np.int64)
             for agree, has, codes in sketched:
                 if has[i]:
                     same = (codes[:i, :HASHES] == codes[i, :HASHES]).sum(axis=1)
                     seems = np.maximum(seems, np.where(has[:i] & (same >= agree), same, 0))
-            if several:  # pairs inside a part are compared where it meets itself
-                seems = np.where(part[:i] != part[i], seems, 0)
             other = np.flatnonzero(seems)
+            if several:  # pairs inside a part are compared where it meets itself
+                other = other[part[other] != part[i]]
+            if before is not None:
+                other = other[~(before[other] == before[i]).any(axis=1)]
             return other, seems[other]
 
         out = [(rows[i][0], rows[j][0]) for i, j in similar_links([r[2] for r in rows], close)]
@@ -459,12 +579,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, rows = None, []
     for batch in batches:
-        for group, part, own, node, line, *sketch in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "own", "node", "line", *SKETCH)), strict=True):
+        for group, part, own, met, node, line, *sketch in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "own", "met", "node", "line", *SKETCH)), strict=True):
             if (group, part) != now:
                 if len(rows) > 1:
                     yield solve(rows)
                 now, rows = (group, part), []
-            rows.append((node, sketch, line, own))
+            rows.append((node, sketch, line, own, met))
     if len(rows) > 1:
         yield solve(rows)
 
@@ -485,14 +605,16 @@ def similar_groups(docs: DataFrame, distinct: DataFrame, shorts: DataFrame) -> D
     near = stored(components(links).select("node", F.col("component").alias("root")), "line-roots")
     nodes = probably_in(distinct, F.col("k1"), near, F.col("node")).join(near, F.col("k1") == F.col("node"))
     nodes = stored(nodes.select("k1", "k2", *SKETCH, "root", "holder"), "line-candidates")
-    parts = nodes.groupBy("root").agg(parts_of(F.count("*"), SOME, MANY, PART).alias("parts"))
+    parts = nodes.groupBy("root").agg(F.when(F.count("*") <= CROWD, F.ceil(F.count("*") / SOME).cast("int")).alias("parts"))
     # The lines' texts come from one document each: only those are split again.
     holders = probably_in(docs.select(F.col("doc_id").cast("long"), "text"), F.col("doc_id"), nodes, F.col("holder"))
     texts = holders.mapInArrow(tidy(_lines(True)), "k1 long, k2 long, line string")
     texts = probably_in(texts, F.col("k1"), nodes, F.col("k1"))
     texts = texts.join(nodes.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    dealt = nodes.join(texts, ["k1", "k2"]).join(parts, "root").select("root", F.col("k1").alias("node"), *SKETCH, "line", *dealt_parts(F.col("k2")))
-    dealt = dealt.select("root", pair_of_parts(), "own", "node", *SKETCH, "line").repartition("root", "part").sortWithinPartitions("root", "part", "node")
+    known = stored(nodes.join(texts, ["k1", "k2"]).join(parts, "root").select("root", F.col("k1").alias("node"), "k2", *SKETCH, "line", "parts"), "line-texts")
+    dealt = known.where("parts is not null").select("root", "node", *SKETCH, "line", *dealt_parts(F.col("k2")))
+    dealt = dealt.select("root", pair_of_parts().cast("long"), "own", "node", *SKETCH, "line", F.lit(None).cast("int").alias("met")).unionByName(meetings(known.where("parts is null")))
+    dealt = dealt.repartition("root", "part").sortWithinPartitions("root", "part", "node")
     return components(dealt.mapInArrow(tidy(_verify), "src long, dst long"))
 
 
@@ -531,15 +653,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first is the document and the others lose every line that has words. Other columns stay;
     an empty table gives no rows.
     """
-    gone = repeats(docs).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "drop", "again")
+    # Structs are equal where both lack an id, and joining and numbering by the same column takes one shuffle of the texts.
+    gone = repeats(docs).select(F.struct("doc_id", "mark").alias("gone_place"), F.col("mark").alias("gone_mark"), "drop", "again")
     keyed = packed(docs, "doc_id", "text").withColumn("mark_", F.xxhash64("text"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     # Texts that keep all their lines pass by the shuffle.
     whole = surely_out(keyed, F.col("mark_"), gone, F.col("gone_mark"))
     whole = whole.select(*unpacked(columns, doc_id=F.col("doc_id"), text=F.col("text")), _n_lines(F.col("text")).alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     some = probably_in(keyed, F.col("mark_"), gone, F.col("gone_mark"))
-    joined = some.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.col("mark_") == F.col("gone_mark")), "left")
-    w = Window.partitionBy("doc_id", "mark_").orderBy("doc_id", "mark_")
+    some = some.withColumn("place_", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("mark_").alias("mark")))
+    joined = some.join(gone, F.col("place_") == F.col("gone_place"), "left")
+    w = Window.partitionBy("place_").orderBy("place_")
     lines = F.split("text", "\n", -1)
     has_words = F.filter(F.sequence(F.lit(0), F.size("lines_") - 1), lambda i: _wordy(F.get("lines_", i)))
     drop = F.when(F.col("again") & (F.col("copy_") > 1), has_words).otherwise(F.coalesce("drop", F.array().cast("array<int>")))

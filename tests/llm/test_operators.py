@@ -906,3 +906,31 @@ def test_native_operators_run_no_python(docs):
     for frame in (secrets.digest(secrets.scan(docs)), mixing.mix(docs)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan) and "CartesianProduct" not in plan
+
+
+def test_rows_of_a_crowd_of_lines_grow_with_its_lines_only(spark, monkeypatch):
+    rng = random.Random(21)
+    line = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(80)]
+    rows = [(i, " ".join(line[: i % 80] + [f"q{i}"] + line[i % 80 + 1 :])) for i in range(160)]
+    rows += [(200 + i, f"abc {i:04d}") for i in range(40)]
+    monkeypatch.setattr(line_dedup, "CROWD", 12)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(plain_lines(rows))
+    lines = line_dedup.occurrences(spark.createDataFrame(rows[:160], "doc_id long, text string"))
+    crowd = lines.select(F.lit(1).cast("long").alias("root"), F.col("doc_id").alias("node"), *line_dedup.SKETCH, F.lit("x" * 20).alias("line"))
+    assert line_dedup.meetings(crowd).count() == 160 * line_dedup.CLASSES[1].tables
+
+
+def test_distances_end_early_only_above_the_most():
+    rng = random.Random(22)
+    for _ in range(60):
+        a = "".join(rng.choices("abc d", k=rng.randrange(60, 300)))
+        others = ["".join(c if rng.random() > share else rng.choice("xyz") for c in a)[: rng.randrange(40, 300)] for share in (0.05, 0.15, 0.3, 0.6)] + [a + "xy", ""]
+        exact = line_dedup.edit_distances(a, others)
+        for part in (others, others[2:4], others[3:]):
+            most = np.array([0.2 * max(len(a), len(x)) for x in part])
+            true = np.array([line_dedup.edit_distance(a, x) for x in part])
+            found = line_dedup.edit_distances(a, part, most)
+            assert ((found <= most) == (true <= most)).all() and (found <= true).all()
+            assert all((line_dedup.edit_distance(a, x, m) <= m) == (t <= m) for x, m, t in zip(part, most, true, strict=True))
+        assert exact.tolist() == [line_dedup.edit_distance(a, x) for x in others]
