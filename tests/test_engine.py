@@ -12,7 +12,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from lexispark.functions.scoring import fieldnorm_of
-from lexispark.operators import evaluate, search, standalone
+from lexispark.operators import evaluate, likeness, search, standalone
 from lexispark.operators.build import build, union, without
 from lexispark.plans.catalog import Catalog
 from lexispark.plans.query import Bm25Query, Bm25Vector, to_bm25query
@@ -111,6 +111,21 @@ def test_batch_and_more_like_this(spark, tables, rows):
     assert len(like) == 12 and all(r.query_id != r.doc_key for r in like)
 
 
+@pytest.mark.parametrize("by", [(), ("grp",)])
+def test_more_like_this_in_blocks_equals_the_shuffled_search(spark, rows, by, monkeypatch):
+    monkeypatch.setattr(likeness, "ENTRIES", 300)
+    monkeypatch.setattr(likeness, "COMMON", 4)
+    monkeypatch.setattr(likeness, "SCORES", 64)
+    many = [*rows, *[(1000 + i, f"g{i % 7}", b) for i, _, b in rows[:30]], (2000, "g1", None), (2001, "g1", "unheard of")]
+    built = build(frame(spark, many), replace(SPEC, partition_by=by))
+    asked = frame(spark, [r for r in many if r[0] % 5 == 0] + [(2000, "g1", None), (7777, "g1", "")]).selectExpr("id AS query_id", "body AS text")
+    found = search.more_like_this(built, asked, 4, decimals=4)
+    left = likeness.best_of_blocks(built, search.weighted_terms(built), asked, 5, 4)  # all that leaves the blocks
+    assert left.count() <= 5 * asked.count() and left.select("query_id", "doc_key").distinct().count() == left.count()
+    plain = search.more_like_this(replace(built, vectors=None), asked, 4, decimals=4)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.select(*found.columns).collect()))
+
+
 def test_counts_facets_phrases(spark, tables, rows):
     queries = spark.createDataFrame([(1, "kappa"), (2, "zzz")], "query_id long, text string")
     assert {r.query_id: r.n for r in standalone.match_counts(tables, queries).collect()} == {1: len(brute(rows, "kappa")), 2: 0}
