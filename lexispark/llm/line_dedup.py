@@ -57,7 +57,7 @@ CLASSES = (Class(12, 48, 4, 20, 14, 11), Class(39, 1 << 31, 6, 12, 14, 13))
 #: Groups up to this size are compared by shifts over the sorted stream.
 SMALL = 128
 #: Groups of candidates are verified in pairs of parts of SOME lines each; above CROWD lines by the keys that bring candidates together.
-SOME, CROWD = 300, 2000
+SOME, CROWD = 300, 3000
 
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
