@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Forest, components, dealt_parts, packed, pair_of_parts, probably_in, slices, stored, surely_out, tidy, unpacked
+from lexispark.llm.common import Forest, components, dealt_parts, dropped, packed, pair_of_parts, probably_in, slices, stored, surely_out, tidy, unpacked
 from lexispark.llm.simhash_dedup import _shared_groups
 
 SIMILARITY = 0.8
@@ -615,7 +615,9 @@ def similar_groups(docs: DataFrame, distinct: DataFrame, shorts: DataFrame) -> D
     dealt = known.where("parts is not null").select("root", "node", *SKETCH, "line", *dealt_parts(F.col("k2")))
     dealt = dealt.select("root", pair_of_parts().cast("long"), "own", "node", *SKETCH, "line", F.lit(None).cast("int").alias("met")).unionByName(meetings(known.where("parts is null")))
     dealt = dealt.repartition("root", "part").sortWithinPartitions("root", "part", "node")
-    return components(dealt.mapInArrow(tidy(_verify), "src long, dst long"))
+    found = components(dealt.mapInArrow(tidy(_verify), "src long, dst long"))
+    dropped(near, nodes, known)
+    return found
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -633,8 +635,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     fuzzy = probably_in(distinct, F.col("k1"), found, F.col("node")).join(found, F.col("k1") == F.col("node")).select("k1", "k2", F.col("component").alias("line_group"))
     exact = distinct.where("n > 1").join(found, F.col("k1") == F.col("node"), "left_anti").select("k1", "k2", F.col("k1").alias("line_group"))
     groups = stored(fuzzy.unionByName(exact), "line-groups")
+    dropped(distinct, found)
     some = probably_in(rows.select("k1", "k2", "doc_id", "mark", "line_no"), F.col("k1"), groups, F.col("k1"))
     members = stored(some.join(groups, ["k1", "k2"]).select("line_group", "doc_id", "mark", "line_no"), "line-members")
+    dropped(rows, groups)
     place = F.struct("doc_id", "mark", "line_no")
     # Stored, so that the join below deals both sides anew and can split a line with very many occurrences.
     best = stored(members.groupBy("line_group").agg(F.min(place).alias("best")), "line-firsts")
@@ -642,7 +646,9 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(~place.eqNullSafe(F.col("best")), F.col("line_no")))).alias("drop"),
         (F.count("*") > F.size(F.collect_set("line_no"))).alias("again"),
     )
-    return stored(gone.where("again or size(drop) > 0"), "line-drops")
+    gone = stored(gone.where("again or size(drop) > 0"), "line-drops")
+    dropped(members, best)
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Forest, components, dealt_parts, merged, packed, pair_of_parts, parts_of, per_slice, probably_in, stored, tidy, unpacked
+from lexispark.llm.common import Forest, components, dealt_parts, dropped, merged, packed, pair_of_parts, parts_of, per_slice, probably_in, stored, tidy, unpacked
 
 SEED = 42
 #: Children of a node of the in-group index.
@@ -440,6 +440,7 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataF
     dealt = dealt.select("root", "node", "fp", "fp2", "shingles", *dealt_parts(F.col("node")))
     dealt = dealt.select("root", pair_of_parts(), "node", "fp", "fp2", "shingles").repartition("root", "part").sortWithinPartitions("root", "part", "node")
     found = components(dealt.mapInArrow(_verified(least), "src long, dst long"))
+    dropped(roots, some)
     placed = nodes.select("node", "holder").join(found, "node", "left").select("node", "holder", F.coalesce("component", "node").alias("group_"))
     ids = placed.groupBy("group_").agg(F.min("holder").alias("component_id"))
     return rows.select("doc_id", "node").join(placed.join(ids, "group_").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -934,3 +935,28 @@ def test_distances_end_early_only_above_the_most():
             assert ((found <= most) == (true <= most)).all() and (found <= true).all()
             assert all((line_dedup.edit_distance(a, x, m) <= m) == (t <= m) for x, m, t in zip(part, most, true, strict=True))
         assert exact.tolist() == [line_dedup.edit_distance(a, x) for x in others]
+
+
+def test_steps_leave_neither_shuffles_nor_tables(spark):
+    """Disk has what is still to be read, not all that was ever written: else large inputs fill it."""
+
+    def shuffles():
+        return spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().toString().count("shuffle_")
+
+    def settled(most):
+        for _ in range(100):
+            if shuffles() <= most:
+                return True
+            time.sleep(0.1)
+        return False
+
+    folder = common.shared_folder(spark)
+    rows = [(i, "\n".join(f"{'abcdefg ' * 4}{j % 50} line" for j in range(i, i + 30))) for i in range(60)]
+    docs, before, had = spark.createDataFrame(rows, "doc_id long, text string"), shuffles(), set(os.listdir(folder))
+    common.stored(docs.repartition(5, "doc_id").groupBy("text").count(), "some")
+    common.cut(docs.repartition(5, "doc_id").groupBy("text").count())
+    assert settled(before)
+    gone = line_dedup.repeats(docs)
+    assert settled(before + 20)  # components look at every round's links, which are few
+    assert {f.split("-")[1] for f in set(os.listdir(folder)) - had if f.startswith(("line", "distinct", "similar"))} == {"drops"}
+    assert gone.count() > 0
