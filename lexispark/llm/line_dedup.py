@@ -150,6 +150,9 @@ def _number(bits: np.ndarray) -> int:
 
 #: After these shares of a text's steps it is seen whether distances can still be small enough, if it has as many steps.
 _LOOKS, _LONG = (0.5, 0.625, 0.75, 0.875), 64
+#: Texts from so many characters on are first compared by their longest common subsequence, whose steps are four times
+#: cheaper: a distance is at least what it leaves of the longer text.
+_PLAIN = 24
 
 
 def _bits(x: int, n: int) -> np.ndarray:
@@ -172,6 +175,17 @@ def edit_distances(text: str, others: list[str], most: np.ndarray | None = None)
     first[spare - size] = size > 0
     full, low = _number(field), _number(first)
     where = {c: _number((codes == ord(c)) & field) for c in set(text)}
+    if most is not None and len(text) >= _PLAIN:
+        left = full
+        for c in text:
+            both = left & where[c]
+            left = (left + both | left - both) & full
+        ends = np.append(0, np.cumsum(_bits(left, len(codes))))
+        least = np.maximum(len(text), size) - size + (ends[spare] - ends[spare - size])
+        some = np.flatnonzero(least <= most)
+        if len(some) < len(others):
+            least[some] = edit_distances(text, [others[k] for k in some.tolist()], most[some]) if len(some) else 0
+            return least
     up, down = full, 0
     looks = {int(len(text) * x) for x in _LOOKS} if most is not None and len(text) >= _LONG else ()
     for done, c in enumerate(text):
@@ -185,11 +199,11 @@ def edit_distances(text: str, others: list[str], most: np.ndarray | None = None)
                 return least
         eq = where[c]
         same = (((eq & up) + up) ^ up) | eq | down
-        h_up = down | full & ~(same | up)
+        h_up = down | full ^ (same | up) & full
         h_down = (up & same) << 1
         h_up = h_up << 1 | low
         eq |= down
-        up = full & (h_down | ~(eq | h_up))
+        up = h_down & full | full ^ (eq | h_up) & full
         down = h_up & eq
     change = np.zeros(len(codes) + 1, np.int64)
     for x, sign in ((up, 1), (down, -1)):
@@ -207,6 +221,13 @@ def edit_distance(a: str, b: str, most: float | None = None) -> int:
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
     full = (1 << len(a)) - 1
+    if most is not None and len(b) >= _PLAIN:
+        left = full
+        for c in b:
+            both = left & where.get(c, 0)
+            left = left + both | left - both
+        if (least := len(b) - len(a) + (left & full).bit_count()) > most:
+            return least
     up, down = full, 0
     looks = {int(len(b) * x) for x in _LOOKS} if most is not None and len(b) >= _LONG else ()
     for done, c in enumerate(b):
@@ -217,10 +238,9 @@ def edit_distance(a: str, b: str, most: float | None = None) -> int:
                 return least
         eq = where.get(c, 0)
         same = (((eq & up) + up) ^ up) | eq | down
-        h_up = (down | ~(same | up)) << 1 | 1
+        h_up = (down | full ^ (same | up) & full) << 1 | 1
         eq |= down
-        down = (up & same) << 1 | ~(eq | h_up)
-        up, down = full & down, full & h_up & eq
+        up, down = (up & same) << 1 & full | full ^ (eq | h_up) & full, h_up & eq & full
     return len(b) + up.bit_count() - down.bit_count()
 
 

@@ -960,3 +960,26 @@ def test_steps_leave_neither_shuffles_nor_tables(spark):
     assert settled(before + 20)  # components look at every round's links, which are few
     assert {f.split("-")[1] for f in set(os.listdir(folder)) - had if f.startswith(("line", "distinct", "similar"))} == {"drops"}
     assert gone.count() > 0
+
+
+def test_common_subsequences_rule_pairs_out_first():
+    def least(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        return max(len(a), len(b)) - row[-1]
+
+    rng, ruled = random.Random(23), 0
+    for _ in range(40):
+        a = "".join(rng.choices("abcdé 日", k=rng.randrange(40, 200)))
+        others = ["".join(c if rng.random() > share else rng.choice(["x", "", "yz"]) for c in a) for share in (0.1, 0.2, 0.3, 0.6)]
+        most, true = np.array([0.2 * max(len(a), len(x)) + 1e-9 for x in others]), line_dedup.edit_distances(a, others)
+        bound = np.array([least(a, x) for x in others])
+        assert (bound <= true).all()
+        for found in (line_dedup.edit_distances(a, others, most), np.array([line_dedup.edit_distance(a, x, m) for x, m in zip(others, most, strict=True)])):
+            assert found[bound > most].tolist() == bound[bound > most].tolist() and ((found <= most) == (true <= most)).all()
+            assert found[true <= most].tolist() == true[true <= most].tolist()
+        ruled += (bound > most).sum()
+    assert ruled > 40
