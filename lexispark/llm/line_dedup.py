@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, combinations
+from itertools import chain, combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Forest, components, dealt_parts, dropped, packed, pair_of_parts, probably_in, slices, stored, surely_out, tidy, unpacked
+from lexispark.llm.common import Forest, components, dealt_parts, dropped, merged, packed, pair_of_parts, probably_in, slices, stored, surely_out, tidy, unpacked
 from lexispark.llm.simhash_dedup import _shared_groups
 
 SIMILARITY = 0.8
@@ -111,11 +111,17 @@ def _sketch(lines: list[bytes], size: np.ndarray, gram: int, out: np.ndarray, ro
     h ^= h >> np.uint32(15)
     start = np.cumsum(size) - size
     out[rows, HASHES] = np.minimum(16 * np.log2(np.maximum(heads[start + size] - heads[start], 1)), 255)  # in characters
-    cuts = np.column_stack([start, start + size - gram + 1]).ravel()
-    mixed = np.empty_like(h)
+    inside = np.ones(n, bool)  # not those that end in the next line
+    for k in range(1, gram):
+        inside[start[1:] - k] = False
+    inside[start[-1] + size[-1] - gram + 1 :] = False
+    h = h[inside]
+    cuts = np.cumsum(size - gram + 1) - (size - gram + 1)
+    mixed, least = np.empty_like(h), np.empty((HASHES, len(rows)), np.uint32)
     for k, factor in enumerate(_FACTORS):
         np.multiply(h, factor, out=mixed)
-        out[rows, k] = np.minimum.reduceat(mixed, cuts)[::2] & np.uint32(255)
+        np.minimum.reduceat(mixed, cuts, out=least[k])
+    out[rows, :HASHES] = least.astype(np.uint8).T
 
 
 def remainders(line: str) -> set[str]:
@@ -217,17 +223,58 @@ def edit_distance(a: str, b: str, most: float | None = None) -> int:
     With `most` a lower bound over it is given as soon as one is seen.
     """
     a, b = _stripped(a, b)
+    where = _places(a)
+    if most is not None and len(b) >= _PLAIN:
+        if (least := len(b) - len(a) + _unmatched(len(a), b, where)) > most:
+            return least
+    return _steps(a, b, where, most)
+
+
+def _places(text: str) -> dict[str, int]:
+    """A number for each character of a text, with a bit for each of its places."""
+    if len(text) > 1000:  # where adding a bit takes as long as the number
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return {c: _number(codes == ord(c)) for c in set(text)}
     where: dict[str, int] = {}
-    for k, c in enumerate(a):
+    for k, c in enumerate(text):
         where[c] = where.get(c, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    if most is not None and len(b) >= _PLAIN:
-        left = full
-        for c in b:
+    return where
+
+
+def _unmatched(size: int, b: str, where: dict[str, int], most: float | None = None) -> int | None:
+    """How many characters of the text in `where` a longest common subsequence with b leaves.
+
+    None as soon as it is seen to leave over `most` of b, each of which is an edit.
+    """
+    left = full = (1 << size) - 1
+    for start, end in pairwise(int(len(b) * x) for x in ((0, 1) if most is None else (0, *_LOOKS, 1))):
+        for c in b[start:end]:
             both = left & where.get(c, 0)
             left = left + both | left - both
-        if (least := len(b) - len(a) + (left & full).bit_count()) > most:
-            return least
+        left &= full
+        if most is not None and end - size + left.bit_count() > most:
+            return None
+    return left.bit_count()
+
+
+def _within(a: str, b: str, most: float) -> bool:
+    """Whether the distance of two texts is `most` at most.
+
+    It is at least what a longest common subsequence leaves of the longer text, and at most what it
+    leaves of both: only between the two are a distance's own steps taken.
+    """
+    a, b = _stripped(a, b)
+    where = _places(a)
+    if len(b) >= _PLAIN:
+        left = _unmatched(len(a), b, where, most)
+        if left is None or len(b) - len(a) + 2 * left <= most:
+            return left is not None
+    return _steps(a, b, where, most) <= most
+
+
+def _steps(a: str, b: str, where: dict[str, int], most: float | None) -> int:
+    """The distance of the text in `where` and one that is not shorter, with `most` as `edit_distance`."""
+    full = (1 << len(a)) - 1
     up, down = full, 0
     looks = {int(len(b) * x) for x in _LOOKS} if most is not None and len(b) >= _LONG else ()
     for done, c in enumerate(b):
@@ -274,7 +321,7 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     if abs(len(a) - len(b)) > (1 - least) * longest:
         return False
     most = (1 - least) * longest + 1e-9
-    return longest == 0 or _at_most(a, b, most) or edit_distance(a, b, most) <= most
+    return longest == 0 or _at_most(a, b, most) or _within(a, b, most)
 
 
 #: Lines that a line is compared with at a time.
@@ -291,6 +338,8 @@ def similar_links(lines: list[str], close: Callable[[int], tuple[np.ndarray, np.
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     for i in range(1, len(lines)):
         other, seems = close(i)
+        if not len(other):
+            continue
         most = (1 - least) * np.maximum(size[other], size[i]) + 1e-9
         fits = np.abs(size[other] - size[i]) <= most
         order = np.argsort(-seems[fits], kind="stable")
@@ -322,28 +371,27 @@ def _lines(with_text: bool):
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
-                ids, marks, places, words = [], [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    if not text:
-                        continue
-                    mark = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
-                    mark -= (mark >> 63) << 64
-                    for i, line in enumerate(text.lower().encode("utf-8", "surrogatepass").translate(_WORDS_KEEP).split(b"\n")):
-                        if found := line.split():
-                            ids.append(doc_id)
-                            marks.append(mark)
-                            places.append(i)
-                            words.append(found)
-                joined = [b" ".join(w) for w in words]
+                marks, counts, places, joined = [], [], [], []
+                for text in part.column("text").to_pylist():
+                    mark, lines = 0, []
+                    if text:
+                        mark = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+                        lines = _normalised_lines(text.lower().encode("utf-8", "surrogatepass"))
+                    found = [i for i, line in enumerate(lines) if line]
+                    marks.append(mark - ((mark >> 63) << 64))
+                    counts.append(len(found))
+                    places += found
+                    joined += filter(None, lines)
                 keys = np.frombuffer(b"".join(map(_digest, joined)), np.int64).reshape(-1, 2)
                 columns = [pa.array(keys[:, 0]), pa.array(keys[:, 1])]
                 if with_text:
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(joined, pa.binary()).cast(pa.string())], names=["k1", "k2", "line"])
                 else:
-                    texts = [x.decode("utf-8", "surrogatepass") if len(x) <= 4 * SHORT else "" for x in joined]
-                    short = pa.array([x if 0 < len(x) <= SHORT else None for x in texts], pa.string())
+                    texts = [x.decode("utf-8", "surrogatepass") if len(x) <= 4 * SHORT else None for x in joined]
+                    short = pa.array([x if x and len(x) <= SHORT else None for x in texts], pa.string())
+                    rows = np.repeat(np.arange(len(part)), counts)
                     columns += _sketched(joined)
-                    columns += [short, pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(places, pa.int32())]
+                    columns += [short, part.column("doc_id").take(pa.array(rows)), pa.array(np.array(marks, np.int64)[rows]), pa.array(places, pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", *SKETCH, "short", "doc_id", "mark", "line_no"])
 
     return run
@@ -355,6 +403,14 @@ _LATER = bytes(range(0x80, 0xC0))
 _WORDS_KEEP = _WORDS[:10] + b"\n" + _WORDS[11:]
 
 
+def _normalised_lines(text: bytes) -> list[bytes]:
+    """`normalised` of each line of a text, for all lines at once."""
+    text = text.translate(_WORDS_KEEP)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
+
+
 #: Columns of the sketches of each class, eight bytes each, null for a line that isn't of the class; and of the rows of tables.
 _OF = tuple(tuple(f"s{c}{i}" for i in range((HASHES + 1) // 8)) for c in range(len(CLASSES)))
 SKETCH = tuple(chain.from_iterable(_OF))
@@ -363,7 +419,7 @@ _SKETCH = ", ".join(f"{c} long" for c in SKETCH)
 
 def _sketched(lines: list[bytes]) -> list[pa.Array]:
     """The columns SKETCH of lines."""
-    chars = np.fromiter((len(x.translate(None, _LATER)) for x in lines), np.int64, len(lines))
+    chars = np.fromiter((len(x) if x.isascii() else len(x.translate(None, _LATER)) for x in lines), np.int64, len(lines))
     out = []
     for c in CLASSES:
         some = np.flatnonzero((chars >= c.least) & (chars <= c.most))
@@ -429,15 +485,25 @@ def _nibbles(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((low & mask) | size << np.uint64(60)).view(np.int64), ((high & mask) | (size >> np.uint64(4)) << np.uint64(60)).view(np.int64)
 
 
+def _sizes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return ((low.view(np.uint64) >> np.uint64(60)) | (high.view(np.uint64) >> np.uint64(60)) << np.uint64(4)).astype(np.int16)
+
+
 def _near(low: np.ndarray, high: np.ndarray, i, j, agree) -> np.ndarray:
     """Which rows i agree with rows j (or one row) on `agree` of 30 nibbles, their lengths not too far apart."""
-    size = [((low[k].view(np.uint64) >> np.uint64(60)) | (high[k].view(np.uint64) >> np.uint64(60)) << np.uint64(4)).astype(np.int16) for k in (i, j)]
-    mask, differ = np.uint64(0x0111111111111111), 0
-    for x in (low, high):
-        y = (x[i] ^ x[j]).view(np.uint64)
-        y = y | y >> np.uint64(1)
-        differ = differ + np.bitwise_count((y | y >> np.uint64(2)) & mask)
-    return (30 - differ.astype(np.int16) >= agree) & (np.abs(size[0] - size[1]) <= _STEPS)
+    return _alike(*(x[k] for k in (i, j) for x in (low, high, _sizes(low, high))), agree)
+
+
+def _alike(low: np.ndarray, high: np.ndarray, size: np.ndarray, low_: np.ndarray, high_: np.ndarray, size_: np.ndarray, agree) -> np.ndarray:
+    """As `_near`, of rows beside each other."""
+    differ = None
+    for x, y in ((low, low_), (high, high_)):
+        x = (x ^ y).view(np.uint64)
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        x &= np.uint64(0x0111111111111111)
+        differ = x if differ is None else differ << np.uint64(1) | x
+    return (30 - np.bitwise_count(differ).astype(np.int8) >= agree) & (np.abs(size - size_) <= _STEPS)
 
 
 def _to_remainders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,7 +524,7 @@ _STEPS = int(np.ceil(-16 * np.log2(SIMILARITY)))
 
 
 #: On how many hashes candidates agree, by the table that leads their key; remainders are equal or not.
-_AGREE = np.array([c.nibbles for c in CLASSES for _ in range(c.tables)] + [30])
+_AGREE = np.array([c.nibbles for c in CLASSES for _ in range(c.tables)] + [30], np.int8)
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -492,15 +558,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agree = _AGREE[np.maximum(key >> 24, -1)]
         ends = np.append(starts[1:], len(key))
         sizes = ends - starts
+        size = _sizes(low, high)
         g = np.repeat(np.arange(len(starts)), sizes)
-        forest, out = Forest(), []
+        label, found, held, out = np.arange(len(key)), [], 0, []
         left, last = np.flatnonzero(sizes[g] <= SMALL), ends[g]
         for d in range(1, SMALL):  # each row with the d-th after it in its group
             left = left[left + d < last[left]]
             if not len(left):
                 break
-            at = left[_near(low, high, left, left + d, agree[left])]
-            out.extend((i, i + d) for i in at.tolist() if forest.join(i, i + d))
+            other = left + d
+            at = left[_alike(low[left], high[left], size[left], low[other], high[other], size[other], agree[left])]
+            found.append((at, at + d))
+            held += len(at)
+            if held >= AT_ONCE:
+                label, *taken = merged(label, *map(np.concatenate, zip(*found, strict=True)))
+                out.append(taken)
+                found, held = [], 0
+        if held:
+            out.append(merged(label, *map(np.concatenate, zip(*found, strict=True)))[1:])
         for k in np.flatnonzero(sizes > SMALL):
             left, todo = np.arange(starts[k], ends[k]), []
             while len(left) or todo:
@@ -508,13 +583,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     todo.append(int(left[0]))
                     left = left[1:]
                 i = todo.pop()
-                hit = _near(low, high, left, [i], agree[i])
-                near, left = left[hit].tolist(), left[~hit]
-                out.extend((i, j) for j in near)
-                todo.extend(near)
+                hit = _alike(low[left], high[left], size[left], low[i], high[i], size[i], agree[i])
+                near, left = left[hit], left[~hit]
+                out.append((np.full(len(near), i), near))
+                todo.extend(near.tolist())
         if out:
-            ij = np.array(out)
-            yield pa.RecordBatch.from_arrays([pa.array(node[ij[:, 0]]), pa.array(node[ij[:, 1]])], names=["src", "dst"])
+            i, j = map(np.concatenate, zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["src", "dst"])
 
 
 def candidate_links(lines: DataFrame, shorts: DataFrame) -> DataFrame:
@@ -561,6 +636,19 @@ def meetings(crowd: DataFrame) -> DataFrame:
 _TABLES = [(k, t) for k, c in enumerate(CLASSES) for t in range(c.tables)]
 
 
+def _same(codes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """On how many hashes each sketch (a row of 64-bit numbers) agrees with each of others, or with its own of as many."""
+    differ, most = codes ^ others, np.uint64(0x7F7F7F7F7F7F7F7F)
+    differ |= (differ & most) + most
+    differ &= ~most
+    differ[..., -1] &= np.uint64((1 << 56) - 1)  # the last byte is the length's
+    return HASHES - np.bitwise_count(differ).sum(axis=-1, dtype=np.int16)
+
+
+#: Pairs of lines whose sketches are compared at a time.
+PAIRS = 1 << 14
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a spanning forest of the similar lines in each part of a group (sorted by group and part).
 
@@ -568,45 +656,74 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of a large group, which is a key, only those that no earlier table brings together.
     """
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        size, part, met = np.array([len(r[2]) for r in rows]), np.array([r[3] for r in rows]), rows[0][4]
+    def solve(lines: list[str], size: np.ndarray, part: np.ndarray, met: int | None, sketched: list[tuple]) -> list[tuple[int, int]]:
         several = (part != part[0]).any()
-        kinds = range(len(CLASSES)) if met is None else [_TABLES[met][0]] if met >= 0 else []
-        sketched = []
-        for k in kinds:
-            at = len(_OF[0]) * k
-            has = np.array([r[1][at] is not None for r in rows])
-            codes = np.array([r[1][at : at + len(_OF[0])] if h else [0] * len(_OF[0]) for r, h in zip(rows, has.tolist(), strict=True)], np.int64)
-            sketched.append((CLASSES[k].agree, has, codes.view(np.uint8)))
-        before = _keys(sketched[0][2], _TABLES[met][1]) if met is not None and met >= 0 else None
+        if met is not None:
+            sketched = [sketched[_TABLES[met][0]]] if met >= 0 else []
+        before = _keys(np.ascontiguousarray(sketched[0][2]).view(np.uint8), _TABLES[met][1]) if met is not None and met >= 0 else None
         shorts = met is None or met < 0
+        seems, first = np.empty((0, 0), np.int16), 0
 
         def close(i: int) -> tuple[np.ndarray, np.ndarray]:
-            seems = np.where((size[:i] <= SHORT) & (size[i] <= SHORT), 1, 0) if shorts else np.zeros(i, np.int64)
-            for agree, has, codes in sketched:
-                if has[i]:
-                    same = (codes[:i, :HASHES] == codes[i, :HASHES]).sum(axis=1)
-                    seems = np.maximum(seems, np.where(has[:i] & (same >= agree), same, 0))
-            other = np.flatnonzero(seems)
+            nonlocal seems, first
+            if i >= first + len(seems):  # of as many lines at once as PAIRS allows
+                first, end = i, min(len(lines), i + max(1, PAIRS // len(lines)))
+                brief = size[:end] <= SHORT
+                seems = (brief[first:, None] & brief if shorts else np.zeros((end - first, end), bool)).astype(np.int16)
+                for agree, has, codes in sketched:
+                    same = _same(codes[first:end, None], codes[None, :end])
+                    same[(same < agree) | ~(has[first:end, None] & has[:end])] = 0
+                    seems = np.maximum(seems, same)
+            row = seems[i - first, :i]
+            other = np.flatnonzero(row)
             if several:  # pairs inside a part are compared where it meets itself
                 other = other[part[other] != part[i]]
             if before is not None:
                 other = other[~(before[other] == before[i]).any(axis=1)]
-            return other, seems[other]
+            return other, row[other]
 
-        out = [(rows[i][0], rows[j][0]) for i, j in similar_links([r[2] for r in rows], close)]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["src", "dst"])
+        return similar_links(lines, close)
 
-    now, rows = None, []
+    def solved(whole: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(whole)
+        group, part, own, node = (table.column(c).to_numpy() for c in ("root", "part", "own", "node"))
+        lines, met = table.column("line").to_pylist(), table.column("met").to_pylist()
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        sketched = []
+        for kind, names in zip(CLASSES, _OF, strict=True):
+            codes = np.column_stack([table.column(c).fill_null(0).to_numpy() for c in names]).view(np.uint64)
+            sketched.append((kind.agree, table.column(names[0]).is_valid().to_numpy(), codes))
+        starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
+        ends = np.append(starts[1:], len(lines))
+        two = starts[ends - starts == 2]  # most groups: whether they are to be compared is seen for all at once
+        near = (size[two] <= SHORT) & (size[two + 1] <= SHORT)
+        for agree, has, codes in sketched:
+            near |= has[two] & has[two + 1] & (_same(codes[two], codes[two + 1]) >= agree)
+        near, out = dict(zip(two.tolist(), near.tolist(), strict=True)), []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b - a == 2 and met[a] is None:
+                if near[a] and similar(lines[a], lines[a + 1]):
+                    out.append((a + 1, a))
+            elif b - a > 1:
+                links = solve(lines[a:b], size[a:b], own[a:b], met[a], [(agree, has[a:b], codes[a:b]) for agree, has, codes in sketched])
+                out += [(a + i, a + j) for i, j in links]
+        i, j = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["src", "dst"])
+
+    now, held = None, []
     for batch in batches:
-        for group, part, own, met, node, line, *sketch in zip(*(batch.column(c).to_pylist() for c in ("root", "part", "own", "met", "node", "line", *SKETCH)), strict=True):
-            if (group, part) != now:
-                if len(rows) > 1:
-                    yield solve(rows)
-                now, rows = (group, part), []
-            rows.append((node, sketch, line, own, met))
-    if len(rows) > 1:
-        yield solve(rows)
+        if not len(batch):
+            continue
+        group, part = (batch.column(c).to_numpy() for c in ("root", "part"))
+        first = np.flatnonzero(np.append((group[0], part[0]) != now, (group[1:] != group[:-1]) | (part[1:] != part[:-1])))
+        if len(first):  # the last group may go on in the next batch
+            if whole := [x for x in (*held, batch.slice(0, first[-1])) if len(x)]:
+                yield solved(whole)
+            held, batch = [], batch.slice(first[-1])
+        held.append(batch)
+        now = group[-1], part[-1]
+    if held:
+        yield solved(held)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:

@@ -983,3 +983,67 @@ def test_common_subsequences_rule_pairs_out_first():
             assert found[true <= most].tolist() == true[true <= most].tolist()
         ruled += (bound > most).sum()
     assert ruled > 40
+
+
+def test_small_groups_of_lines_are_verified_together():
+    """Most groups have two lines: numpy, Arrow and Spark steps for each of them took longer than the comparison."""
+    rng, rows, true = random.Random(25), [], Forest()
+    for group in range(80):
+        first = rng.choice(["abc", "".join(rng.choices("abcdefgh ij", k=rng.randrange(20, 400))), "日本 語é" * 12])
+        own = []
+        for k in range(rng.choice([1, 2, 2, 2, 3, 12])):
+            line = "".join(c if rng.random() > 0.03 * k else rng.choice("xyz") for c in first) + "w" * k
+            own.append((len(rows) + k, line))
+        rows += [(group, node, line) for node, line in own]
+    codes = pa.RecordBatch.from_arrays(line_dedup._sketched([x[2].encode() for x in rows]), names=list(line_dedup.SKETCH))
+    n = len(rows)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in rows]), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows]), *codes.columns],
+        names=["root", "part", "own", "met", "node", "line", *line_dedup.SKETCH],
+    )
+    agree = {k: c.agree for k, c in enumerate(line_dedup.CLASSES)}
+    bytes_of = [np.column_stack([codes.column(c).fill_null(0).to_numpy() for c in own]).view(np.uint8)[:, : line_dedup.HASHES] for own in line_dedup._OF]
+    for i, (group, _, line) in enumerate(rows):
+        for j, (other, _, text) in enumerate(rows[:i]):
+            both = [codes.column(own[0])[i].is_valid and codes.column(own[0])[j].is_valid for own in line_dedup._OF]
+            seen = any(b and (bytes_of[k][i] == bytes_of[k][j]).sum() >= agree[k] for k, b in enumerate(both))
+            if group == other and (seen or max(len(line), len(text)) <= line_dedup.SHORT) and line_dedup.similar(line, text):
+                true.join(i, j)
+    for batches in ([batch], [batch.slice(k, 7) for k in range(0, n, 7)], [batch.slice(k, 1) for k in range(n)], [batch.slice(0, 0), batch]):
+        out, found = list(line_dedup._verify(iter(batches))), Forest()
+        assert all(found.join(i, j) for x in out for i, j in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True))
+        assert [found.find(i) for i in range(n)] == [true.find(i) for i in range(n)]
+        assert len(out) <= len(batches) + 1
+    assert len({true.find(i) for i in range(n)}) < n
+
+
+def test_common_subsequences_decide_most_pairs(monkeypatch):
+    rng, steps, decided = random.Random(26), [], 0
+    taken = line_dedup._steps
+    monkeypatch.setattr(line_dedup, "_steps", lambda *x: steps.append(x) or taken(*x))
+    for _ in range(200):
+        a = "".join(rng.choices("abcdé 日", k=rng.randrange(10, 1500)))
+        share = rng.choice([0.02, 0.1, 0.2, 0.5])
+        b = "".join(c if rng.random() > share else rng.choice(["x", "", "yz"]) for c in a)
+        most = 0.2 * max(len(a), len(b)) + 1e-9
+        true = line_dedup.edit_distance(a, b) <= most
+        before = len(steps)
+        assert line_dedup._within(a, b, most) == true
+        decided += len(steps) == before
+    assert decided > 80
+
+
+def test_lines_of_a_text_are_normalised_together():
+    rng = random.Random(27)
+    texts = ["", "\n", " \n \n", "a" + " " * 1000 + "b\n" + "." * 999, "  A-b\r\n\tc\x0b d \n\n e "]
+    texts += ["".join(rng.choices("ab. \n\t-É日\x1c", k=rng.randrange(60))) for _ in range(300)]
+    for text in texts:
+        octets = text.lower().encode()
+        assert line_dedup._normalised_lines(octets) == [line_dedup.normalised(x) for x in octets.split(b"\n")]
+
+
+def test_sketches_take_no_shingles_of_two_lines():
+    rng = random.Random(28)
+    lines = [bytes(rng.choices(b"abcdefgh", k=rng.choice([0, 1, 3, 4, 5, 6, 7, 50, 3000]))) for _ in range(300)]
+    for kind in line_dedup.CLASSES:
+        assert (line_dedup.sketches(lines, kind.gram) == np.vstack([line_dedup.sketches([x], kind.gram) for x in lines])).all()
