@@ -383,15 +383,15 @@ def _lines(with_text: bool):
                     places += found
                     joined += filter(None, lines)
                 keys = np.frombuffer(b"".join(map(_digest, joined)), np.int64).reshape(-1, 2)
-                columns = [pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+                columns, rows = [pa.array(keys[:, 0]), pa.array(keys[:, 1])], pa.array(np.repeat(np.arange(len(part)), counts))
                 if with_text:
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(joined, pa.binary()).cast(pa.string())], names=["k1", "k2", "line"])
+                    texts = pa.array(joined, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([*columns, texts, part.column("doc_id").take(rows)], names=["k1", "k2", "line", "doc_id"])
                 else:
                     texts = [x.decode("utf-8", "surrogatepass") if len(x) <= 4 * SHORT else None for x in joined]
                     short = pa.array([x if x and len(x) <= SHORT else None for x in texts], pa.string())
-                    rows = np.repeat(np.arange(len(part)), counts)
                     columns += _sketched(joined)
-                    columns += [short, part.column("doc_id").take(pa.array(rows)), pa.array(np.array(marks, np.int64)[rows]), pa.array(places, pa.int32())]
+                    columns += [short, part.column("doc_id").take(rows), pa.array(marks, pa.int64()).take(rows), pa.array(places, pa.int32())]
                     yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", *SKETCH, "short", "doc_id", "mark", "line_no"])
 
     return run
@@ -548,8 +548,19 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield unpack()
 
 
+def _stars(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Links of the nodes that links between places i and j connect, all to the least of them: `components` settles these soonest."""
+    label = merged(np.arange(len(node)), i, j)[0]
+    some = np.unique(np.concatenate([i, j]))
+    some = some[np.lexsort((node[some], label[some]))]
+    first = np.append(True, label[some[1:]] != label[some[:-1]])[: len(some)]
+    least = node[some[first]][np.cumsum(first) - 1]
+    away = node[some] != least
+    return pa.RecordBatch.from_arrays([pa.array(node[some[away]]), pa.array(least[away])], names=["src", "dst"])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a spanning forest of the candidates in each group (sorted by bucket)."""
+    """Links that connect the candidates in each group (sorted by bucket)."""
     for columns in _by_key(batches):
         places, starts = _shared_groups(columns[:1])
         if not len(places):
@@ -588,8 +599,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((np.full(len(near), i), near))
                 todo.extend(near.tolist())
         if out:
-            i, j = map(np.concatenate, zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["src", "dst"])
+            yield _stars(node, *map(np.concatenate, zip(*out, strict=True)))
 
 
 def candidate_links(lines: DataFrame, shorts: DataFrame) -> DataFrame:
@@ -650,7 +660,7 @@ PAIRS = 1 << 14
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a spanning forest of the similar lines in each part of a group (sorted by group and part).
+    """Links that connect the similar lines in each part of a group (sorted by group and part).
 
     In pairs of parts (`met` is null) all pairs are compared that agree on enough bytes. In a part
     of a large group, which is a key, only those that no earlier table brings together.
@@ -707,8 +717,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif b - a > 1:
                 links = solve(lines[a:b], size[a:b], own[a:b], met[a], [(agree, has[a:b], codes[a:b]) for agree, has, codes in sketched])
                 out += [(a + i, a + j) for i, j in links]
-        i, j = np.array(out, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["src", "dst"])
+        return _stars(node, *np.array(out, np.int64).reshape(-1, 2).T)
 
     now, held = None, []
     for batch in batches:
@@ -745,9 +754,10 @@ def similar_groups(docs: DataFrame, distinct: DataFrame, shorts: DataFrame) -> D
     parts = nodes.groupBy("root").agg(F.when(F.count("*") <= CROWD, F.ceil(F.count("*") / SOME).cast("int")).alias("parts"))
     # The lines' texts come from one document each: only those are split again.
     holders = probably_in(docs.select(F.col("doc_id").cast("long"), "text"), F.col("doc_id"), nodes, F.col("holder"))
-    texts = holders.mapInArrow(tidy(_lines(True)), "k1 long, k2 long, line string")
-    texts = probably_in(texts, F.col("k1"), nodes, F.col("k1"))
-    texts = texts.join(nodes.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    texts = holders.mapInArrow(tidy(_lines(True)), "k1 long, k2 long, line string, doc_id long")
+    texts = probably_in(texts, F.struct("k1", "doc_id"), nodes, F.struct("k1", F.col("holder").alias("doc_id")))
+    # No semi-join here: Spark would make it before the bitmap, and shuffle all lines of the holders.
+    texts = texts.groupBy("k1", "k2").agg(F.first("line").alias("line"))
     known = stored(nodes.join(texts, ["k1", "k2"]).join(parts, "root").select("root", F.col("k1").alias("node"), "k2", *SKETCH, "line", "parts"), "line-texts")
     dealt = known.where("parts is not null").select("root", "node", *SKETCH, "line", *dealt_parts(F.col("k2")))
     dealt = dealt.select("root", pair_of_parts().cast("long"), "own", "node", *SKETCH, "line", F.lit(None).cast("int").alias("met")).unionByName(meetings(known.where("parts is null")))
@@ -796,7 +806,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first is the document and the others lose every line that has words. Other columns stay;
     an empty table gives no rows.
     """
-    # Structs are equal where both lack an id, and joining and numbering by the same column takes one shuffle of the texts.
+    # Structs are equal where both lack an id, and joining and numbering by the same column takes one shuffle of the texts,
+    # if both sides' structs have the same type: else one is cast for the join, and the texts are shuffled again.
     gone = repeats(docs).select(F.struct("doc_id", "mark").alias("gone_place"), F.col("mark").alias("gone_mark"), "drop", "again")
     keyed = packed(docs, "doc_id", "text").withColumn("mark_", F.xxhash64("text"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -804,7 +815,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     whole = surely_out(keyed, F.col("mark_"), gone, F.col("gone_mark"))
     whole = whole.select(*unpacked(columns, doc_id=F.col("doc_id"), text=F.col("text")), _n_lines(F.col("text")).alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     some = probably_in(keyed, F.col("mark_"), gone, F.col("gone_mark"))
-    some = some.withColumn("place_", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("mark_").alias("mark")))
+    some = some.withColumn("place_", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("mark_").alias("mark")).cast("struct<doc_id:bigint,mark:bigint>"))
     joined = some.join(gone, F.col("place_") == F.col("gone_place"), "left")
     w = Window.partitionBy("place_").orderBy("place_")
     lines = F.split("text", "\n", -1)

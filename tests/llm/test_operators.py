@@ -1047,3 +1047,26 @@ def test_sketches_take_no_shingles_of_two_lines():
     lines = [bytes(rng.choices(b"abcdefgh", k=rng.choice([0, 1, 3, 4, 5, 6, 7, 50, 3000]))) for _ in range(300)]
     for kind in line_dedup.CLASSES:
         assert (line_dedup.sketches(lines, kind.gram) == np.vstack([line_dedup.sketches([x], kind.gram) for x in lines])).all()
+
+
+def test_links_of_a_batch_are_stars():
+    rng = random.Random(29)
+    node = np.array(rng.sample(range(-500, 500), 300))
+    for pairs in ([], [(3, 3)], [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]):
+        true = Forest()
+        for i, j in pairs:
+            true.join(int(node[i]), int(node[j]))
+        out = line_dedup._stars(node, *np.array(pairs, np.int64).reshape(-1, 2).T)
+        found = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+        assert len(found) == len(out) and found == {int(x): true.find(int(x)) for x in node if true.find(int(x)) != x}
+
+
+def test_texts_of_line_dedup_are_shuffled_once(spark):
+    rows = [(i, "\n".join(f"{'abcdefg ' * 4}{j % 50} line" for j in range(i, i + 30))) for i in range(60)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(re.findall(r"Exchange hashpartitioning\((cast\()?place_", plan)) == 1
